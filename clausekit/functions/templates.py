@@ -179,11 +179,16 @@ def instruction(enriched) -> Column:
     return F.concat(F.lit(INSTRUCTION_HEAD), _c(enriched), F.lit(INSTRUCTION_TAIL))
 
 
-def response(clause_type, risk_level, risk_reason, plain_summary) -> Column:
-    return F.concat(F.lit(RESPONSE_TYPE), _c(clause_type),
-                    F.lit(RESPONSE_RISK), _c(risk_level),
-                    F.lit(RESPONSE_REASON), _c(risk_reason),
-                    F.lit(RESPONSE_SUMMARY), _c(plain_summary))
+def response(clause_type, risk_level, risk_reason, plain_summary,
+             null_text: str = "nan") -> Column:
+    """A missing label field renders as ``null_text`` (``'nan'``: the
+    labelled table went through CSV, where a null cell reads back as NaN)."""
+    def v(c):
+        return F.coalesce(_c(c), F.lit(null_text))
+    return F.concat(F.lit(RESPONSE_TYPE), v(clause_type),
+                    F.lit(RESPONSE_RISK), v(risk_level),
+                    F.lit(RESPONSE_REASON), v(risk_reason),
+                    F.lit(RESPONSE_SUMMARY), v(plain_summary))
 
 
 def full_text(instr: Column, resp: Column) -> Column:

@@ -56,9 +56,14 @@ def response_start(n_full: Column, n_resp: Column) -> Column:
 def mask_instruction(full_ids, resp_ids, response_suffix_len: int = 0) -> Column:
     """Labels = ``-100`` everywhere except the last ``len(resp_ids)``
     positions (shifted left by ``response_suffix_len`` template tokens)."""
+    return mask_instruction_n(full_ids, F.size(_c(resp_ids)), response_suffix_len)
+
+
+def mask_instruction_n(full_ids, n_resp: Column, response_suffix_len: int = 0) -> Column:
+    """As ``mask_instruction`` with the response token count given.  Pass a
+    plain column: the start is evaluated per element inside the lambda."""
     full = _c(full_ids)
-    n_full = F.size(full)
-    start = response_start(n_full, F.size(_c(resp_ids)) + F.lit(response_suffix_len))
+    start = response_start(F.size(full), n_resp + F.lit(response_suffix_len))
     return F.transform(full, lambda x, i: F.when(i >= start, x).otherwise(F.lit(IGNORE_INDEX)))
 
 
