@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausekit._ship import ensure_shipped
 from clausekit.functions import templates as tpl
 from clausekit.functions.text import contains_ci
 
@@ -83,6 +84,7 @@ def _parse_udf(replies: pd.Series) -> pd.DataFrame:
 
 def parse_reply(reply) -> Column:
     """``struct<risk_level, risk_reason, plain_summary, parse_status>``."""
+    ensure_shipped()
     return _parse_udf(F.col(reply) if isinstance(reply, str) else reply)
 
 
@@ -143,6 +145,7 @@ def label_batch(df: DataFrame, make_labeller: Callable[[], Labeller],
     retried after ``pause_s`` up to ``max_retries`` times, then the default
     label is used.  Output adds ``risk_level, risk_reason, plain_summary,
     parse_status, attempts``."""
+    ensure_shipped(df.sparkSession)
     out_schema = T.StructType(df.schema.fields + [
         T.StructField("risk_level", T.StringType()),
         T.StructField("risk_reason", T.StringType()),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausekit._ship import ensure_shipped
 from clausekit.functions import templates as tpl
 from clausekit.functions.text import unicode_trim
 
@@ -107,6 +108,7 @@ def score_batch(prompts: DataFrame, make_scorer: Callable[[], Scorer],
     """Run the scorer on every valid request (``mapInPandas``, one model per
     partition) and add ``full_output`` and ``response`` (prompt stripped);
     invalid requests answer with their validation message."""
+    ensure_shipped(prompts.sparkSession)
     schema = T.StructType(prompts.schema.fields + [T.StructField("full_output", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausekit.sources.corpus import spread
+
 # Clause types assigned to documents by hash (adapter design, not reference
 # data).  Mixed case on purpose: metadata matching is case-insensitive,
 # related-clause matching is not.
@@ -33,7 +35,9 @@ CLAUSES_PER_CONTRACT = 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table, spread over the cluster when its scan is narrower
+    than the default parallelism (see ``sources.corpus.spread``)."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _hash6(expr) -> F.Column:

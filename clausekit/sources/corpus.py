@@ -23,6 +23,21 @@ PANDAS_NA_VALUES = [
 ]
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over ``min_partitions`` (default: the cluster's
+    default parallelism) when its scan has fewer partitions.
+
+    A single large file with one row group scans as one task, which would
+    run all per-row text work on one core.  At scale the scan has far more
+    splits than cores and this is a no-op, so it never adds a shuffle there.
+    (Round-robin repartitioning sorts locally first, so a retried task gets
+    the same rows.)"""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def read_corpus(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
     """Annotated corpus with a declared schema.
 
