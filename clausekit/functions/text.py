@@ -29,12 +29,17 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def words(c) -> Column:
+    """``s.split()``: whitespace-separated tokens as ``array<string>``
+    (``[]`` for empty or whitespace-only text, null for null).  One regex
+    split plus an empty-token filter: the text is scanned once."""
+    return F.filter(F.split(_c(c), WS_CLASS + "+"), lambda x: x != "")
+
+
 def normalize_ws(c) -> Column:
     """``' '.join(s.split())``: collapse every Unicode whitespace run into one
     space and drop leading/trailing whitespace."""
-    collapsed = F.regexp_replace(_c(c), WS_CLASS + "+", " ")
-    # after collapsing, the only whitespace left at the edges is one space
-    return F.regexp_replace(collapsed, r"^ | $", "")
+    return F.array_join(words(c), " ")
 
 
 def unicode_trim(c) -> Column:
@@ -45,15 +50,7 @@ def unicode_trim(c) -> Column:
 
 def word_count(c) -> Column:
     """``len(s.split())``; 0 for empty or whitespace-only text and for null."""
-    norm = normalize_ws(c)
-    return (F.when(norm.isNull() | (norm == ""), F.lit(0))
-            .otherwise(F.size(F.split(norm, " "))).cast("int"))
-
-
-def words(c) -> Column:
-    """Whitespace tokens as ``array<string>``; empty text gives ``[]``."""
-    norm = normalize_ws(c)
-    return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(norm, " "))
+    return F.coalesce(F.size(words(c)), F.lit(0)).cast("int")
 
 
 def clause_type_from_question(c) -> Column:
