@@ -269,6 +269,12 @@ def q_enrich_clauses(spark, d):
     return E.enriched(spark, d)
 
 
+@register("stream_enrich_clauses")
+def q_stream_enrich_clauses(spark, d):
+    from clausekit.streaming.incremental import enrich_documents_stream
+    return enrich_documents_stream(spark, d)
+
+
 @register("enrich_clauses_flat")
 def q_enrich_clauses_flat(spark, d):
     return E.enriched(spark, d, indent="")

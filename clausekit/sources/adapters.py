@@ -45,12 +45,18 @@ def _hash6(expr) -> F.Column:
 
 
 def contract_of(doc_id) -> F.Column:
-    return F.concat(F.lit("Contract "), (doc_id / CLAUSES_PER_CONTRACT).cast("bigint").cast("string"))
+    n = F.try_divide(doc_id - doc_id % CLAUSES_PER_CONTRACT, F.lit(CLAUSES_PER_CONTRACT))
+    return F.concat(F.lit("Contract "), n.cast("bigint").cast("string"))
 
 
 def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X1: one clause row per document; raw (uncleaned) whole text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return clauses_from(table(spark, sf_dir, "documents"))
+
+
+def clauses_from(documents: DataFrame) -> DataFrame:
+    """X1 over any documents DataFrame (batch or streaming)."""
+    d = documents.select("doc_id", "text")
     h = _hash6(F.concat(F.lit("t"), F.col("doc_id").cast("string")))
     types = F.array(*[F.lit(t) for t in CLAUSE_TYPES])
     return d.select(
