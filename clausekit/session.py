@@ -33,6 +33,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CLAUSEKIT_DRIVER_MEMORY", "16g"))
     )
+    event_dir = os.environ.get("CLAUSEKIT_EVENT_LOG_DIR")
+    if event_dir:  # stage/task timings for profiling, written to a scratch folder
+        builder = (builder.config("spark.eventLog.enabled", "true")
+                   .config("spark.eventLog.dir", event_dir))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
