@@ -168,15 +168,18 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X5: a user turn followed by an assistant turn is one
-    (instruction, response) pair.  The window is per conversation."""
-    from pyspark.sql import Window
+    (instruction, response) pair.
+
+    ``turn`` is the 0-based position in the conversation, so "the next turn"
+    is an equi-join on ``(conv_id, turn + 1)``.  Hash-partitioned on both
+    columns, a conversation holding a third of all turns still spreads over
+    every task (a window over ``conv_id`` would put it in one)."""
     cv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt = cv.select("conv_id", "turn", "role", "text",
-                    F.lead("role").over(w).alias("next_role"),
-                    F.lead("text").over(w).alias("next_text"))
-    return nxt.where((F.col("role") == "user") & (F.col("next_role") == "assistant")).select(
-        "conv_id", "turn", F.col("text").alias("instruction"), F.col("next_text").alias("response"))
+    user = cv.where(F.col("role") == "user").select(
+        "conv_id", "turn", F.col("text").alias("instruction"), (F.col("turn") + 1).alias("_next"))
+    nxt = cv.where(F.col("role") == "assistant").select(
+        "conv_id", F.col("turn").alias("_next"), F.col("text").alias("response"))
+    return user.join(nxt, ["conv_id", "_next"], "inner").select("conv_id", "turn", "instruction", "response")
 
 
 def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
