@@ -137,14 +137,17 @@ Labeller = Callable[[str, str], str]
 
 def label_batch(df: DataFrame, make_labeller: Callable[[], Labeller],
                 ctx_col: str = "enriched_context", max_retries: int = MAX_RETRIES,
-                pause_s: float = RETRY_PAUSE_S, pause_between_s: float = 0.0) -> DataFrame:
+                pause_s: float = RETRY_PAUSE_S, pause_between_s: float = 0.0,
+                concurrency: int | None = None) -> DataFrame:
     """Label every row with ``make_labeller()(system_prompt, user_prompt)``.
 
     ``make_labeller`` is picklable and is called once per partition (one
     client per task).  Each reply is parsed strictly; a failed attempt is
     retried after ``pause_s`` up to ``max_retries`` times, then the default
-    label is used.  Output adds ``risk_level, risk_reason, plain_summary,
-    parse_status, attempts``."""
+    label is used.  ``concurrency`` caps the number of partitions, i.e. of
+    clients calling the service at once (the rate limit); ``pause_between_s``
+    spaces the calls of one client.  Output adds ``risk_level, risk_reason,
+    plain_summary, parse_status, attempts``."""
     ensure_shipped(df.sparkSession)
     out_schema = T.StructType(df.schema.fields + [
         T.StructField("risk_level", T.StringType()),
@@ -183,7 +186,8 @@ def label_batch(df: DataFrame, make_labeller: Callable[[], Labeller],
                                              "parse_status", "attempts"], index=pdf.index)
             yield pd.concat([pdf, lab], axis=1)
 
-    return df.mapInPandas(run, out_schema)
+    src = df.repartition(concurrency) if concurrency else df
+    return src.mapInPandas(run, out_schema)
 
 
 def label_incremental(todo: DataFrame, done_path: str, make_labeller: Callable[[], Labeller],

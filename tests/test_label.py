@@ -100,3 +100,10 @@ def test_label_prompts(spark):
                                 "Remember: Respond ONLY with valid JSON, nothing else.")
     for key in ("risk_level", "risk_reason", "plain_summary", "HIGH", "MEDIUM", "LOW", "JSON"):
         assert key in r["system_prompt"]
+
+
+def test_label_batch_concurrency_keeps_rows(spark):
+    df = spark.range(50).selectExpr("cast(id as string) AS enriched_context")
+    out = L.label_batch(df, make_flaky, pause_s=0, concurrency=3)
+    assert out.rdd.getNumPartitions() == 3
+    assert sorted(r["enriched_context"] for r in out.collect()) == sorted(str(i) for i in range(50))
