@@ -78,6 +78,15 @@ def flatten_corpus(corpus: DataFrame, keep: Sequence[str] = ("file_ord",),
                     F.col("q_pos").cast("int"), F.col("a_pos").cast("int"))
 
 
+def with_clause_ordinal(clauses: DataFrame, keep: Sequence[str] = ("file_ord",),
+                        out: str = "ord") -> DataFrame:
+    """Unique ``ord`` in document order (file, contract, paragraph, question,
+    answer), numbered without a single-partition window (see
+    ``operators.ordinal``)."""
+    from clausekit.operators.ordinal import dense_ordinal
+    return dense_ordinal(clauses, [*keep, "c_pos", "p_pos", "q_pos", "a_pos"], out)
+
+
 def clean_clauses(clauses: DataFrame, ord_col: str = "ord") -> DataFrame:
     """Clean clause rows: normalised lower-case text, type, contract, ordinal."""
     return clauses.select(

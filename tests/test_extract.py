@@ -90,3 +90,12 @@ def test_stage_roundtrip_csv(spark, tmp_path):
 def test_read_or_empty(spark, tmp_path):
     df = src.read_or_empty(spark, str(tmp_path / "missing"), "a string")
     assert df.count() == 0 and df.columns == ["a"]
+
+
+def test_clause_ordinal_follows_document_order(spark, tmp_path):
+    p = tmp_path / "c.json"
+    p.write_text(json.dumps(_corpus_obj()))
+    df = extract.with_clause_ordinal(extract.flatten_corpus(src.read_corpus(spark, str(p))))
+    got = [r["clause_text"] for r in df.orderBy("ord").collect()]
+    assert got == ["first", "second", "third"]
+    assert sorted(r["ord"] for r in df.collect()) == [0, 1, 2]
