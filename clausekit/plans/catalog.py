@@ -45,6 +45,12 @@ def q_extract_clauses(spark, d):
     return D.corpus_rows(spark, d, with_context=True)
 
 
+@register("clause_ordinals")
+def q_clause_ordinals(spark, d):
+    rows = extract.with_clause_ordinal(D.corpus_rows(spark, d, with_context=False))
+    return rows.select("file_ord", "a_pos", "ord")
+
+
 @register("answerable_filter")
 def q_answerable_filter(spark, d):
     return extract.answerable_questions(X.corpus(spark, d), ("file_ord",))

@@ -241,6 +241,11 @@ LAB_BLOCKS = ENRICHED_ALL + (REPLIES, PARSED, LABELLED)
 
 oracle("extract_clauses", W(CORPUS, CROWS) + "SELECT * FROM crows")
 
+oracle("clause_ordinals", W(CORPUS, CROWS) + """
+SELECT file_ord, a_pos,
+       row_number() OVER (ORDER BY file_ord, c_pos, p_pos, q_pos, a_pos) - 1 AS ord
+FROM crows""")
+
 oracle("answerable_filter", W(CORPUS) + """
 SELECT file_ord, 0::INTEGER AS c_pos, 0::INTEGER AS p_pos, 0::INTEGER AS q_pos,
        title AS contract_name, q_id, CAST(len(answers) AS INTEGER) AS n_answers
