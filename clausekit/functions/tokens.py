@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clausekit.functions.text import words
 
@@ -78,3 +80,20 @@ def padded_length(max_len: Column, multiple: int = PAD_MULTIPLE) -> Column:
 def pad_right(arr, target_len: Column, pad_value: int) -> Column:
     a = _c(arr)
     return F.concat(a, F.array_repeat(F.lit(pad_value), target_len - F.size(a)))
+
+
+def udf_tokenizer(encode: Callable[[str], list[int]]) -> Tokenizer:
+    """Wrap a Python ``encode(text) -> ids`` (e.g. a BPE tokenizer's encode)
+    as a tokenizer column function: one Arrow-batched ``pandas_udf`` per
+    batch, the encoder loaded once per Python worker.  Null text gives null."""
+    from clausekit._ship import ensure_shipped
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def _encode(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [int(i) for i in encode(t)])
+
+    def tokenizer(text: Column) -> Column:
+        ensure_shipped()
+        return _encode(text)
+
+    return tokenizer

@@ -73,3 +73,15 @@ def test_truncation(spark):
     df = spark.createDataFrame([(" ".join(["w"] * 3000),)], "t string")
     r = T.tokenize(df, "t").first()
     assert len(r["input_ids"]) == 2048 and sum(r["attention_mask"]) == 2048
+
+
+def char_len_encode(text):
+    return [len(w) for w in text.split()]
+
+
+def test_pluggable_python_tokenizer(spark):
+    df = spark.createDataFrame([("ab cde f", "f"), (None, "x")], "chat_text string, response string")
+    tok = tk.udf_tokenizer(char_len_encode)
+    out = T.format_for_training(df, tokenizer=tok).collect()
+    got = {tuple(r["input_ids"]) if r["input_ids"] is not None else None: list(r["labels"] or []) for r in out}
+    assert got[(2, 3, 1)] == [-100, -100, 1]
