@@ -34,10 +34,16 @@ CLAUSE_TYPES = [
 CLAUSES_PER_CONTRACT = 12
 
 
+# tables whose rows carry whole texts: per-row CPU work is heavy, so a scan
+# narrower than the cluster is spread before it (``sources.corpus.spread``)
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cluster when its scan is narrower
-    than the default parallelism (see ``sources.corpus.spread``)."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A driver table; text tables are spread over the cluster when their
+    scan has fewer partitions than the default parallelism."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def _hash6(expr) -> F.Column:
