@@ -113,14 +113,24 @@ def split_quotas(counts: DataFrame, strata: str = "clause_type",
 
 
 def stratified_split(df: DataFrame, strata: str = "clause_type", key: str = "ord",
-                     test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
+                     test_size: float = TEST_SIZE, seed: int = SEED,
+                     materialize: bool = False) -> DataFrame:
     """Add ``split`` in {train, val}: exact per-stratum quotas (see
     ``split_quotas``), rows ranked by the seeded hash.
 
     No stratum is ever ranked in one task: rows are bucketed by the first 16
     bits of their hash; a histogram (partial aggregate) finds, per stratum,
     the bucket where the quota falls.  Rows below it are train, above it val,
-    and only the rows of that one bucket are ranked."""
+    and only the rows of that one bucket are ranked.
+
+    The input is read three times (counts, histogram, rows).
+    ``materialize=True`` first writes it to the reliable checkpoint folder
+    (``spark.checkpoint.dir``), so an expensive or non-deterministic
+    upstream plan is computed once and every pass sees the same rows."""
+    if materialize:
+        from clausekit.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     h = sort_key(key, seed)
     rows = (df.withColumn("_h", h)
             .withColumn("_b", F.conv(F.substring("_h", 1, SPLIT_BUCKET_HEX), 16, 10).cast("int")))

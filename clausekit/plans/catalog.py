@@ -187,7 +187,7 @@ def q_loss_summary(spark, d):
 
 @register("training_schedule")
 def q_training_schedule(spark, d):
-    s = sample.stratified_split(D.training_rows(spark, d).select("ord", "clause_type"))
+    s = sample.stratified_split(D.training_rows(spark, d).select("ord", "clause_type"), materialize=True)
     return profile.training_schedule(s.where(F.col("split") == "train"))
 
 
@@ -449,12 +449,12 @@ def q_instruction_response(spark, d):
 
 @register("stratified_split")
 def q_stratified_split(spark, d):
-    return sample.stratified_split(D.training_rows(spark, d).select("ord", "clause_type"))
+    return sample.stratified_split(D.training_rows(spark, d).select("ord", "clause_type"), materialize=True)
 
 
 @register("split_balance")
 def q_split_balance(spark, d):
-    return sample.split_balance(sample.stratified_split(D.training_rows(spark, d).select("ord", "clause_type")))
+    return sample.split_balance(sample.stratified_split(D.training_rows(spark, d).select("ord", "clause_type"), materialize=True))
 
 
 @register("chat_messages")

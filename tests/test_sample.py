@@ -81,3 +81,8 @@ def test_split_hot_class_uses_bucket_ranking(spark):
     want = set(sorted(range(20000), key=lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k))[:16000])
     got = {r["ord"] for r in sp.where("split = 'train'").select("ord").collect()}
     assert got == want
+
+
+def test_split_materialized_same_result(spark):
+    df = _strata(spark, {"a": 40, "b": 9})
+    assert rows(S.stratified_split(df, materialize=True)) == rows(S.stratified_split(df))
