@@ -51,6 +51,42 @@ def q_clause_ordinals(spark, d):
     return rows.select("file_ord", "a_pos", "ord")
 
 
+def _scratch(spark, name):
+    from clausekit.streaming.incremental import _scratch as scratch
+    return scratch(spark, name)
+
+
+_MASTER_FIELDS = ["filename", "document_name_answer", "agreement_date_answer", "effective_date_answer",
+                  "expiration_date_answer", "renewal_term_answer", "notice_period_answer",
+                  "governing_law_answer"]
+
+
+@register("master_csv_roundtrip")
+def q_master_csv_roundtrip(spark, d):
+    """Master rows written as a quoted cp1252 CSV with the original headers
+    (plus a column the reader must ignore), read back with ``read_master``."""
+    from clausekit import schemas
+    from clausekit.sources import corpus as src
+    m = X.master(spark, d)
+    back = {v: k for k, v in schemas.MASTER_RENAME.items()}
+    out = m.select(*[F.col(c).alias(back[c]) for c in _MASTER_FIELDS],
+                   F.col("file_ord").alias("Category"))
+    path = _scratch(spark, "master-csv")
+    src.write_stage(out, path, fmt="csv", encoding="windows-1252")
+    return src.read_master(spark, path).select(*_MASTER_FIELDS)
+
+
+@register("corpus_json_roundtrip")
+def q_corpus_json_roundtrip(spark, d):
+    """The nested corpus written as JSON lines (one contract per line), read
+    back with ``read_corpus`` and flattened."""
+    from clausekit.sources import corpus as src
+    path = _scratch(spark, "corpus-jsonl")
+    src.write_stage(X.corpus(spark, d).select(F.explode("data").alias("c")).select("c.*"), path, fmt="json")
+    rows = extract.flatten_corpus(src.read_corpus(spark, path, json_lines=True), with_context=False)
+    return rows.drop("file_ord")
+
+
 @register("answerable_filter")
 def q_answerable_filter(spark, d):
     return extract.answerable_questions(X.corpus(spark, d), ("file_ord",))

@@ -246,6 +246,14 @@ SELECT file_ord, a_pos,
        row_number() OVER (ORDER BY file_ord, c_pos, p_pos, q_pos, a_pos) - 1 AS ord
 FROM crows""")
 
+oracle("master_csv_roundtrip", W(B.MASTER) + """
+SELECT filename, document_name_answer, agreement_date_answer, effective_date_answer,
+       expiration_date_answer, renewal_term_answer, notice_period_answer, governing_law_answer
+FROM master""")
+
+oracle("corpus_json_roundtrip", W(CORPUS, CROWS) + """
+SELECT contract_name, clause_type, question, q_id, clause_text, c_pos, p_pos, q_pos, a_pos FROM crows""")
+
 oracle("answerable_filter", W(CORPUS) + """
 SELECT file_ord, 0::INTEGER AS c_pos, 0::INTEGER AS p_pos, 0::INTEGER AS q_pos,
        title AS contract_name, q_id, CAST(len(answers) AS INTEGER) AS n_answers

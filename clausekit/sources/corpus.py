@@ -56,10 +56,23 @@ def read_corpus(spark: SparkSession, path: str, json_lines: bool = False) -> Dat
     return df.withColumn("file_ord", F.monotonically_increasing_id())
 
 
+# charsets Spark 4 accepts without the legacy flag
+_STANDARD_CHARSETS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"}
+
+
+def allow_charset(spark: SparkSession, encoding: str) -> None:
+    """Spark 4 rejects legacy charsets such as windows-1252 (the master file's
+    encoding) unless ``spark.sql.legacy.javaCharsets`` is on; ISO-8859-1 is
+    accepted but decodes 0x80-0x9F (smart quotes) wrongly."""
+    if encoding.lower() not in _STANDARD_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+
+
 def read_master(spark: SparkSession, path: str, encoding: str = "windows-1252",
                 na_values: list[str] | None = None) -> DataFrame:
     """Master CSV, keeping only the eight used columns, renamed snake_case,
     with ``file_ord`` (row order in the file) for first-row-wins."""
+    allow_charset(spark, encoding)
     na = PANDAS_NA_VALUES if na_values is None else na_values
     raw = (spark.read
            .option("header", True)
@@ -84,17 +97,25 @@ def read_stage(spark: SparkSession, path: str, schema=None, fmt: str = "parquet"
     return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
 
 
-def write_stage(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+def write_stage(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
+                encoding: str = "utf-8") -> None:
     """Write a stage table.  CSV quotes every cell and stores struct/array
-    columns as JSON text."""
+    columns as JSON text; ``json`` writes JSON lines."""
+    if fmt == "json":
+        df.write.mode(mode).json(path)
+        return
     if fmt == "csv":
+        allow_charset(df.sparkSession, encoding)
         out = df.select(*[
             F.to_json(F.col(f.name)).alias(f.name)
             if f.dataType.typeName() in ("struct", "array", "map") else F.col(f.name)
             for f in df.schema.fields
         ])
+        # the CSV writer trims cell whitespace by default: keep values as they are
         (out.write.mode(mode).option("header", True).option("quoteAll", True)
-         .option("escape", '"').csv(path))
+         .option("escape", '"').option("encoding", encoding)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .csv(path))
     else:
         df.write.mode(mode).parquet(path)
 

@@ -99,3 +99,10 @@ def test_clause_ordinal_follows_document_order(spark, tmp_path):
     got = [r["clause_text"] for r in df.orderBy("ord").collect()]
     assert got == ["first", "second", "third"]
     assert sorted(r["ord"] for r in df.collect()) == [0, 1, 2]
+
+
+def test_csv_stage_keeps_edge_whitespace(spark, tmp_path):
+    df = spark.createDataFrame([(" lead", "trail ", None)], "a string, b string, c string")
+    src.write_stage(df, str(tmp_path / "w"), fmt="csv", encoding="windows-1252")
+    back = src.read_stage(spark, str(tmp_path / "w"), "a string, b string, c string", fmt="csv").first()
+    assert (back["a"], back["b"], back["c"]) == (" lead", "trail ", None)
