@@ -26,6 +26,7 @@ DEFAULT_TARGET_CLAUSE = ""
 MAX_NEW_TOKENS = 350
 TEMPERATURE = 0.3
 TOP_P = 0.9
+MAX_INPUT_TOKENS = 2048
 CLAUSE_TYPE_CHOICES = [
     "Non-Compete", "Non-Disparagement", "Covenant Not to Sue", "Exclusivity",
     "License Grant", "Cap on Liability", "Termination for Convenience",
@@ -103,16 +104,23 @@ def strip_prompt(output="full_output", prompt="prompt") -> Column:
 Scorer = Callable[[str], str]
 
 
-def score_batch(prompts: DataFrame, make_scorer: Callable[[], Scorer],
-                prompt_col: str = "prompt") -> DataFrame:
+GENERATION = {"max_new_tokens": MAX_NEW_TOKENS, "temperature": TEMPERATURE, "top_p": TOP_P,
+              "max_input_tokens": MAX_INPUT_TOKENS}
+
+
+def score_batch(prompts: DataFrame, make_scorer: Callable[..., Scorer],
+                prompt_col: str = "prompt", generation: dict | None = None) -> DataFrame:
     """Run the scorer on every valid request (``mapInPandas``, one model per
     partition) and add ``full_output`` and ``response`` (prompt stripped);
-    invalid requests answer with their validation message."""
+    invalid requests answer with their validation message.  The factory is
+    called as ``make_scorer(**generation)`` (default: the serving settings,
+    ``GENERATION``)."""
+    gen = dict(GENERATION if generation is None else generation)
     ensure_shipped(prompts.sparkSession)
     schema = T.StructType(prompts.schema.fields + [T.StructField("full_output", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = make_scorer()
+        scorer = make_scorer(**gen)
         for pdf in batches:
             outs = [None if p is None else scorer(p) for p in pdf[prompt_col]]
             yield pdf.assign(full_output=outs)

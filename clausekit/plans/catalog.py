@@ -413,16 +413,22 @@ def q_label_prompts(spark, d):
 
 
 class StubLabeller:
-    """Deterministic stand-in for a hosted model: answers from a hash of the
-    prompt; every fifth prompt first gets a broken reply (exercises retries)."""
+    """Deterministic stand-in for a hosted model.  The reply depends only on
+    ``h`` = the first 8 hex digits of md5(user prompt): risk by ``h % 3``,
+    reason/summary numbers by ``h % 97`` / ``h % 89``.  When ``h % 5 == 0``
+    the first attempt for a row gets a broken reply (exercises the retry)."""
+
+    def __init__(self):
+        self.pending = None  # prompt whose first attempt just failed
 
     def __call__(self, system: str, user: str) -> str:
         import hashlib
         import json
         h = int(hashlib.md5(user.encode("utf-8")).hexdigest()[:8], 16)
-        self.calls = getattr(self, "calls", 0) + 1
-        if h % 5 == 0 and self.calls % 2 == 1:
+        if h % 5 == 0 and self.pending != user:
+            self.pending = user
             return '{"risk_level": "HIGH", '
+        self.pending = None
         risk = ["HIGH", "MEDIUM", "LOW"][h % 3]
         return json.dumps({"risk_level": risk, "risk_reason": f"Stub reason {h % 97}.",
                            "plain_summary": f"Stub summary {h % 89}."})
@@ -562,7 +568,8 @@ def q_inference_prompts(spark, d):
     return scoring.inference_prompts(D.requests(spark, d)).select(*_REQ_KEY, "message", "prompt")
 
 
-def make_echo_scorer():
+def make_echo_scorer(**generation):
+    """Stand-in model: echoes the prompt and appends a fixed answer."""
     def score(prompt: str) -> str:
         return prompt + "**Risk Assessment:** LOW\n  A short answer.  \n"
     return score

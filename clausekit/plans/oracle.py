@@ -527,6 +527,15 @@ SELECT ord, {q(tpl.LABEL_SYSTEM_PROMPT)} AS system_prompt,
        {q(tpl.LABEL_USER_HEAD)} || enriched_context || {q(tpl.LABEL_USER_TAIL)} AS user_prompt
 FROM labelled""")
 
+_H = ("('0x' || substr(md5(" + q(tpl.LABEL_USER_HEAD) + " || enriched_context || "
+      + q(tpl.LABEL_USER_TAIL) + "), 1, 8))::BIGINT")
+oracle("label_batch_stub", W(*SAMPLE_BLOCKS) + f"""
+SELECT ord, (['HIGH', 'MEDIUM', 'LOW'])[h % 3 + 1] AS risk_level,
+       'Stub reason ' || CAST(h % 97 AS VARCHAR) || '.' AS risk_reason,
+       'Stub summary ' || CAST(h % 89 AS VARCHAR) || '.' AS plain_summary,
+       'ok' AS parse_status, CAST(CASE WHEN h % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts
+FROM (SELECT ord, {_H} AS h FROM sampled)""")
+
 oracle("parse_labels", W(REPLIES, PARSED) +
        "SELECT doc_id, risk_level, risk_reason, plain_summary, parse_status FROM parsed")
 
@@ -620,3 +629,6 @@ SELECT file_ord, a_pos, array_to_string(f, ',') AS out_of_domain
 FROM (SELECT file_ord, a_pos, list_filter([{_OOD}], lambda x: x IS NOT NULL) AS f FROM rdef)
 WHERE len(f) > 0""")
 
+# the echo scorer returns prompt + fixed answer, so the scored response is the
+# stripped-prompt response
+oracle("score_batch_stub", ORACLE["strip_prompt"])

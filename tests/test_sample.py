@@ -86,3 +86,21 @@ def test_split_hot_class_uses_bucket_ranking(spark):
 def test_split_materialized_same_result(spark):
     df = _strata(spark, {"a": 40, "b": 9})
     assert rows(S.stratified_split(df, materialize=True)) == rows(S.stratified_split(df))
+
+
+def test_split_quota_properties():
+    """Quota arithmetic on random class sizes (pure: run through Spark once)."""
+    import random
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    rnd = random.Random(3)
+    cases = [[rnd.choice([1, 1, 2, 3, 5, 8, 50, 400]) for _ in range(rnd.randint(1, 12))] for _ in range(25)]
+    rows_ = [(i, f"c{j}", n) for i, sizes in enumerate(cases) for j, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows_, "case int, clause_type string, n bigint")
+    for i, sizes in enumerate(cases):
+        q = {r["clause_type"]: r["n_train"] for r in S.split_quotas(df.where(f"case = {i}").drop("case")).collect()}
+        total = sum(sizes)
+        assert sum(q.values()) == total - math.ceil(0.2 * total)
+        for j, n in enumerate(sizes):
+            exact = n * (total - math.ceil(0.2 * total)) / total
+            assert math.floor(exact) <= q[f"c{j}"] <= math.ceil(exact) and 0 <= q[f"c{j}"] <= n

@@ -34,7 +34,8 @@ def test_inference_prompt_golden(spark):
         "Provide your analysis:\n")
 
 
-def make_echo():
+def make_echo(**generation):
+    assert generation["max_new_tokens"] == 350 and generation["temperature"] == 0.3
     return lambda p: p + "  ANSWER \n"
 
 
