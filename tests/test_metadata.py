@@ -127,3 +127,16 @@ def test_join_reconciliation(spark):
     m = M.canonicalize_master(_master(spark, [("B.pdf", None, None, None, None, None, None, None, 0),
                                               ("C.pdf", None, None, None, None, None, None, None, 1)]))
     assert rows(M.join_reconciliation(c, m)) == [("A", "left_only"), ("C", "right_only")]
+
+
+def test_enriched_plus_quarantine_is_input(spark):
+    from conftest import SF01
+    from clausekit.plans import enrichment as E
+    from clausekit.sources import adapters as X
+    clean = E.clean_clauses(spark, SF01)
+    master = X.master(spark, SF01)
+    e = M.enrich(clean, master, with_metadata=False).select("ord")
+    q = M.unmatched_clauses(clean, master).select("ord")
+    assert e.count() + q.count() == clean.count() == 1000
+    assert e.join(q, "ord", "inner").count() == 0
+    assert e.select("ord").distinct().count() == e.count()   # no fan-out from duplicate master rows
