@@ -51,8 +51,20 @@ def word_count_stats(df: DataFrame, n_col: str = "n_words") -> DataFrame:
                   F.min(c).alias("min_words"), F.avg(c).alias("mean_words"))
 
 
-def length_stats(df: DataFrame, len_col: str = "seq_len") -> DataFrame:
-    """min, max, mean, median, 95th percentile (linear interpolation, exact)."""
+def first_rows(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows in ``order_cols`` order.  Planned as
+    ``TakeOrderedAndProject``: each task keeps its own top ``n``, so the
+    final merge sees at most ``n`` rows per partition, never the table."""
+    return df.orderBy(*order_cols).limit(n)
+
+
+def length_stats(df: DataFrame, len_col: str = "seq_len", first_n: int | None = None,
+                 order_cols: Sequence[str] = ()) -> DataFrame:
+    """min, max, mean, median, 95th percentile (linear interpolation, exact).
+    ``first_n`` restricts to the first rows in ``order_cols`` order (the
+    reference's 100-row diagnostic); default: all rows."""
+    if first_n is not None:
+        df = first_rows(df, first_n, order_cols)
     c = F.col(len_col)
     return df.agg(F.min(c).alias("min_len"), F.max(c).alias("max_len"),
                   F.avg(c).alias("mean_len"), F.percentile(c, 0.5).alias("median_len"),

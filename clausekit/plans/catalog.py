@@ -181,6 +181,11 @@ def q_sequence_length_stats(spark, d):
     return profile.length_stats(_seq_lens(spark, d))
 
 
+@register("sequence_length_stats_first100")
+def q_sequence_length_stats_first100(spark, d):
+    return profile.length_stats(_seq_lens(spark, d), first_n=100, order_cols=("conv_id", "turn"))
+
+
 @register("over_limit_rate")
 def q_over_limit_rate(spark, d):
     return profile.over_limit(_seq_lens(spark, d))

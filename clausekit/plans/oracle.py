@@ -311,6 +311,11 @@ oracle("sequence_length_stats", W(PAIRS, CHAT, SEQ) + """
 SELECT min(seq_len) AS min_len, max(seq_len) AS max_len, avg(seq_len) AS mean_len,
        quantile_cont(seq_len, 0.5) AS median_len, quantile_cont(seq_len, 0.95) AS p95_len FROM seq""")
 
+oracle("sequence_length_stats_first100", W(PAIRS, CHAT, SEQ) + """
+SELECT min(seq_len) AS min_len, max(seq_len) AS max_len, avg(seq_len) AS mean_len,
+       quantile_cont(seq_len, 0.5) AS median_len, quantile_cont(seq_len, 0.95) AS p95_len
+FROM (SELECT * FROM seq ORDER BY conv_id, turn LIMIT 100)""")
+
 oracle("over_limit_rate", W(PAIRS, CHAT, SEQ) + """
 SELECT count(*) FILTER (WHERE seq_len > 2048) AS n_over, count(*) AS n,
        count(*) FILTER (WHERE seq_len > 2048) * 100.0 / count(*) AS pct_over FROM seq""")
