@@ -118,23 +118,31 @@ def _has(t: str) -> Column:
     return F.max(F.lower(F.col("clause_type")) == t)
 
 
-def _has_text(t: str) -> Column:
-    return F.max((F.lower(F.col("clause_type")) == t)
-                 & (F.coalesce(F.col("clause_text_cleaned"), F.lit("")) != ""))
+def _has_text(t: str, text_flag: Column) -> Column:
+    return F.max((F.lower(F.col("clause_type")) == t) & text_flag)
 
 
 def contract_flags(clean: DataFrame, extended: bool = False) -> DataFrame:
     """Per-contract presence flags: one partial aggregation, no lists (except
-    the ordered parties list of the extended variant)."""
+    the ordered parties list of the extended variant).
+
+    When ``clean`` carries a boolean ``has_text`` column (a materialized
+    clean table, see ``plans.enrichment.write_clean``), the provision flags
+    read it instead of the text, so on Parquet this pass scans three small
+    columns only."""
+    if "has_text" in clean.columns:
+        text_flag = F.coalesce(F.col("has_text"), F.lit(False))
+    else:
+        text_flag = F.coalesce(F.col("clause_text_cleaned"), F.lit("")) != ""
     aggs = [
         _has(T_DOCUMENT_NAME).alias("has_document_name"),
         _has(T_GOVERNING_LAW).alias("has_governing_law"),
         _has(T_RENEWAL_TERM).alias("has_renewal_term"),
         _has(T_NOTICE_PERIOD).alias("has_notice_period"),
-        _has_text(T_TERMINATION).alias("prov_termination"),
-        _has_text(T_CHANGE).alias("prov_change"),
-        _has_text(T_CAP).alias("prov_cap"),
-        _has_text(T_MINIMUM).alias("prov_minimum"),
+        _has_text(T_TERMINATION, text_flag).alias("prov_termination"),
+        _has_text(T_CHANGE, text_flag).alias("prov_change"),
+        _has_text(T_CAP, text_flag).alias("prov_cap"),
+        _has_text(T_MINIMUM, text_flag).alias("prov_minimum"),
     ]
     if extended:
         aggs += [

@@ -316,6 +316,15 @@ def q_enrich_clauses(spark, d):
     return E.enriched(spark, d)
 
 
+@register("enrich_from_stage")
+def q_enrich_from_stage(spark, d):
+    """The flagship over a materialized clean stage (written to the
+    checkpoint folder, read back): same rows as ``enrich_clauses``."""
+    path = _scratch(spark, "clean-stage")
+    E.write_clean(E.clean_clauses(spark, d), path)
+    return E.enriched_from_stage(spark, path, X.master(spark, d))
+
+
 @register("stream_enrich_clauses")
 def q_stream_enrich_clauses(spark, d):
     from clausekit.streaming.incremental import enrich_documents_stream

@@ -434,6 +434,7 @@ oracle("enrich_clauses", W(*ENRICHED_ALL) +
        "SELECT ord, contract_name, clause_type, clause_text, enriched_context FROM enriched")
 
 oracle("stream_enrich_clauses", ORACLE["enrich_clauses"])
+oracle("enrich_from_stage", ORACLE["enrich_clauses"])
 
 oracle("enrich_clauses_flat", W(*ENRICHED_ALL[:-1]) + f"""
 SELECT c.ord, c.contract_name, c.clause_type, c.clause_text_cleaned AS clause_text,
