@@ -9,7 +9,7 @@ from clausekit.functions import templates as tpl
 from clausekit.functions import tokens as tk
 from clausekit.operators.ordinal import dense_ordinal
 
-# Chat rendering defaults in the public Llama-3 chat layout.  The tokenizer's
+# Chat rendering defaults: a common header / end-of-turn marker layout.  The tokenizer's
 # own template is not part of the reference; callers pass theirs.
 CHAT_BOS = "<|begin_of_text|>"
 CHAT_HEADER_START = "<|start_header_id|>"
