@@ -459,6 +459,23 @@ def q_label_batch_stub(spark, d):
         "ord", "risk_level", "risk_reason", "plain_summary", "parse_status", "attempts")
 
 
+@register("stream_label_sampled")
+def q_stream_label_sampled(spark, d):
+    """The sampled rows arrive as files; ``label_stream`` labels them
+    micro-batch by micro-batch (resume by key) with the stub model."""
+    from clausekit.streaming.incremental import _scratch as scratch, label_stream
+    base = scratch(spark, "label-stream")
+    rows = D.sampled(spark, d).select("ord", "clause_type", "enriched_context")
+    rows.write.parquet(f"{base}/todo")
+    todo = spark.readStream.schema(rows.schema).parquet(f"{base}/todo")
+    q = label_stream(todo, f"{base}/done", f"{base}/chk", make_stub_labeller, pause_s=0.0)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.parquet(f"{base}/done").select(
+        "ord", "risk_level", "risk_reason", "plain_summary", "parse_status", "attempts")
+
+
 @register("parse_labels")
 def q_parse_labels(spark, d):
     return D.parsed_replies(spark, d).drop("reply")

@@ -638,3 +638,4 @@ WHERE len(f) > 0""")
 # the echo scorer returns prompt + fixed answer, so the scored response is the
 # stripped-prompt response
 oracle("score_batch_stub", ORACLE["strip_prompt"])
+oracle("stream_label_sampled", ORACLE["label_batch_stub"])
