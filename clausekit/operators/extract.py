@@ -54,8 +54,12 @@ def flatten_corpus(corpus: DataFrame, keep: Sequence[str] = ("file_ord",),
     as the file ordinal.  ``with_context=False`` drops ``full_context`` (a
     whole paragraph per answer row) at the source instead of downstream.
     """
+    from clausekit.sources.corpus import spread
     k = [F.col(c) for c in keep]
     c = corpus.select(*k, F.posexplode("data").alias("c_pos", "contract"))
+    # a multi-line corpus file is one task: spread the contracts before the
+    # per-answer work (no-op when the input already has enough partitions)
+    c = spread(c) if not corpus.isStreaming else c
     p = c.select(*k, "c_pos", F.col("contract.title").alias("contract_name"),
                  F.posexplode("contract.paragraphs").alias("p_pos", "para"))
     q = p.select(*k, "c_pos", "contract_name", "p_pos",
