@@ -85,3 +85,9 @@ def test_pluggable_python_tokenizer(spark):
     out = T.format_for_training(df, tokenizer=tok).collect()
     got = {tuple(r["input_ids"]) if r["input_ids"] is not None else None: list(r["labels"] or []) for r in out}
     assert got[(2, 3, 1)] == [-100, -100, 1]
+
+
+def test_dense_ordinal_reliable_checkpoint(spark):
+    df = spark.range(0, 3000, 7).repartition(5).withColumnRenamed("id", "k")
+    got = sorted((r["row_idx"], r["k"]) for r in dense_ordinal(df, ["k"], reliable=True).collect())
+    assert got == [(i, k) for i, k in enumerate(range(0, 3000, 7))]
