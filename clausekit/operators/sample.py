@@ -132,8 +132,7 @@ def stratified_split(df: DataFrame, strata: str = "clause_type", key: str = "ord
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
     h = sort_key(key, seed)
-    rows = (df.withColumn("_h", h)
-            .withColumn("_b", F.conv(F.substring("_h", 1, SPLIT_BUCKET_HEX), 16, 10).cast("int")))
+    rows = df.withColumns({"_h": h, "_b": F.conv(F.substring(h, 1, SPLIT_BUCKET_HEX), 16, 10).cast("int")})
     counts = rows.groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
     quotas = split_quotas(counts, strata, test_size)
     hist = rows.groupBy(strata, "_b").agg(F.count(F.lit(1)).alias("_cnt"))

@@ -73,22 +73,21 @@ def with_defaults(requests: DataFrame) -> DataFrame:
         "renewal_term": DEFAULT_RENEWAL_TERM, "notice_period": DEFAULT_NOTICE_PERIOD,
         "target_clause": DEFAULT_TARGET_CLAUSE,
     }
-    out = requests
+    cols = {}
     for c, v in defaults.items():
         src = F.col(c) if c in requests.columns else F.lit(None).cast("string")
-        out = out.withColumn(c, F.coalesce(src, F.lit(v)))
+        cols[c] = F.coalesce(src, F.lit(v))
     for c in ("has_liability_cap", "has_termination", "has_change_control", "has_minimum_commitment"):
         src = F.col(c) if c in requests.columns else F.lit(None).cast("boolean")
-        out = out.withColumn(c, F.coalesce(src, F.lit(False)))
-    return out
+        cols[c] = F.coalesce(src, F.lit(False))
+    return requests.withColumns(cols)  # one projection, analysed once
 
 
 def inference_prompts(requests: DataFrame) -> DataFrame:
     """Validate, default and render the inference prompt for each request.
     Invalid requests keep their message and get no prompt."""
     r = with_defaults(requests)
-    r = r.withColumn("message", validation_message()).withColumn(
-        "key_provisions", provisions_from_flags())
+    r = r.withColumns({"message": validation_message(), "key_provisions": provisions_from_flags()})
     prompt = tpl.inference_prompt("clause_text", "contract_type", "jurisdiction", "renewal_term",
                                   "notice_period", "key_provisions", "target_clause")
     return r.withColumn("prompt", F.when(F.col("message").isNull(), prompt))

@@ -29,8 +29,8 @@ def instruction_response(labelled: DataFrame, include_type_in_prompt: bool = Tru
         ctx = F.regexp_replace(ctx, _TARGET_LINE, "")
     instr = tpl.instruction(ctx)
     resp = tpl.response("clause_type", "risk_level", "risk_reason", "plain_summary")
-    return (labelled.withColumn("instruction", instr).withColumn("response", resp)
-            .withColumn("full_text", tpl.full_text(F.col("instruction"), F.col("response"))))
+    return labelled.withColumns({"instruction": instr, "response": resp,
+                                 "full_text": tpl.full_text(instr, resp)})
 
 
 def chat_messages(instruction="instruction", response="response") -> Column:
@@ -52,8 +52,8 @@ def render_chat(messages, bos: str = CHAT_BOS, header_start: str = CHAT_HEADER_S
 def tokenize(df: DataFrame, text_col: str, tokenizer=tk.hash_tokenize,
              max_length: int = tk.MAX_LENGTH) -> DataFrame:
     """``input_ids`` (truncated) and ``attention_mask`` of ones; no padding."""
-    return (df.withColumn("input_ids", tk.truncate(tokenizer(F.col(text_col)), max_length))
-            .withColumn("attention_mask", tk.attention_mask(F.col("input_ids"))))
+    ids = tk.truncate(tokenizer(F.col(text_col)), max_length)
+    return df.withColumn("input_ids", ids).withColumn("attention_mask", tk.attention_mask(F.col("input_ids")))
 
 
 def format_for_training(df: DataFrame, text_col: str = "chat_text", response_col: str = "response",
@@ -85,7 +85,8 @@ def pad_batches(df: DataFrame, batch_size: int = 1, order_cols=("ord",), pad_id:
             "batch_id", F.floor(F.col("_idx") / batch_size)).drop("_idx")
         w = Window.partitionBy("batch_id")   # at most batch_size rows each
         b = b.withColumn("_len", tk.padded_length(F.max(F.size("input_ids")).over(w), multiple))
-    return (b.withColumn("input_ids", tk.pad_right("input_ids", F.col("_len"), pad_id))
-            .withColumn("attention_mask", tk.pad_right("attention_mask", F.col("_len"), 0))
-            .withColumn("labels", tk.pad_right("labels", F.col("_len"), tk.IGNORE_INDEX))
-            .drop("_len"))
+    return b.withColumns({
+        "input_ids": tk.pad_right("input_ids", F.col("_len"), pad_id),
+        "attention_mask": tk.pad_right("attention_mask", F.col("_len"), 0),
+        "labels": tk.pad_right("labels", F.col("_len"), tk.IGNORE_INDEX),
+    }).drop("_len")

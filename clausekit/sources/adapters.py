@@ -16,6 +16,9 @@ training log      events -> (step, loss, eval_loss)
 
 from __future__ import annotations
 
+import threading
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +42,26 @@ CLAUSES_PER_CONTRACT = 12
 TEXT_TABLES = ("documents", "conversations", "pages")
 
 
+_DEFINED: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weakref.WeakKeyDictionary()
+_LOCK = threading.Lock()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; text tables are spread over the cluster when their
-    scan has fewer partitions than the default parallelism."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    scan has fewer partitions than the default parallelism.
+
+    Each table is defined once per session (file listing and footer reads
+    happen once) and the same lazy DataFrame is reused by every plan that
+    reads it.  Nothing is cached: only the definition is shared."""
+    path = f"{sf_dir}/{name}.parquet"
+    with _LOCK:
+        per_session = _DEFINED.setdefault(spark, {})
+        df = per_session.get(path)
+        if df is None:
+            df = spark.read.parquet(path)
+            df = spread(df) if name in TEXT_TABLES else df
+            per_session[path] = df
+    return df
 
 
 def _hash6(expr) -> F.Column:
