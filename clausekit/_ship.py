@@ -39,7 +39,14 @@ def ensure_shipped(spark: SparkSession | None = None) -> None:
     spark = spark or SparkSession.getActiveSession()
     if spark is None:
         return
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): ship via artifacts
+        with _LOCK:
+            if id(spark) not in _SHIPPED:
+                spark.addArtifacts(_zip_package(), pyfile=True)
+                _SHIPPED.add(id(spark))
+        return
     key = id(sc._jsc)
     with _LOCK:
         if key in _SHIPPED:

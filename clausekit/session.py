@@ -49,7 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting a scratch one only when
     the session has none (local tests). On a cluster the shared folder named in
     ``spark.checkpoint.dir`` is used as is."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's setting applies
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        return conf_dir or tempfile.mkdtemp(prefix="clausekit-ckpt-")
     current = sc.getCheckpointDir()
     if current:
         return current

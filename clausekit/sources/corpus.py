@@ -32,10 +32,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     splits than cores and this is a no-op, so it never adds a shuffle there.
     (Round-robin repartitioning sorts locally first, so a retried task gets
     the same rows.)"""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < target
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. Spark Connect): leave as is
+        return df
+    return df.repartition(target) if narrow else df
 
 
 def read_corpus(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
