@@ -7,6 +7,10 @@ sampled -> labelled -> training rows -> chat/tokens; requests for scoring.
 
 from __future__ import annotations
 
+import functools
+import threading
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +18,42 @@ from clausekit.operators import extract, label, metadata, sample, scoring, train
 from clausekit.plans import enrichment as E
 from clausekit.sources import adapters as X
 
+_DEFS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+_LOCK = threading.RLock()
+
+
+def shared(fn):
+    """Define a dataset once per (session, scale-factor folder, arguments):
+    every query that needs it reuses the same lazy DataFrame, so identical
+    subplans share their exchanges and the plan is analysed once.  Only the
+    definition is shared; nothing is cached."""
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, d: str, *args, **kw):
+        key = (fn.__name__, d, args, tuple(sorted(kw.items())))
+        with _LOCK:
+            per = _DEFS.setdefault(spark, {})
+            if key not in per:
+                per[key] = fn(spark, d, *args, **kw)
+            return per[key]
+    return wrapper
+
+
 HAND_REASON = "Reviewed and corrected by hand."
 HAND_SUMMARY = "A hand-checked label."
 
 
+@shared
 def corpus_rows(spark: SparkSession, d: str, with_context: bool = True) -> DataFrame:
     """X2 corpus flattened to clause rows (one per answer line)."""
     return extract.flatten_corpus(X.corpus(spark, d), ("file_ord",), with_context)
 
 
+@shared
 def enriched(spark: SparkSession, d: str) -> DataFrame:
     return E.enriched(spark, d)
 
 
+@shared
 def parsed_replies(spark: SparkSession, d: str) -> DataFrame:
     r = X.replies(spark, d)
     return r.withColumn("p", label.parse_reply("reply")).select(
@@ -34,6 +61,7 @@ def parsed_replies(spark: SparkSession, d: str) -> DataFrame:
         F.col("p.plain_summary"), F.col("p.parse_status"))
 
 
+@shared
 def labelled(spark: SparkSession, d: str) -> DataFrame:
     """Enriched clauses joined to their labeller reply, default label on
     failure: the 7-column labelled rows plus ``ord``."""
@@ -46,6 +74,7 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
         F.col("label.plain_summary").alias("plain_summary"))
 
 
+@shared
 def hand_labels(spark: SparkSession, d: str) -> DataFrame:
     """Second labelled source (the hand-fixed sheet): every enriched clause
     that has a ``labels`` row, risk from (quality, toxic)."""
@@ -56,18 +85,22 @@ def hand_labels(spark: SparkSession, d: str) -> DataFrame:
                     F.lit(HAND_REASON).alias("risk_reason"), F.lit(HAND_SUMMARY).alias("plain_summary"))
 
 
+@shared
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
     return training.instruction_response(label.clean_labels(labelled(spark, d)))
 
 
+@shared
 def to_label(spark: SparkSession, d: str) -> DataFrame:
     return extract.skip_clause_types(enriched(spark, d))
 
 
+@shared
 def sampled(spark: SparkSession, d: str) -> DataFrame:
     return sample.stratified_sample(to_label(spark, d), "clause_type", "ord")
 
 
+@shared
 def chat_pairs(spark: SparkSession, d: str) -> DataFrame:
     """X5 pairs with messages and the rendered chat text."""
     p = X.pairs(spark, d)
@@ -75,10 +108,12 @@ def chat_pairs(spark: SparkSession, d: str) -> DataFrame:
         "chat_text", training.render_chat("messages"))
 
 
+@shared
 def token_rows(spark: SparkSession, d: str) -> DataFrame:
     return training.format_for_training(chat_pairs(spark, d).drop("messages"), "chat_text", "response")
 
 
+@shared
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """Scoring requests: each corpus answer line with its contract's
     metadata (left join: contracts without metadata take the defaults).
