@@ -36,9 +36,15 @@ def stratified_sample(df: DataFrame, strata: str = "clause_type", key: str = "or
     window is planned as ``WindowGroupLimit``: each map task keeps at most
     ``cap`` rows per stratum before the shuffle, so a stratum holding a third
     of the data costs no more than a small one."""
+    df = df.where(F.col(strata).isNotNull())
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if cap > limit:
+        # no partial limit for caps this large: rank only the boundary bucket
+        counts = df.groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
+        quotas = counts.select(strata, F.least(F.col("n"), F.lit(cap)).cast("bigint").alias("_q"))
+        return _mark_first(df, strata, key, quotas, seed).where("_first").drop("_first")
     w = Window.partitionBy(strata).orderBy(sort_key(key, seed), F.col(key))
-    return (df.where(F.col(strata).isNotNull())
-            .withColumn("_rn", F.row_number().over(w))
+    return (df.withColumn("_rn", F.row_number().over(w))
             .where(F.col("_rn") <= cap).drop("_rn"))
 
 
@@ -131,27 +137,37 @@ def stratified_split(df: DataFrame, strata: str = "clause_type", key: str = "ord
         from clausekit.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
+    counts = df.groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
+    quotas = split_quotas(counts, strata, test_size).select(strata, F.col("n_train").alias("_q"))
+    marked = _mark_first(df, strata, key, quotas, seed)
+    return marked.withColumn("split", F.when(F.col("_first"), F.lit("train")).otherwise(F.lit("val"))) \
+        .drop("_first")
+
+
+def _mark_first(df: DataFrame, strata: str, key: str, quotas: DataFrame, seed: int) -> DataFrame:
+    """Add ``_first``: whether the row is among the first ``_q`` rows of its
+    stratum in (seeded hash, key) order, for per-stratum quotas ``quotas``
+    (stratum, _q).
+
+    Rows are bucketed by the first 16 bits of their hash; a histogram
+    (partial aggregate) finds, per stratum, the bucket where the quota falls.
+    Rows below it are in, rows above it out, and only the rows of that one
+    bucket are ranked, so no stratum is ever sorted in one task."""
     h = sort_key(key, seed)
     rows = df.withColumns({"_h": h, "_b": F.conv(F.substring(h, 1, SPLIT_BUCKET_HEX), 16, 10).cast("int")})
-    counts = rows.groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
-    quotas = split_quotas(counts, strata, test_size)
     hist = rows.groupBy(strata, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     cw = Window.partitionBy(strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(cw), F.lit(0)))
     bound = (hist.join(quotas, strata, "inner")
-             .where((F.col("_before") < F.col("n_train"))
-                    & (F.col("_before") + F.col("_cnt") >= F.col("n_train")))
-             .select(strata, F.col("_b").alias("_bb"),
-                     (F.col("n_train") - F.col("_before")).alias("_need")))
-    # strata with quota 0 have no boundary row: every row is val
+             .where((F.col("_before") < F.col("_q")) & (F.col("_before") + F.col("_cnt") >= F.col("_q")))
+             .select(strata, F.col("_b").alias("_bb"), (F.col("_q") - F.col("_before")).alias("_need")))
+    # strata with quota 0 have no boundary row: no row is in
     j = rows.join(bound, strata, "left")
     decided = j.where(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb"))).withColumn(
-        "split", F.when(F.col("_bb").isNotNull() & (F.col("_b") < F.col("_bb")), F.lit("train"))
-        .otherwise(F.lit("val")))
+        "_first", F.col("_bb").isNotNull() & (F.col("_b") < F.col("_bb")))
     edge = j.where(F.col("_b") == F.col("_bb"))
     ew = Window.partitionBy(strata).orderBy("_h", key)
-    edge = edge.withColumn("split", F.when(F.row_number().over(ew) <= F.col("_need"), F.lit("train"))
-                           .otherwise(F.lit("val")))
+    edge = edge.withColumn("_first", F.row_number().over(ew) <= F.col("_need"))
     return decided.unionByName(edge).drop("_h", "_b", "_bb", "_need")
 
 

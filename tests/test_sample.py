@@ -104,3 +104,15 @@ def test_split_quota_properties():
         for j, n in enumerate(sizes):
             exact = n * (total - math.ceil(0.2 * total)) / total
             assert math.floor(exact) <= q[f"c{j}"] <= math.ceil(exact) and 0 <= q[f"c{j}"] <= n
+
+
+def test_large_cap_sample_uses_bucket_ranking(spark):
+    """cap above the WindowGroupLimit threshold: same rows as the hash rule."""
+    import hashlib
+    df = spark.range(5000).select(F.col("id").alias("ord"),
+                                  F.when(F.col("id") < 4500, "hot").otherwise("cold").alias("clause_type"))
+    got = S.stratified_sample(df, cap=2000)
+    counts = dict(rows(got.groupBy("clause_type").count()))
+    assert counts == {"hot": 2000, "cold": 500}
+    hot = sorted(range(4500), key=lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k))[:2000]
+    assert {r["ord"] for r in got.where("clause_type = 'hot'").collect()} == set(hot)
