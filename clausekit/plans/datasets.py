@@ -38,6 +38,11 @@ def shared(fn):
     return wrapper
 
 
+def clear_definitions(spark: SparkSession) -> None:
+    with _LOCK:
+        _DEFS.pop(spark, None)
+
+
 HAND_REASON = "Reviewed and corrected by hand."
 HAND_SUMMARY = "A hand-checked label."
 

@@ -46,6 +46,15 @@ _DEFINED: "weakref.WeakKeyDictionary[SparkSession, dict[str, DataFrame]]" = weak
 _LOCK = threading.Lock()
 
 
+def clear_definitions(spark: SparkSession) -> None:
+    """Forget the table definitions of ``spark`` (call after the input files
+    change: a definition keeps the file listing it was built with)."""
+    with _LOCK:
+        _DEFINED.pop(spark, None)
+    from clausekit.plans import datasets
+    datasets.clear_definitions(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; text tables are spread over the cluster when their
     scan has fewer partitions than the default parallelism.

@@ -36,3 +36,14 @@ def test_pairs_are_user_then_assistant(spark):
     assert p.count() == 233
     j = p.join(cv.select("conv_id", "turn", "role"), ["conv_id", "turn"])
     assert j.where(F.col("role") != "user").count() == 0
+
+
+def test_definitions_shared_and_clearable(spark):
+    from clausekit.plans import datasets as D
+    a = X.table(spark, SF01, "documents")
+    assert X.table(spark, SF01, "documents") is a
+    e = D.enriched(spark, SF01)
+    assert D.enriched(spark, SF01) is e
+    X.clear_definitions(spark)
+    assert X.table(spark, SF01, "documents") is not a
+    assert D.enriched(spark, SF01) is not e
