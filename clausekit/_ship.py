@@ -2,8 +2,10 @@
 
 Pandas UDFs and ``mapInPandas`` functions of this package are pickled by
 reference, so every executor's Python worker must be able to import
-``clausekit``.  ``ensure_shipped`` zips the package once per process and
-adds it with ``addPyFile`` (the standard way to ship Python dependencies)."""
+``clausekit``.  On a cluster, ship it the standard way (``spark-submit
+--py-files clausekit.zip`` or install it in the executors' environment).  In
+local mode ``ensure_shipped`` zips the package once and adds it with
+``addPyFile``, so scripts and tests work from any working directory."""
 
 from __future__ import annotations
 
@@ -41,12 +43,10 @@ def ensure_shipped(spark: SparkSession | None = None) -> None:
         return
     try:
         sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): ship via artifacts
-        with _LOCK:
-            if id(spark) not in _SHIPPED:
-                spark.addArtifacts(_zip_package(), pyfile=True)
-                _SHIPPED.add(id(spark))
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): deployed with the job
         return
+    if not sc.master.startswith("local"):
+        return  # cluster: the package is deployed with the job (--py-files)
     key = id(sc._jsc)
     with _LOCK:
         if key in _SHIPPED:

@@ -59,6 +59,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="clausekit-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(reliable checkpoints and streaming state are written there)")
+        conf_dir = tempfile.mkdtemp(prefix="clausekit-ckpt-")  # local mode / tests only
     sc.setCheckpointDir(conf_dir)
     return conf_dir
