@@ -37,3 +37,13 @@ def test_schedule_and_baseline(spark):
     assert abs(a["accuracy"] - 1 / 3) < 1e-12
     m = P.majority_baseline(g).first()
     assert (m["majority_class"], round(m["majority_share"], 6)) == ("LOW", round(2 / 3, 6))
+
+
+def test_cardinality_exact_and_approx(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", None), (None, "y")], "contract_name string, clause_type string")
+    ex = P.cardinality(df).first()
+    ap = P.cardinality(df, approx=True).first()
+    assert (ex["n_contract_name"], ex["n_clause_type"]) == (2, 2)
+    assert (ap["n_contract_name"], ap["n_clause_type"]) == (2, 2)
+    sh = P.shape(df).first()
+    assert (sh["n_rows"], sh["n_cols"]) == (4, 2)
