@@ -1,10 +1,11 @@
 """n-gram Jaccard join by prefix filtering under several global token orders.
 
-A set of n shingles and any partner with Jaccard >= t share at least ceil(t*n)
-shingles, so under *every* global order of the shingles the two sets share one
-within their first n - ceil(t*n) + 1 (their prefix).  Candidates come from
-equal prefix shingles under the first order, must also share a prefix shingle
-under each further order, and are then verified on the whole sets.
+Let t be the threshold and n the size of a set.  Sets that reach it share at least
+ceil(t*n) shingles, so under *every* global order of the shingles they share l
+within their first n - ceil(t*n) + l (the l-prefix).  Candidates come from equal
+shingles in the prefixes under the first order, with l a twentieth of the set, so
+that a common passage alone makes no candidate; they must also share a prefix
+shingle under each further order, and are then verified on the whole sets.
 
 The orders put frequent shingles last.  Frequency comes from a mergeable
 sketch of the whole input (slots that are heavy within a task, summed over
@@ -13,11 +14,18 @@ tasks); any order is valid, so the sketch affects cost only, never results.
 Groups of copies are never expanded into pairs:
 
 1. documents with equal sets are one class, known by a digest of the set;
-2. within a bucket (prefix shingle) every class is first compared with one
-   hub, the class with the fewest rarer shingles before it; the links give
-   components;
-3. only pairs of *different* components that pass the size and position bounds
-   are then enumerated and verified, so no link between different sets is lost.
+2. a class stays only if its prefix meets others often enough, and if enough of
+   its whole set occurs in other such classes: the overlap with any partner is at
+   most that count;
+3. every class is compared with one hub, the class of its buckets (a bucket holds
+   the classes with one prefix shingle) that shares the largest part of its set,
+   which for edited copies is the one closest to their origin; the links give
+   components, and then one member of every component in a bucket is compared
+   with the hub, until no more components meet;
+4. only pairs of *different* components that pass the bounds are then verified,
+   so no link between different sets is lost.
+
+Frequent shingles are dealt out in 32 parts wherever rows meet by shingle.
 """
 
 from __future__ import annotations
@@ -43,8 +51,13 @@ ID_BITS = 23            # bitmap of candidate documents: 1 MB
 SEEDS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
-def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - (percent * n + 99) // 100 + 1
+TOKEN_BITS, SALT_BITS, PLACE_BITS = 46, 6, 12   # a bucket key: shingle, part, place in the set
+SHARE = 20              # l is a SHARE-th of the set
+
+
+def prefix_length(n, percent: int, least):
+    """Length of the l-prefix of a set of n for l = ``least``."""
+    return np.minimum(n, n - (percent * n + 99) // 100 + least)
 
 
 def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -106,28 +119,78 @@ def _ranked(h: np.ndarray, cut: np.ndarray, levels: np.ndarray, seed: int) -> np
     return out
 
 
-def _prefix_index(cut: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, place) of every prefix entry of every set."""
+def _prefix_index(cut: np.ndarray, percent: int, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, place) of every prefix entry of every set; ``share`` 0: l = 1."""
     size = np.diff(cut)
-    p = np.where(size > 0, prefix_length(size, percent), 0)
+    least = (size + share - 1) // share if share else 1
+    p = np.where(size > 0, prefix_length(size, percent, least), 0)
     owner = np.repeat(np.arange(len(size)), p)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(p) - p, p)
     return owner, place
 
 
 def _prefixes(n: int, percent: int, levels: np.ndarray):
+    """(bucket key, class).  A shingle counts by its top 46 bits: two that agree in
+    them can only add candidates."""
     def run(batches):
         for b in batches:
             for lo, hi, h, cut in _sets(b.column(1), n):
                 d1, _ = _digests(h, cut)
-                owner, place = _prefix_index(cut, percent)
+                owner, place = _prefix_index(cut, percent, SHARE)
                 tok = h[_ranked(h, cut, levels, SEEDS[0])][cut[owner] + place]
-                level = levels[(tok >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.int64)
+                level = levels[(tok >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                 d = d1[owner]
-                salt = np.where(level > 0, 1 + (d & 31), 0)   # heavy shingles: 32 parts a bucket
-                at = (np.diff(cut)[owner].astype(np.int64) << 32) | (place << 6) | salt
-                yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(d), pa.array(at)],
-                                                 ["tok", "d1", "at"])
+                part = np.where(level > 0, 1 + (d & 31), 0).astype(np.uint64)
+                at = ((place << PLACE_BITS) // np.diff(cut)[owner]).astype(np.uint64)
+                key = (tok >> np.uint64(64 - TOKEN_BITS) << np.uint64(SALT_BITS + PLACE_BITS)) | (part << np.uint64(PLACE_BITS)) | at
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(d)], ["key", "d1"])
+    return run
+
+
+def _shared(shift: int, salt_bits: int):
+    """From rows (key, owner) sorted by key: (shingle, owner) of the buckets that
+    hold more than one owner, and of all parts of divided buckets.  ``shift`` low
+    bits do not count for the bucket, the next ``salt_bits`` are its part.  A bucket
+    may span batches: all that is kept of it is its first owner."""
+    def run(batches):
+        open_bucket, hub, held = None, None, False
+
+        def out(bucket, owner):
+            return pa.RecordBatch.from_arrays([pa.array(bucket >> np.int64(salt_bits)), pa.array(owner)], ["tok", "d1"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bucket = b.column(0).to_numpy(zero_copy_only=False) >> np.int64(shift)
+            owner = b.column(1).to_numpy(zero_copy_only=False)
+            new = np.ones(len(bucket), bool)
+            new[1:] = bucket[1:] != bucket[:-1]
+            first, which = np.flatnonzero(new), np.cumsum(new) - 1
+            hubs = owner[first]
+            goes_on = open_bucket is not None and bucket[0] == open_bucket
+            if goes_on:
+                hubs[0] = hub
+            keep = (bucket[first] & ((1 << salt_bits) - 1)) > 0
+            keep[which[owner != hubs[which]]] = True
+            if goes_on and held and keep[0]:
+                yield out(np.array([open_bucket]), np.array([hub]))   # the owner of all its rows so far
+            elif goes_on and not held:
+                keep[0] = True
+            rows = keep[which]
+            yield out(bucket[rows], owner[rows])
+            open_bucket, hub, held = bucket[-1], hubs[-1], not keep[-1]
+    return run
+
+
+def _light(levels: np.ndarray):
+    """(shingle, id) of the shingles that are not frequent."""
+    def run(batches):
+        for b in batches:
+            toks = b.column(1)
+            h = toks.flatten().to_numpy(zero_copy_only=False)
+            own = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(toks.offsets.to_numpy()))
+            ok = levels[(h.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] == 0
+            yield pa.RecordBatch.from_arrays([pa.array(h[ok]), pa.array(own[ok])], ["key", "d1"])
     return run
 
 
@@ -140,16 +203,17 @@ def _full(n: int, percent: int, levels: np.ndarray, ids: np.ndarray):
                 continue
             b = b.take(pa.array(keep))
             for lo, hi, h, cut in _sets(b.column(1), n):
-                d1, _ = _digests(h, cut)
-                owner, place = _prefix_index(cut, percent)
+                owner, place = _prefix_index(cut, percent, 0)
                 po = np.searchsorted(owner, np.arange(hi - lo + 1)).astype(np.int32)
                 sig = [pa.ListArray.from_arrays(pa.array(po), pa.array(
                     (h[_ranked(h, cut, levels, s)][cut[owner] + place] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                     for s in SEEDS[1:]]
                 toks = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(h.view(np.int64)))
+                heavy = np.zeros(len(h) + 1, np.int64)
+                np.cumsum(levels[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] > 0, out=heavy[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(d1), pa.array(np.diff(cut).astype(np.int64)), *sig, toks],
-                    ["id", "d1", "n", "p2", "p3", "toks"])
+                    [b.column(0).slice(lo, hi - lo), pa.array(np.diff(cut).astype(np.int64)),
+                     pa.array(heavy[cut[1:]] - heavy[cut[:-1]]), *sig, toks], ["id", "n", "heavy", "p2", "p3", "toks"])
     return run
 
 
@@ -182,14 +246,42 @@ def _as_links(comp: DataFrame) -> DataFrame:
     return comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
-def _mixed(member: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component."""
-    m = (member.join(comp, "id", "left")
-         .select("tok", "id", "n", "pos", F.coalesce("component", "id").alias("c")))
-    two = m.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("tok")
+def _mixed(member: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Members of the buckets that hold more than one component ``g``."""
+    m = member.withColumn("g", F.col("id")) if comp is None else (
+        member.join(comp, "id", "left").select(*member.columns, F.coalesce("component", "id").alias("g")))
+    two = m.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("tok")
     return staged(m.join(two, "tok", "left_semi"), "mixed")
 
 
+def _with_hubs(mixed: DataFrame) -> DataFrame:
+    """(a, b): the best member of every component of a bucket, and the best hub it
+    meets there; best is the largest shared part of the set."""
+    best = F.max(F.struct("share", "id"))
+    ends = mixed.groupBy("tok", "g").agg(best.alias("m"))
+    hubs = ends.groupBy("tok").agg(F.max("m").alias("hub"))
+    met = ends.join(hubs, "tok").where("m != hub").groupBy(F.col("m.id").alias("x")).agg(F.max("hub").alias("hub"))
+    return met.select(F.least("x", "hub.id").alias("a"), F.greatest("x", "hub.id").alias("b")).distinct()
+
+
+def _crossing(mixed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """What is left: pairs (a, b) of different components.  For the few documents
+    concerned the shingles are ordered by their exact frequency among them, rarest
+    first; a shared prefix shingle at places i and j leaves room for at most
+    min(n_a - i, n_b - j) common ones."""
+    own = mixed.groupBy("id").agg(F.min("g").alias("g"))
+    t = full.select("id", "n", F.xxhash64("toks").alias("k"), F.explode("toks").alias("tok")).join(own, "id").distinct()
+    of = t.groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.min("g").alias("lo"), F.max("g").alias("hi"))
+    t = t.join(of, "tok").withColumn("pos", F.row_number().over(Window.partitionBy("id", "k").orderBy("df", "tok")) - 1)
+    t = staged(t.where(F.expr(f"lo != hi and pos <= n - ceil({percent} * n / 100D)")).select("tok", "id", "n", "g", "pos"),
+               "rare")
+    x, y = t.alias("x"), t.alias("y")
+    return (x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.g") != F.col("y.g"))
+                   & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+                   & F.expr(f"{100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n)"))
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        n: int = 5, percent: int = 75) -> DataFrame:
     """(``id_col``, n_shingles, component_id) for every row of ``docs``.
@@ -208,61 +300,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = d.where("id is not null and text is not null")
 
     # classes: one representative (smallest id) for each set
-    classes = rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-
-    pre = known.mapInArrow(_prefixes(n, percent, levels), "tok bigint, d1 bigint, at bigint")
-    bucket = Window.partitionBy("tok", "salt")
-    pre = (pre.select("tok", "d1", F.expr("at >> 32").alias("n"), F.expr("(at >> 6) & 67108863").alias("pos"),
-                      F.expr("cast(at & 63 as int)").alias("salt"))
-           .withColumn("hub", F.min(F.struct("pos", "d1")).over(bucket))
-           .withColumn("many", F.min("d1").over(bucket) != F.max("d1").over(bucket)))
-    # an unsalted bucket of one class has no partner anywhere
-    pre = staged(pre.where("many or salt > 0").select(
-        "tok", "d1", "n", "pos", F.col("hub.pos").alias("hp"), F.col("hub.d1").alias("hub")), "prefix")
-    by_d1 = classes.select("d1", "rep")
-    member = staged(pre.select("tok", "d1", "n", "pos").distinct().join(by_d1, "d1")
-                    .select("tok", F.col("rep").alias("id"), "n", "pos"), "buckets")
-    ids = bitmap(member.select("id").distinct(), "id", ID_BITS)
+    classes = rows.where("n > 0 and id is not null").groupBy("d1", "d2").agg(
+        F.min("id").alias("rep"), F.first("n").alias("n"))
+
+    pre = known.mapInArrow(_prefixes(n, percent, levels), "key bigint, d1 bigint")
+    pre = pre.repartition(F.shiftright("key", PLACE_BITS)).sortWithinPartitions("key")
+    pre = staged(pre.mapInArrow(_shared(PLACE_BITS, SALT_BITS), "tok bigint, d1 bigint"), "prefix")
+    # a set shares l prefix shingles with any partner, l that of the smaller set
+    least = F.expr(f"ceil(ceil({percent} * n / 100D) / {SHARE}D)")
+    able = (pre.distinct().groupBy("d1").agg(F.count(F.lit(1)).alias("m"))
+            .join(classes.select("d1", "rep", "n"), "d1").where(F.col("m") >= least))
+    able = staged(able.select("d1", F.col("rep").alias("id")), "able")
     full = staged(known.mapInArrow(
-        _full(n, percent, levels, ids),
-        "id bigint, d1 bigint, n bigint, p2 array<int>, p3 array<int>, toks array<bigint>"), "sets")
-
-    # every class against the hub of its best bucket
-    star = (pre.groupBy("d1").agg(F.min(F.struct("hp", "hub")).alias("h"))
-            .select("d1", F.col("h.hub").alias("hub")).where("d1 != hub"))
-    star = (star.join(by_d1.withColumnRenamed("rep", "x"), "d1")
-            .join(by_d1.select(F.col("d1").alias("hub"), F.col("rep").alias("y")), "hub")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a != b").distinct())
-    links = staged(_verify(star, full, percent), "links")
-    drop(pre)
-    # then one member of every component of a bucket against the bucket's hub
+        _full(n, percent, levels, bitmap(able, "id", ID_BITS)),
+        "id bigint, n bigint, heavy bigint, p2 array<int>, p3 array<int>, toks array<bigint>"), "sets")
+    # ... and at most the shingles that occur in other such sets
+    light = full.select("id", "toks").mapInArrow(_light(levels), "key bigint, d1 bigint")
+    light = light.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(0, 0), "tok bigint, d1 bigint")
+    light = light.groupBy(F.col("d1").alias("id")).agg(F.count(F.lit(1)).alias("c"))
+    known_sets = (full.groupBy("id").agg(F.max("n").alias("n"), F.max("heavy").alias("heavy")).join(light, "id", "left")
+                  .select("id", "n", (F.coalesce("c", F.lit(0)) + F.col("heavy")).alias("c")))
+    strong = known_sets.where(f"100 * c >= {percent} * n").withColumn("share", F.expr("1000 * c div n"))
+    member = staged(pre.distinct().join(able, "d1").select("tok", "id").distinct().join(strong, "id"), "buckets")
+
+    mixed = _mixed(member, None)
+    links = staged(_verify(_with_hubs(mixed), full, percent), "links")
     while True:
+        drop(mixed)
         comp = staged(components(links), "components")
         mixed = _mixed(member, comp)
-        w = Window.partitionBy("tok")
-        ends = (mixed.groupBy("tok", "c").agg(F.min(F.struct("pos", "id")).alias("m"))
-                .withColumn("hub", F.min("m").over(w)).where("m != hub"))
-        pairs = ends.select(F.least("m.id", "hub.id").alias("a"), F.greatest("m.id", "hub.id").alias("b")).distinct()
-        more = staged(_verify(pairs, full, percent), "links")
-        none = more.isEmpty()
-        if none:
-            drop(more)
+        more = staged(_verify(_with_hubs(mixed), full, percent), "links")
+        if more.isEmpty():
+            drop(more, links)
             break
         links, old = staged(_as_links(comp).unionByName(more), "links"), links
-        drop(comp, mixed, more, old)
-    # what is left: pairs of different components within a bucket and the bounds
-    x, y = mixed.alias("x"), mixed.alias("y")
-    need = F.expr(f"ceil({percent} * (x.n + y.n) / {100 + percent}D)")
-    cross = (x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.id") < F.col("y.id"))
-                    & (F.col("x.c") != F.col("y.c"))
-                    & F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-                    & (F.expr("least(x.n - x.pos, y.n - y.pos)") >= need))
-             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+        drop(comp, more, old)
+    cross = _crossing(mixed, full, percent)
     more = staged(_verify(cross, full, percent), "links")
     final = components(_as_links(comp).unionByName(more)).withColumnRenamed("id", "rep")
     by_class = staged(classes.join(final, "rep", "left")
                       .select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "classes")
-    drop(member, mixed, links, more, comp, full)
+    drop(pre, able, member, mixed, more, comp, full)
     out = rows.join(by_class, ["d1", "d2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
