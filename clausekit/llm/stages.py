@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clausekit.llm import quality_crf
+from clausekit.llm.decontaminate import contaminated
+from clausekit.llm.mixing import mix
 from clausekit.llm.ngram_jaccard import jaccard_components
+from clausekit.llm.secrets import redact_secrets
+
+QUALITY = 0.3
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that the line classifier, trained on this stage's labelled
+    documents, scores below 0.3 go."""
+    model = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_crf.quality_scores(docs, model, out_col="_quality").where(F.col("_quality") >= QUALITY).drop("_quality")
 
 
 def near_duplicates(spark, docs, sf_dir):
@@ -19,4 +32,21 @@ def near_duplicates(spark, docs, sf_dir):
     return known.where("_row = 1").drop("_row").unionByName(docs.where("doc_id is null"))
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def decontaminate(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go; rows without an id stay."""
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets(spark, docs, sf_dir):
+    """Every document stays; its secrets are masked and n_chars follows."""
+    return redact_secrets(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
+
+
+def mixing(spark, docs, sf_dir):
+    """Documents drawn towards the target weights, with the copies to take."""
+    return mix(docs)
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate),
+          ("secrets", secrets), ("mixing", mixing)]
