@@ -203,6 +203,7 @@ def _full(n: int, percent: int, levels: np.ndarray, ids: np.ndarray):
                 continue
             b = b.take(pa.array(keep))
             for lo, hi, h, cut in _sets(b.column(1), n):
+                d1, _ = _digests(h, cut)
                 owner, place = _prefix_index(cut, percent, 0)
                 po = np.searchsorted(owner, np.arange(hi - lo + 1)).astype(np.int32)
                 sig = [pa.ListArray.from_arrays(pa.array(po), pa.array(
@@ -212,8 +213,8 @@ def _full(n: int, percent: int, levels: np.ndarray, ids: np.ndarray):
                 heavy = np.zeros(len(h) + 1, np.int64)
                 np.cumsum(levels[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] > 0, out=heavy[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(np.diff(cut).astype(np.int64)),
-                     pa.array(heavy[cut[1:]] - heavy[cut[:-1]]), *sig, toks], ["id", "n", "heavy", "p2", "p3", "toks"])
+                    [b.column(0).slice(lo, hi - lo), pa.array(d1), pa.array(np.diff(cut).astype(np.int64)),
+                     pa.array(heavy[cut[1:]] - heavy[cut[:-1]]), *sig, toks], ["id", "k", "n", "heavy", "p2", "p3", "toks"])
     return run
 
 
@@ -264,16 +265,39 @@ def _with_hubs(mixed: DataFrame) -> DataFrame:
     return met.select(F.least("x", "hub.id").alias("a"), F.greatest("x", "hub.id").alias("b")).distinct()
 
 
+def _feasible(mixed: DataFrame, percent: int) -> DataFrame:
+    """(id, g): the documents that meet one other component in as many buckets as a
+    link with a member of it takes.  Outside the prefixes two sets of n and m have at
+    most ``rest`` = the larger of n - l-prefix and m - l-prefix shingles in common, so
+    they need overlap - rest shared buckets; the need is least at the ends of the
+    sizes that the component offers."""
+    met = mixed.select("tok", F.col("g").alias("h")).distinct()
+    of = mixed.groupBy(F.col("g").alias("h")).agg(F.min("n").alias("small"), F.max("n").alias("large"), F.max("c").alias("most"))
+    m = (mixed.join(met, "tok").where("g != h").groupBy("id", "g", "h")
+         .agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("c").alias("c")).join(of, "h"))
+    m = m.withColumn("lo", F.expr(f"greatest(small, ceil({percent} * n / 100D))")).withColumn(
+        "hi", F.expr(f"least(large, floor(100 * n / {percent}D))"))
+    part, rest = percent / (100 + percent), percent / 100 - 1 / SHARE
+    need = " , ".join(f"{part} * (n + {v}) - {rest} * greatest(n, {v}) - 2" for v in ("lo", "hi"))
+    return (m.where("lo <= hi").where(F.expr(f"k >= least({need})")).where(F.expr(f"k * {SHARE} >= least(n, lo)"))
+            .where(F.expr(f"{100 + percent} * least(c, most) >= {percent} * (n + lo)")).select("id", "g").distinct())
+
+
 def _crossing(mixed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """What is left: pairs (a, b) of different components.  For the few documents
     concerned the shingles are ordered by their exact frequency among them, rarest
     first; a shared prefix shingle at places i and j leaves room for at most
     min(n_a - i, n_b - j) common ones."""
-    own = mixed.groupBy("id").agg(F.min("g").alias("g"))
-    t = full.select("id", "n", F.xxhash64("toks").alias("k"), F.explode("toks").alias("tok")).join(own, "id").distinct()
-    of = t.groupBy("tok").agg(F.count(F.lit(1)).alias("df"), F.min("g").alias("lo"), F.max("g").alias("hi"))
-    t = t.join(of, "tok").withColumn("pos", F.row_number().over(Window.partitionBy("id", "k").orderBy("df", "tok")) - 1)
-    t = staged(t.where(F.expr(f"lo != hi and pos <= n - ceil({percent} * n / 100D)")).select("tok", "id", "n", "g", "pos"),
+    own = staged(_feasible(mixed, percent), "feasible")
+    t = full.join(own, "id").select("id", "n", "k", "g", F.explode("toks").alias("tok"))
+    of = t.groupBy("tok").agg(F.min(F.struct("id", "k")).alias("one"), F.max(F.struct("id", "k")).alias("two"),
+                              F.count(F.lit(1)).alias("df"), F.min("g").alias("lo"), F.max("g").alias("hi"))
+    of = of.where("one != two")
+    t = t.join(of.select("tok", "df", (F.col("lo") != F.col("hi")).alias("across")), "tok")
+    # shingles of one set only stand before all others: only their number matters
+    shared = Window.partitionBy("id", "k")
+    t = t.withColumn("pos", F.col("n") - F.count(F.lit(1)).over(shared) + F.row_number().over(shared.orderBy("df", "tok")) - 1)
+    t = staged(t.where(F.expr(f"across and pos <= n - ceil({percent} * n / 100D)")).select("tok", "id", "n", "g", "pos"),
                "rare")
     x, y = t.alias("x"), t.alias("y")
     return (x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.g") != F.col("y.g"))
@@ -313,7 +337,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     able = staged(able.select("d1", F.col("rep").alias("id")), "able")
     full = staged(known.mapInArrow(
         _full(n, percent, levels, bitmap(able, "id", ID_BITS)),
-        "id bigint, n bigint, heavy bigint, p2 array<int>, p3 array<int>, toks array<bigint>"), "sets")
+        "id bigint, k bigint, n bigint, heavy bigint, p2 array<int>, p3 array<int>, toks array<bigint>"), "sets")
     # ... and at most the shingles that occur in other such sets
     light = full.select("id", "toks").mapInArrow(_light(levels), "key bigint, d1 bigint")
     light = light.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(0, 0), "tok bigint, d1 bigint")

@@ -33,12 +33,12 @@ from clausekit.llm.quality_crf import labelled_sample
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PER_CLASS = 2000
+PER_CLASS = 4000
 BUCKET_BITS, DIM = 18, 8
 SIZES = (3, 4, 5)
 HALF = 8                 # a window is two halves of this many words
 EPOCHS, BATCH, RATE = 10, 2048, 0.02
-POSITIVE, NEGATIVE = 3, 6   # windows of a text that train in an epoch
+POSITIVE, NEGATIVE = 3, 12  # windows of a text that train in an epoch
 _P = 0x9E3779B97F4A7C15 | 1
 
 
@@ -138,7 +138,7 @@ class SubwordSoftmax:
         flat, begin = np.concatenate(lists), np.cumsum(size) - size
         rng = np.random.default_rng(2)
         fold = rng.permutation(len(y)) % 5 == 0            # left out for the scale
-        emb = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
+        emb = np.zeros((1 << BUCKET_BITS, DIM), np.float32)   # an n-gram never seen says nothing
         soft, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
         soft[:, 1], soft[:, 0] = rng.normal(0, .3, DIM), rng.normal(0, .3, DIM)
         state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, soft, bias)]
