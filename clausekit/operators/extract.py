@@ -46,20 +46,19 @@ def answerable_questions(corpus: DataFrame, keep: Sequence[str] = ("file_ord",))
 
 
 def flatten_corpus(corpus: DataFrame, keep: Sequence[str] = ("file_ord",),
-                   with_context: bool = True) -> DataFrame:
+                   with_context: bool = True, partitions: int | None = None) -> DataFrame:
     """Contract x paragraph x question x answer -> one clause row per answer.
 
     Positions of every level are kept (``c_pos, p_pos, q_pos, a_pos``) so the
     document order survives shuffles; ``keep`` carries top-level columns such
     as the file ordinal.  ``with_context=False`` drops ``full_context`` (a
     whole paragraph per answer row) at the source instead of downstream.
+    ``partitions`` deals the contracts out before the per-answer work: set it for a
+    multi-line corpus file, which is read by one task.
     """
-    from clausekit.sources.corpus import spread
     k = [F.col(c) for c in keep]
     c = corpus.select(*k, F.posexplode("data").alias("c_pos", "contract"))
-    # a multi-line corpus file is one task: spread the contracts before the
-    # per-answer work (no-op when the input already has enough partitions)
-    c = spread(c) if not corpus.isStreaming else c
+    c = c.repartition(partitions) if partitions else c
     p = c.select(*k, "c_pos", F.col("contract.title").alias("contract_name"),
                  F.posexplode("contract.paragraphs").alias("p_pos", "para"))
     q = p.select(*k, "c_pos", "contract_name", "p_pos",

@@ -7,9 +7,10 @@
 * ``label_batch``: ``mapInPandas`` harness; one labeller per partition,
   retries with a pause, default label after the last failure.  Partition
   count is the concurrency (rate) limit.
-* ``incremental_todo`` / ``label_incremental``: resume by key (anti-join
-  against what is already written), append-only Parquet, read back before
-  reuse so a non-deterministic labeller is never recomputed by lineage.
+* ``incremental_todo`` / ``label_incremental``: resume by key digest (anti-join
+  against what is already written), one call per distinct key, append-only
+  Parquet committed slice by slice, read back before reuse so a non-deterministic
+  labeller is never recomputed by lineage.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 from clausekit._ship import ensure_shipped
 from clausekit.functions import templates as tpl
 from clausekit.functions.text import contains_ci
+from clausekit.operators.sample import content_key, remaining
 
 # ---------------------------------------------------------------------------
 # Fixed values (must match the reference)
@@ -88,8 +90,9 @@ def parse_reply(reply) -> Column:
     return _parse_udf(F.col(reply) if isinstance(reply, str) else reply)
 
 
-def label_prompts(df: DataFrame, ctx_col: str = "enriched_context") -> DataFrame:
-    return df.withColumn("system_prompt", F.lit(tpl.LABEL_SYSTEM_PROMPT)).withColumn(
+def label_prompts(df: DataFrame, ctx_col: str = "enriched_context",
+                  system_prompt: str = tpl.LABEL_SYSTEM_PROMPT) -> DataFrame:
+    return df.withColumn("system_prompt", F.lit(system_prompt)).withColumn(
         "user_prompt", tpl.label_user_prompt(F.col(ctx_col)))
 
 
@@ -108,9 +111,9 @@ def failure_counts(parsed_df: DataFrame, status_col: str = "parse_status") -> Da
     return parsed_df.groupBy(status_col).agg(F.count(F.lit(1)).alias("n"))
 
 
-def labelled_rows(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """The 7-column labelled row."""
-    return df.select("contract_name", "clause_type", "clause_text", "enriched_context",
+def labelled_rows(df: DataFrame, label_col: str = "label", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 7-column labelled row, after any columns to ``keep``."""
+    return df.select(*keep, "contract_name", "clause_type", "clause_text", "enriched_context",
                      F.col(f"{label_col}.risk_level").alias("risk_level"),
                      F.col(f"{label_col}.risk_reason").alias("risk_reason"),
                      F.col(f"{label_col}.plain_summary").alias("plain_summary"))
@@ -128,8 +131,16 @@ def rerun_required(df: DataFrame) -> DataFrame:
 
 
 def incremental_todo(todo: DataFrame, done: DataFrame, key: str = "enriched_context") -> DataFrame:
-    """Rows not labelled yet: resume by key, not by row count."""
-    return todo.join(done.select(key), key, "left_anti")
+    """Rows not labelled yet: resume by key (its digest), not by row count."""
+    return remaining(todo, done, key, mode="anti")
+
+
+def one_per_key(todo: DataFrame, key: str = "enriched_context") -> DataFrame:
+    """One row for every key, the smallest by row hash: equal prompts are sent to
+    the model once.  Decided on digests; a row is payload of one join."""
+    rows = todo.withColumn("_k", content_key(key)).withColumn("_h", content_key(*todo.columns))
+    first = rows.groupBy("_k").agg(F.min("_h").alias("_h"))
+    return rows.join(first, ["_k", "_h"], "left_semi").dropDuplicates(["_k"]).select(*todo.columns)
 
 
 Labeller = Callable[[str, str], str]
@@ -138,7 +149,8 @@ Labeller = Callable[[str, str], str]
 def label_batch(df: DataFrame, make_labeller: Callable[[], Labeller],
                 ctx_col: str = "enriched_context", max_retries: int = MAX_RETRIES,
                 pause_s: float = RETRY_PAUSE_S, pause_between_s: float = 0.0,
-                concurrency: int | None = None) -> DataFrame:
+                concurrency: int | None = None,
+                system_prompt: str = tpl.LABEL_SYSTEM_PROMPT) -> DataFrame:
     """Label every row with ``make_labeller()(system_prompt, user_prompt)``.
 
     ``make_labeller`` is picklable and is called once per partition (one
@@ -156,7 +168,7 @@ def label_batch(df: DataFrame, make_labeller: Callable[[], Labeller],
         T.StructField("parse_status", T.StringType()),
         T.StructField("attempts", T.IntegerType()),
     ])
-    system = tpl.LABEL_SYSTEM_PROMPT
+    system = system_prompt
     head, tail = tpl.LABEL_USER_HEAD, tpl.LABEL_USER_TAIL
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,13 +203,18 @@ def label_batch(df: DataFrame, make_labeller: Callable[[], Labeller],
 
 
 def label_incremental(todo: DataFrame, done_path: str, make_labeller: Callable[[], Labeller],
-                      key: str = "enriched_context", **kw) -> DataFrame:
-    """Label what ``done_path`` does not hold yet, append it, and return the
-    whole labelled table read back from storage."""
+                      key: str = "enriched_context", commits: int = 8, **kw) -> DataFrame:
+    """Label the keys that ``done_path`` does not hold yet, one row each, and
+    return the whole labelled table read back from storage.
+
+    The work is cut into ``commits`` slices by key digest, and each slice is
+    appended when it is done: a failure loses the labels of one slice at most,
+    and the next call goes on from there."""
     from clausekit.sources.corpus import read_or_empty
     spark = todo.sparkSession
-    probe = label_batch(todo.limit(0), make_labeller, **kw)
-    done = read_or_empty(spark, done_path, probe.schema)
-    new = label_batch(incremental_todo(todo, done, key), make_labeller, **kw)
-    new.write.mode("append").parquet(done_path)
-    return spark.read.parquet(done_path)
+    schema = label_batch(todo.limit(0), make_labeller, **kw).schema
+    for k in range(commits):
+        part = todo.where(F.pmod(F.conv(F.substring(content_key(key), 1, 8), 16, 10).cast("bigint"), F.lit(commits)) == k)
+        part = one_per_key(incremental_todo(part, read_or_empty(spark, done_path, schema), key), key)
+        label_batch(part, make_labeller, **kw).write.mode("append").parquet(done_path)
+    return spark.read.schema(schema).parquet(done_path)

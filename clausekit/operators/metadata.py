@@ -46,7 +46,7 @@ DEFAULT_NONE = "None"
 PROVISION_YES = "Yes"
 # ---------------------------------------------------------------------------
 
-# contract lists are grouped in chunks of at most this many ordinals
+# a contract longer than this many ordinals is listed in several chunks
 DEFAULT_CHUNK = 4096
 
 
@@ -88,12 +88,14 @@ def dedupe_master(master: DataFrame) -> DataFrame:
 def clauses_by_contract(clean: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """Per-contract ordered (ord, clause_type, clause_text) lists.
 
-    Lists are split by ordinal range ``ord div chunk`` so no single row or
-    task ever holds more than ``chunk`` clauses (ordinals are unique); chunks
-    of one contract concatenated in ``chunk`` order give the full list.
-    Null contract names are dropped (as a pandas group-by does)."""
-    return (clean.where(F.col("contract_name").isNotNull())
-            .groupBy("contract_name", F.floor(F.col("ord") / chunk).alias("chunk"))
+    One list per contract, from its first ordinal on; a contract whose ordinals
+    span more than ``chunk`` goes on in chunk 1, 2, ..., so no row holds more
+    than ``chunk`` clauses (ordinals are unique).  Null contract names are
+    dropped (as a pandas group-by does)."""
+    known = clean.where(F.col("contract_name").isNotNull())
+    first = known.groupBy("contract_name").agg(F.min("ord").alias("_first"))
+    return (known.join(first, "contract_name")
+            .groupBy("contract_name", F.floor((F.col("ord") - F.col("_first")) / chunk).alias("chunk"))
             .agg(F.array_sort(F.collect_list(F.struct(
                 F.col("ord"), F.col("clause_type"),
                 F.col("clause_text_cleaned").alias("clause_text")))).alias("clauses")))
@@ -107,19 +109,20 @@ def join_master(contracts: DataFrame, master: DataFrame) -> DataFrame:
 def join_reconciliation(contracts: DataFrame, master: DataFrame) -> DataFrame:
     """Names only on the clause side (``left_only``) or only in the master
     (``right_only``)."""
-    l = contracts.select("contract_name").distinct()
-    r = master.select("contract_name").distinct()
-    left_only = l.join(r, "contract_name", "left_anti").withColumn("side", F.lit("left_only"))
-    right_only = r.join(l, "contract_name", "left_anti").withColumn("side", F.lit("right_only"))
-    return left_only.unionByName(right_only)
+    both = contracts.select("contract_name", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        master.select("contract_name", F.lit(0).alias("l"), F.lit(1).alias("r")))
+    sides = both.groupBy("contract_name").agg(
+        F.max("l").alias("l"), F.max("r").alias("r"))
+    return sides.where("l != r").select(
+        "contract_name", F.when(F.col("l") == 1, "left_only").otherwise("right_only").alias("side"))
 
 
 def _has(t: str) -> Column:
-    return F.max(F.lower(F.col("clause_type")) == t)
+    return F.max(F.col("_type") == t)
 
 
-def _has_text(t: str, text_flag: Column) -> Column:
-    return F.max((F.lower(F.col("clause_type")) == t) & text_flag)
+def _has_text(t: str) -> Column:
+    return F.max((F.col("_type") == t) & F.col("_filled"))
 
 
 def contract_flags(clean: DataFrame, extended: bool = False) -> DataFrame:
@@ -130,19 +133,24 @@ def contract_flags(clean: DataFrame, extended: bool = False) -> DataFrame:
     clean table, see ``plans.enrichment.write_clean``), the provision flags
     read it instead of the text, so on Parquet this pass scans three small
     columns only."""
+    kind = F.lower(F.col("clause_type"))
     if "has_text" in clean.columns:
-        text_flag = F.coalesce(F.col("has_text"), F.lit(False))
-    else:
-        text_flag = F.coalesce(F.col("clause_text_cleaned"), F.lit("")) != ""
+        filled = F.coalesce(F.col("has_text"), F.lit(False))
+    else:   # evaluated for the four provision types only: no other text is normalised here
+        filled = F.when(kind.isin(T_TERMINATION, T_CHANGE, T_CAP, T_MINIMUM),
+                        F.coalesce(F.col("clause_text_cleaned"), F.lit("")) != "").otherwise(F.lit(False))
+    rows = clean.where(F.col("contract_name").isNotNull()).select(
+        "contract_name", kind.alias("_type"), filled.alias("_filled"),
+        *([F.col("ord"), F.when(kind == T_PARTIES, F.col("clause_text_cleaned")).alias("_party")] if extended else []))
     aggs = [
         _has(T_DOCUMENT_NAME).alias("has_document_name"),
         _has(T_GOVERNING_LAW).alias("has_governing_law"),
         _has(T_RENEWAL_TERM).alias("has_renewal_term"),
         _has(T_NOTICE_PERIOD).alias("has_notice_period"),
-        _has_text(T_TERMINATION, text_flag).alias("prov_termination"),
-        _has_text(T_CHANGE, text_flag).alias("prov_change"),
-        _has_text(T_CAP, text_flag).alias("prov_cap"),
-        _has_text(T_MINIMUM, text_flag).alias("prov_minimum"),
+        _has_text(T_TERMINATION).alias("prov_termination"),
+        _has_text(T_CHANGE).alias("prov_change"),
+        _has_text(T_CAP).alias("prov_cap"),
+        _has_text(T_MINIMUM).alias("prov_minimum"),
     ]
     if extended:
         aggs += [
@@ -150,10 +158,9 @@ def contract_flags(clean: DataFrame, extended: bool = False) -> DataFrame:
             _has(T_EFFECTIVE_DATE).alias("has_effective_date"),
             _has(T_EXPIRATION_DATE).alias("has_expiration_date"),
             F.array_sort(F.collect_list(F.when(
-                F.lower(F.col("clause_type")) == T_PARTIES,
-                F.struct(F.col("ord"), F.col("clause_text_cleaned").alias("text"))))).alias("_parties"),
+                F.col("_type") == T_PARTIES, F.struct(F.col("ord"), F.col("_party").alias("text"))))).alias("_parties"),
         ]
-    return clean.where(F.col("contract_name").isNotNull()).groupBy("contract_name").agg(*aggs)
+    return rows.groupBy("contract_name").agg(*aggs)
 
 
 def _yes(flag: str) -> Column:

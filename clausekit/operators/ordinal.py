@@ -2,38 +2,41 @@
 
 ``dense_ordinal`` sorts globally (range partitioning), tags each row with
 ``monotonically_increasing_id`` (partition id in the upper bits, position in
-the lower 33), counts rows per partition (one small row per partition) and
-adds each partition's running offset.  Work is spread over all partitions;
-only the per-partition counts (bounded by the partition count) are
-broadcast.  The sort makes row placement deterministic, so a recomputed
-partition after an executor loss gets the same numbers.
+the lower 33) and writes the tagged rows once to the shared folder
+(``spark.checkpoint.dir``).  Counts per partition and the numbered rows are
+both read from that one copy, so they cannot disagree, whatever the plan does
+on either side.  Only the counts (one small row for each written partition) go
+through a global window and a broadcast.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausekit.session import ensure_checkpoint_dir
+
 _LOW_BITS = 33
 
 
-def dense_ordinal(df: DataFrame, order_cols: Sequence[str], out: str = "row_idx",
-                  reliable: bool = False) -> DataFrame:
-    """Add ``out`` = 0-based rank of each row in ``order_cols`` order (ties
-    broken arbitrarily but deterministically; pass a unique key for a total
-    order).  ``reliable=True`` writes the numbered rows to the checkpoint
-    folder first, cutting lineage for expensive inputs."""
+def dense_ordinal(df: DataFrame, order_cols: Sequence[str], out: str = "row_idx") -> DataFrame:
+    """Add ``out`` = 0-based rank of each row in ``order_cols`` order (ties broken
+    arbitrarily; pass a unique key for a total order).  Rows are never lost or
+    numbered twice.  Runs the plan of ``df`` once, when called."""
+    spark = df.sparkSession
     tagged = (df.orderBy(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_pid", F.shiftright(F.col("_mid"), _LOW_BITS))
-              .withColumn("_pos", F.col("_mid").bitwiseAND((1 << _LOW_BITS) - 1)))
-    if reliable:
-        tagged = tagged.checkpoint(eager=True)
+              .withColumn("_pos", F.col("_mid").bitwiseAND((1 << _LOW_BITS) - 1)).drop("_mid"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ordinal-{uuid.uuid4().hex}"
+    tagged.write.parquet(path)
+    tagged = spark.read.schema(tagged.schema).parquet(path)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), "_pid", "inner")
+    return (tagged.join(F.broadcast(offsets), "_pid", "inner")   # one row for each partition
             .withColumn(out, (F.col("_off") + F.col("_pos")).cast("bigint"))
-            .drop("_mid", "_pid", "_pos", "_off"))
+            .drop("_pid", "_pos", "_off"))

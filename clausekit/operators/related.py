@@ -64,7 +64,9 @@ def related_clauses(clean: DataFrame, k: int = MAX_RELATED,
     rel = F.broadcast(rel.distinct())  # bounded by the literal map
     base = clean.where(F.col("contract_name").isNotNull() & F.col("clause_type").isNotNull())
 
-    cand = (base.select("contract_name", "ord", "clause_type", "clause_text_cleaned",
+    # cut first: only the shown characters pass the windows and the join
+    cand = (base.select("contract_name", "ord", "clause_type",
+                        F.substring(F.col("clause_text_cleaned"), 1, RELATED_TEXT_CHARS).alias("_text"),
                         key("clause_type").alias("r_key"))
             .join(rel.select("r_key").distinct(), "r_key", "left_semi"))
     w1 = Window.partitionBy("contract_name", "r_key").orderBy("ord")
@@ -78,7 +80,7 @@ def related_clauses(clean: DataFrame, k: int = MAX_RELATED,
     w2 = Window.partitionBy("contract_name", "target_type").orderBy("ord")
     top = pairs.withColumn("_rn", F.row_number().over(w2)).where(F.col("_rn") <= k)
     item = F.struct(F.col("ord"), F.col("clause_type").alias("type"),
-                    F.substring(F.col("clause_text_cleaned"), 1, RELATED_TEXT_CHARS).alias("text"))
+                    F.col("_text").alias("text"))
     out = (top.groupBy("contract_name", "target_type")
            .agg(F.array_sort(F.collect_list(item)).alias("_items")))
     return out.select("contract_name", F.col("target_type").alias("clause_type"),

@@ -28,24 +28,26 @@ def sort_key(key, seed: int = SEED) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), k.cast("string")))
 
 
+def content_key(*cols) -> Column:
+    """256-bit digest of one or more columns, null and empty told apart: set
+    operations shuffle, sort and compare this instead of whole texts."""
+    parts = [F.col(c) if isinstance(c, str) else c for c in cols]
+    marked = [F.coalesce(F.concat(F.lit("v"), F.sha2(p.cast("string"), 256)), F.lit("n")) for p in parts]
+    return F.sha2(F.concat_ws(",", *marked), 256)
+
+
 def stratified_sample(df: DataFrame, strata: str = "clause_type", key: str = "ord",
                       cap: int = SAMPLE_CAP, seed: int = SEED) -> DataFrame:
     """Up to ``cap`` rows per stratum without replacement, deterministic.
 
-    Rows with a null stratum are dropped (as a pandas group-by).  The ranking
-    window is planned as ``WindowGroupLimit``: each map task keeps at most
-    ``cap`` rows per stratum before the shuffle, so a stratum holding a third
-    of the data costs no more than a small one."""
+    Rows with a null stratum are dropped (as a pandas group-by).  The rows taken
+    are the first of their stratum by seeded hash and key; the cut is found from
+    keys alone (``_mark_first``), so a stratum holding a third of the data costs
+    no task more than a small one, whatever the cap."""
     df = df.where(F.col(strata).isNotNull())
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if cap > limit:
-        # no partial limit for caps this large: rank only the boundary bucket
-        counts = df.groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
-        quotas = counts.select(strata, F.least(F.col("n"), F.lit(cap)).cast("bigint").alias("_q"))
-        return _mark_first(df, strata, key, quotas, seed).where("_first").drop("_first")
-    w = Window.partitionBy(strata).orderBy(sort_key(key, seed), F.col(key))
-    return (df.withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= cap).drop("_rn"))
+    counts = df.groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
+    quotas = counts.select(strata, F.least(F.col("n"), F.lit(cap)).cast("bigint").alias("_q"))
+    return _mark_first(df, strata, key, quotas, seed).where("_first").drop("_first")
 
 
 def remaining(base: DataFrame, sampled: DataFrame, key: str = "enriched_context",
@@ -54,42 +56,44 @@ def remaining(base: DataFrame, sampled: DataFrame, key: str = "enriched_context"
 
     ``exactly_once`` (the reference): keys occurring exactly once in
     ``base UNION ALL sampled`` (a symmetric difference: a key repeated inside
-    ``base`` is dropped too, sampled keys vanish).  ``anti``: plain
-    ``left_anti`` on the key.  The exactly-once form is a group-by with
-    count and ``any_value``: both partial aggregates, so hot keys collapse
-    map-side."""
+    ``base`` is dropped too, sampled keys vanish).  ``anti``: plain anti-join on
+    the key; rows with a null key stay.  Keys are compared by digest and counted
+    map-side; texts are shuffled once, as payload."""
+    cols = base.columns
     if mode == "anti":
-        return base.join(sampled.select(key), key, "left_anti")
+        taken = sampled.where(F.col(key).isNotNull()).select(content_key(key).alias("_k")).distinct()
+        return base.withColumn("_k", content_key(key)).join(taken, "_k", "left_anti").select(*cols)
     if mode != "exactly_once":
         raise ValueError(f"unknown mode {mode!r}")
-    cols = [c for c in base.columns if c != key]
-    u = base.select(key, *cols).unionByName(sampled.select(key, *cols))
-    g = (u.groupBy(key)
-         .agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*cols)).alias("_r"))
-         .where(F.col("_n") == 1))
-    return g.select(*[F.col(key) if c == key else F.col("_r")[c].alias(c) for c in base.columns])
+    return _exactly_once(base.unionByName(sampled.select(*cols)), content_key(key)).select(*cols)
+
+
+def _exactly_once(u: DataFrame, key: Column) -> DataFrame:
+    u = u.withColumn("_k", key)
+    once = u.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("_k")
+    return u.join(once, "_k", "left_semi")
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows (over all columns) that occur exactly once in ``a UNION ALL b``."""
     cols = a.columns
-    u = a.unionByName(b.select(*cols))
-    return u.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 1).drop("_n")
+    return _exactly_once(a.unionByName(b.select(*cols)), content_key(*cols)).select(*cols)
 
 
 def merge_keep_first(sources: Sequence[DataFrame], key: str = "enriched_context",
                      ord_col: str = "ord") -> DataFrame:
     """Union of labelled sources, one row per key: the earliest source wins,
-    then the lowest ordinal inside it (never an arbitrary ``dropDuplicates``
-    row).  ``min_by`` is a partial aggregate, so duplicates combine map-side."""
-    cols = [c for c in sources[0].columns if c != key]
-    parts = [s.select(key, *cols).withColumn("_src", F.lit(i)) for i, s in enumerate(sources)]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    first = F.min_by(F.struct(*cols), F.struct(F.col("_src"), F.col(ord_col))).alias("_r")
-    return u.groupBy(key).agg(first).select(
-        *[F.col(key) if c == key else F.col("_r")[c].alias(c) for c in sources[0].columns])
+    then the lowest ordinal inside it, then the smallest row hash (never an
+    arbitrary row).  The winner is found on digests and joined back."""
+    cols = sources[0].columns
+    u = None
+    for i, s in enumerate(sources):
+        part = s.select(*cols, content_key(key).alias("_k"), F.struct(
+            F.lit(i).alias("src"), F.col(ord_col).alias("ord"), content_key(*cols).alias("h")).alias("_rank"))
+        u = part if u is None else u.unionByName(part)
+    first = u.groupBy("_k").agg(F.min("_rank").alias("_first"))
+    return (u.join(first, "_k").where(F.col("_rank").eqNullSafe(F.col("_first")))
+            .dropDuplicates(["_k"]).select(*cols))
 
 
 def append(done: DataFrame, new: DataFrame) -> DataFrame:
@@ -112,7 +116,7 @@ def split_quotas(counts: DataFrame, strata: str = "clause_type",
     c = (c.withColumn("_base", F.expr("(n * _ntr) div _N"))
          .withColumn("_rem", (F.col("n") * F.col("_ntr")) % F.col("_N")))
     c = c.withColumn("_left", F.col("_ntr") - F.sum("_base").over(all_w))
-    rank_w = Window.orderBy(F.desc(F.col("n") == 1), F.desc("_rem"), F.col(strata))
+    rank_w = Window.orderBy(F.desc(F.col("n") == 1), F.desc("_rem"), F.col(strata))   # one row per stratum
     c = c.withColumn("_rk", F.row_number().over(rank_w))
     extra = F.when((F.col("_rk") <= F.col("_left")) & (F.col("_rem") > 0), 1).otherwise(0)
     return c.select(strata, "n", (F.col("_base") + extra).cast("bigint").alias("n_train"))
@@ -124,12 +128,8 @@ def stratified_split(df: DataFrame, strata: str = "clause_type", key: str = "ord
     """Add ``split`` in {train, val}: exact per-stratum quotas (see
     ``split_quotas``), rows ranked by the seeded hash.
 
-    No stratum is ever ranked in one task: rows are bucketed by the first 16
-    bits of their hash; a histogram (partial aggregate) finds, per stratum,
-    the bucket where the quota falls.  Rows below it are train, above it val,
-    and only the rows of that one bucket are ranked.
-
-    The input is read three times (counts, histogram, rows).
+    No stratum is ever ranked in one task (``_mark_first``).  The input is read
+    four times (counts, histogram, edge keys, rows), the rows once.
     ``materialize=True`` first writes it to the reliable checkpoint folder
     (``spark.checkpoint.dir``), so an expensive or non-deterministic
     upstream plan is computed once and every pass sees the same rows."""
@@ -147,28 +147,32 @@ def stratified_split(df: DataFrame, strata: str = "clause_type", key: str = "ord
 def _mark_first(df: DataFrame, strata: str, key: str, quotas: DataFrame, seed: int) -> DataFrame:
     """Add ``_first``: whether the row is among the first ``_q`` rows of its
     stratum in (seeded hash, key) order, for per-stratum quotas ``quotas``
-    (stratum, _q).
-
-    Rows are bucketed by the first 16 bits of their hash; a histogram
-    (partial aggregate) finds, per stratum, the bucket where the quota falls.
-    Rows below it are in, rows above it out, and only the rows of that one
-    bucket are ranked, so no stratum is ever sorted in one task."""
+    (stratum, _q).  ``key`` should be unique: rows that share hash and key fall
+    on one side together.  A null stratum is a stratum like any other.
+
+    Three narrow passes find each stratum's cut: keys are bucketed by the first
+    16 bits of their hash, a histogram (partial aggregate) finds the bucket
+    where the quota falls, and only that bucket's keys are ranked for the last
+    (hash, key) that is in.  The rows themselves are then compared with the cut
+    in one pass; the cuts, one row per stratum, are joined in."""
     h = sort_key(key, seed)
-    rows = df.withColumns({"_h": h, "_b": F.conv(F.substring(h, 1, SPLIT_BUCKET_HEX), 16, 10).cast("int")})
-    hist = rows.groupBy(strata, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    cw = Window.partitionBy(strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    keys = df.select(F.col(strata).alias("_s"), h.alias("_h"), F.col(key).alias("_key"),
+                     F.conv(F.substring(h, 1, SPLIT_BUCKET_HEX), 16, 10).cast("int").alias("_b"))
+    hist = keys.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    cw = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(cw), F.lit(0)))
-    bound = (hist.join(quotas, strata, "inner")
+    q = quotas.select(F.col(strata).alias("_qs"), "_q")
+    bound = (hist.join(q, F.col("_s").eqNullSafe(F.col("_qs")))
              .where((F.col("_before") < F.col("_q")) & (F.col("_before") + F.col("_cnt") >= F.col("_q")))
-             .select(strata, F.col("_b").alias("_bb"), (F.col("_q") - F.col("_before")).alias("_need")))
-    # strata with quota 0 have no boundary row: no row is in
-    j = rows.join(bound, strata, "left")
-    decided = j.where(F.col("_bb").isNull() | (F.col("_b") != F.col("_bb"))).withColumn(
-        "_first", F.col("_bb").isNotNull() & (F.col("_b") < F.col("_bb")))
-    edge = j.where(F.col("_b") == F.col("_bb"))
-    ew = Window.partitionBy(strata).orderBy("_h", key)
-    edge = edge.withColumn("_first", F.row_number().over(ew) <= F.col("_need"))
-    return decided.unionByName(edge).drop("_h", "_b", "_bb", "_need")
+             .select(F.col("_s").alias("_es"), F.col("_b").alias("_eb"), (F.col("_q") - F.col("_before")).alias("_need")))
+    edge = keys.join(bound, F.col("_s").eqNullSafe(F.col("_es")) & (F.col("_b") == F.col("_eb")))
+    ew = Window.partitionBy("_s").orderBy("_h", "_key")
+    cut = (edge.withColumn("_rk", F.row_number().over(ew)).where(F.col("_rk") == F.col("_need"))
+           .select(F.col("_s").alias("_cs"), F.struct("_h", "_key").alias("_cut")))
+    # strata with quota 0 have no cut: no row is in
+    j = df.join(cut, F.col(strata).eqNullSafe(F.col("_cs")), "left")
+    own = F.struct(h.alias("_h"), F.col(key).alias("_key"))
+    return j.withColumn("_first", F.coalesce(own <= F.col("_cut"), F.lit(False))).select(*df.columns, "_first")
 
 
 def split_balance(split: DataFrame, strata: str = "clause_type") -> DataFrame:

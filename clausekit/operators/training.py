@@ -76,15 +76,11 @@ def pad_batches(df: DataFrame, batch_size: int = 1, order_cols=("ord",), pad_id:
     """Dynamic right padding per batch: ids padded with ``pad_id``, labels
     with ``-100``, attention with 0, to the batch's longest row rounded up to
     ``multiple``.  Batches are consecutive rows in ``order_cols`` order,
-    numbered without a single-partition window; batch size 1 needs no
-    shuffle at all."""
-    if batch_size == 1:
-        b = df.withColumn("_len", tk.padded_length(F.size("input_ids"), multiple))
-    else:
-        b = dense_ordinal(df, list(order_cols), "_idx").withColumn(
-            "batch_id", F.floor(F.col("_idx") / batch_size)).drop("_idx")
-        w = Window.partitionBy("batch_id")   # at most batch_size rows each
-        b = b.withColumn("_len", tk.padded_length(F.max(F.size("input_ids")).over(w), multiple))
+    numbered (``batch_id``) without a single-partition window."""
+    b = dense_ordinal(df, list(order_cols), "_idx").withColumn(
+        "batch_id", F.floor(F.col("_idx") / batch_size)).drop("_idx")
+    w = Window.partitionBy("batch_id")   # at most batch_size rows each
+    b = b.withColumn("_len", tk.padded_length(F.max(F.size("input_ids")).over(w), multiple))
     return b.withColumns({
         "input_ids": tk.pad_right("input_ids", F.col("_len"), pad_id),
         "attention_mask": tk.pad_right("attention_mask", F.col("_len"), 0),

@@ -72,11 +72,7 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     failure: the 7-column labelled rows plus ``ord``."""
     r = X.replies(spark, d).withColumn("label", label.with_default(label.parse_reply("reply")))
     j = enriched(spark, d).join(r, F.col("ord") == F.col("doc_id"), "inner")
-    return j.select(
-        "ord", "contract_name", "clause_type", "clause_text", "enriched_context",
-        F.col("label.risk_level").alias("risk_level"),
-        F.col("label.risk_reason").alias("risk_reason"),
-        F.col("label.plain_summary").alias("plain_summary"))
+    return label.labelled_rows(j, keep=("ord",))
 
 
 @shared

@@ -377,10 +377,10 @@ FROM (SELECT count(*) AS n_train FROM split WHERE split = 'train')""")
 # ---- grouping, joins, metadata ----------------------------------------------
 
 oracle("clauses_by_contract", W(B.CLAUSES, B.CLEAN, B.CCLEAN) + """
-SELECT contract_name, ord // 4096 AS chunk, CAST(count(*) AS INTEGER) AS n_clauses,
+SELECT contract_name, CAST(0 AS BIGINT) AS chunk, CAST(count(*) AS INTEGER) AS n_clauses,
        string_agg(clause_type, '|' ORDER BY ord) AS clause_types,
        string_agg(CAST(ord AS VARCHAR), ' ' ORDER BY ord) AS ords
-FROM cclean WHERE contract_name IS NOT NULL GROUP BY contract_name, ord // 4096""")
+FROM cclean WHERE contract_name IS NOT NULL GROUP BY contract_name""")
 
 oracle("join_master", W(B.CLAUSES, B.CLEAN, B.CCLEAN, B.MASTER, B.MCANON) + """
 SELECT c.contract_name, m.file_ord, m.document_name_answer, m.governing_law_answer

@@ -53,7 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: the server's setting applies
         conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-        return conf_dir or tempfile.mkdtemp(prefix="clausekit-ckpt-")
+        if not conf_dir:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster") from None
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current

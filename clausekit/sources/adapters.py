@@ -22,7 +22,7 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausekit.sources.corpus import spread
+from clausekit.sources.corpus import spread_scan
 
 # Clause types assigned to documents by hash (adapter design, not reference
 # data).  Mixed case on purpose: metadata matching is case-insensitive,
@@ -38,7 +38,7 @@ CLAUSES_PER_CONTRACT = 12
 
 
 # tables whose rows carry whole texts: per-row CPU work is heavy, so a scan
-# narrower than the cluster is spread before it (``sources.corpus.spread``)
+# narrower than the cluster is spread before it (``sources.corpus.spread_scan``)
 TEXT_TABLES = ("documents", "conversations", "pages")
 
 
@@ -68,7 +68,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         df = per_session.get(path)
         if df is None:
             df = spark.read.parquet(path)
-            df = spread(df) if name in TEXT_TABLES else df
+            df = spread_scan(df) if name in TEXT_TABLES else df
             per_session[path] = df
     return df
 

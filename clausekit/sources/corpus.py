@@ -23,21 +23,31 @@ PANDAS_NA_VALUES = [
 ]
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over ``min_partitions`` (default: the cluster's
-    default parallelism) when its scan has fewer partitions.
-
-    A single large file with one row group scans as one task, which would
-    run all per-row text work on one core.  At scale the scan has far more
-    splits than cores and this is a no-op, so it never adds a shuffle there.
-    (Round-robin repartitioning sorts locally first, so a retried task gets
-    the same rows.)"""
+def spread_scan(df: DataFrame, min_files: int | None = None) -> DataFrame:
+    """Round-robin a file scan over ``min_files`` partitions (default: the
+    cluster's default parallelism) when it has fewer files than that.
+
+    A single file with one row group scans as one task, which would run all
+    per-row text work on one core.  A corpus at scale has far more files than
+    cores, and nothing is added.  Decided from the scan's file list alone: no
+    job runs, and ``df`` must be a scan without a shuffle.  (Round-robin
+    repartitioning sorts locally first, so a retried task gets the same rows.)"""
     try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        narrow = df.rdd.getNumPartitions() < target
-    except Exception:  # noqa: BLE001 - no RDD API (e.g. Spark Connect): leave as is
+        target = min_files or df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): leave as is
         return df
-    return df.repartition(target) if narrow else df
+    return df.repartition(target) if len(df.inputFiles()) < target else df
+
+
+def with_file_order(df: DataFrame, out: str = "file_ord") -> DataFrame:
+    """Add ``out``, the 0-based place of every row in file order: by path, then
+    block, then position inside the block.  The numbers are the same however
+    the input is split or the cluster sized (``operators.ordinal``)."""
+    from clausekit.operators.ordinal import dense_ordinal
+    tagged = df.select("*", F.col("_metadata.file_path").alias("_path"),
+                       F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_row"))
+    return dense_ordinal(tagged, ["_path", "_block", "_row"], out).drop("_path", "_block", "_row")
 
 
 def read_corpus(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
@@ -47,15 +57,14 @@ def read_corpus(spark: SparkSession, path: str, json_lines: bool = False) -> Dat
     (not splittable: one task per file).  ``json_lines=True``: each line is
     one contract object ``{"title":..., "paragraphs": [...]}``; the result is
     wrapped to the same ``data`` shape so the flattener is shared.  A
-    ``file_ord`` column (monotonic id of the scan, i.e. file order inside a
-    split) is added for the implicit-order rules.
+    ``file_ord`` column (``with_file_order``) is added for the implicit-order
+    rules; it is numbered when the reader is called.
     """
     if json_lines:
         df = spark.read.schema(schemas.CONTRACT).json(path)
-        df = df.select(F.array(F.struct(*[F.col(f.name) for f in schemas.CONTRACT.fields])).alias("data"))
-    else:
-        df = spark.read.schema(schemas.CORPUS).option("multiLine", True).json(path)
-    return df.withColumn("file_ord", F.monotonically_increasing_id())
+        rows = with_file_order(df)
+        return rows.select(F.array(F.struct(*[F.col(f.name) for f in schemas.CONTRACT.fields])).alias("data"), "file_ord")
+    return with_file_order(spark.read.schema(schemas.CORPUS).option("multiLine", True).json(path))
 
 
 # charsets Spark 4 accepts without the legacy flag
@@ -86,7 +95,7 @@ def read_master(spark: SparkSession, path: str, encoding: str = "windows-1252",
     for c in schemas.MASTER_COLUMNS:
         v = F.col(f"`{c}`")
         cols.append(F.when(v.isin(na), F.lit(None)).otherwise(v).alias(schemas.MASTER_RENAME[c]))
-    return raw.select(*cols).withColumn("file_ord", F.monotonically_increasing_id())
+    return with_file_order(raw).select(*cols, "file_ord")
 
 
 def read_stage(spark: SparkSession, path: str, schema=None, fmt: str = "parquet") -> DataFrame:
@@ -123,8 +132,11 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Load a checkpoint table, or an empty frame of ``schema`` if absent."""
+    """Load a checkpoint table, or an empty frame of ``schema`` if the path is absent
+    (any other failure is raised: an unreadable table is not an empty one)."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)

@@ -4,9 +4,10 @@
   metadata table in a stream-static join and are appended, enriched, to a
   Parquet sink.  Exactly-once through the file sink's commit log.
 * ``label_stream``: new rows to label are anti-joined against what the
-  labelled table already holds, labelled with ``label_batch`` and written
-  per micro-batch to ``<done>/batch_id=<n>``.  A retried micro-batch
-  overwrites only its own folder, so a batch is never applied twice.
+  labelled table already holds, labelled with ``label_batch`` (one call per
+  distinct key) and written per micro-batch to ``<done>/batch_id=<n>``.  A
+  micro-batch that is run again after its folder was committed is skipped; one
+  that was cut short is labelled again without counting its own folder as done.
 
 Checkpoints and sinks live under the session's reliable checkpoint folder
 (``spark.checkpoint.dir``) unless a path is given.
@@ -19,11 +20,13 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from clausekit.functions import templates as tpl
 from clausekit.operators import extract, label, metadata
 from clausekit.session import ensure_checkpoint_dir
+from clausekit.sources.corpus import read_or_empty
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -51,6 +54,12 @@ def enrich_stream(clauses: DataFrame, meta: DataFrame, out_path: str, checkpoint
     return w.start()
 
 
+def _committed(spark: SparkSession, path: str) -> bool:
+    """Whether a Parquet folder was written to its end."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def label_stream(todo: DataFrame, done_path: str, checkpoint: str,
                  make_labeller: Callable[[], label.Labeller], key: str = "enriched_context",
                  available_now: bool = True, **label_kw) -> StreamingQuery:
@@ -58,11 +67,14 @@ def label_stream(todo: DataFrame, done_path: str, checkpoint: str,
     spark = todo.sparkSession
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        probe = label.label_batch(batch.limit(0), make_labeller, **label_kw)
-        from clausekit.sources.corpus import read_or_empty
-        done = read_or_empty(spark, done_path, probe.schema)
-        new = label.label_batch(label.incremental_todo(batch, done, key), make_labeller, **label_kw)
-        new.write.mode("overwrite").parquet(f"{done_path.rstrip('/')}/batch_id={batch_id}")
+        out = f"{done_path.rstrip('/')}/batch_id={batch_id}"
+        if _committed(spark, out):
+            return
+        schema = label.label_batch(batch.limit(0), make_labeller, **label_kw).schema
+        done = read_or_empty(spark, done_path, T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]))
+        done = done.where(F.col("batch_id") != batch_id)
+        part = label.one_per_key(label.incremental_todo(batch, done, key), key)
+        label.label_batch(part, make_labeller, **label_kw).write.mode("overwrite").parquet(out)
 
     w = todo.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
