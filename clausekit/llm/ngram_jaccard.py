@@ -221,10 +221,9 @@ def _full(n: int, percent: int, levels: np.ndarray, ids: np.ndarray):
 def _levels(prof: DataFrame) -> np.ndarray:
     """log2 frequency of the heavy slots (0: not heavy); at most 2**SLOT_BITS rows."""
     rows = (prof.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
-            .select("id", F.floor(F.log2("n")).cast("int").alias("level")).collect())
+            .select("id", F.floor(F.log2("n")).cast("int").alias("level")).toArrow())
     out = np.zeros(1 << SLOT_BITS, np.uint8)
-    for r in rows:
-        out[r["id"]] = min(63, max(1, r["level"]))
+    out[rows["id"].to_numpy()] = np.clip(rows["level"].to_numpy(), 1, 63)
     return out
 
 

@@ -37,7 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_WORDS = 50
 GRAM = 8
-BITS = 25               # bitmaps of 4 MB
+BITS = 24               # a bitmap of 2 MB for grams, of 4 MB for windows
 
 
 def _suffixes(w: W.Words, min_words: int, gram: int):

@@ -45,10 +45,9 @@ def bitmap(keys: DataFrame, col: str, bits: int) -> np.ndarray:
     rows = (keys.where(F.col(col).isNotNull())
             .select(F.expr(f"shiftright(pmod({col}, {1 << bits}L), 6)").alias("w"),
                     F.expr(f"shiftleft(1L, cast(pmod({col}, 64L) as int))").alias("b"))
-            .groupBy("w").agg(F.bit_or("b").alias("b")).collect())
+            .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
     out = np.zeros(1 << (bits - 6), np.uint64)
-    for r in rows:
-        out[r["w"]] = np.uint64(r["b"] & ((1 << 64) - 1))
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
     return out
 
 
