@@ -131,8 +131,9 @@ def score_batch(prompts: DataFrame, make_scorer: Callable[..., Scorer],
 def out_of_domain(requests: DataFrame) -> DataFrame:
     """Requests whose clause type, contract type or jurisdiction is outside
     the offered choices (custom values are allowed, so this is a report,
-    never a reject).  The lists are literals: an ``isin``, no join."""
-    checks = [("target_clause", CLAUSE_TYPE_CHOICES), ("contract_type", CONTRACT_TYPE_CHOICES),
+    never a reject).  The unselected type is a choice that is offered.  The
+    lists are literals: an ``isin``, no join."""
+    checks = [("target_clause", [TYPE_SENTINEL, *CLAUSE_TYPE_CHOICES]), ("contract_type", CONTRACT_TYPE_CHOICES),
               ("jurisdiction", JURISDICTION_CHOICES)]
     fields = F.filter(F.array(*[F.when(~F.col(c).isin(v), F.lit(c)) for c, v in checks]),
                       lambda x: x.isNotNull())

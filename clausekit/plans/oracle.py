@@ -626,7 +626,7 @@ SELECT file_ord, a_pos,
 FROM prompts""")
 
 _OOD = ", ".join([
-    f"CASE WHEN target_clause NOT IN ({', '.join(q(v) for v in scoring.CLAUSE_TYPE_CHOICES)}) THEN 'target_clause' END",
+    f"CASE WHEN target_clause NOT IN ('Select clause type...', {', '.join(q(v) for v in scoring.CLAUSE_TYPE_CHOICES)}) THEN 'target_clause' END",
     f"CASE WHEN contract_type NOT IN ({', '.join(q(v) for v in scoring.CONTRACT_TYPE_CHOICES)}) THEN 'contract_type' END",
     f"CASE WHEN jurisdiction NOT IN ({', '.join(q(v) for v in scoring.JURISDICTION_CHOICES)}) THEN 'jurisdiction' END",
 ])

@@ -1,8 +1,8 @@
 """Structured Streaming jobs for clauses that keep arriving.
 
-* ``enrich_stream``: new clause rows (a file stream) meet the contract
-  metadata table in a stream-static join and are appended, enriched, to a
-  Parquet sink.  Exactly-once through the file sink's commit log.
+* ``enrich_stream``: new clause rows (a file stream) meet the written contract
+  metadata table, as it is at that time, and are written enriched, one folder per
+  micro-batch; clauses of contracts that are not there yet wait in a quarantine.
 * ``label_stream``: new rows to label are anti-joined against what the
   labelled table already holds, labelled with ``label_batch`` (one call per
   distinct key) and written per micro-batch to ``<done>/batch_id=<n>``.  A
@@ -33,25 +33,48 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def enrich_stream(clauses: DataFrame, meta: DataFrame, out_path: str, checkpoint: str,
+def enrich_stream(clauses: DataFrame, meta_path: str, out_path: str, checkpoint: str,
                   indent: str = "    ", aliases: Mapping[str, str] | None = None,
                   available_now: bool = True) -> StreamingQuery:
     """Start the streaming enrichment.
 
     ``clauses``: a streaming DataFrame of raw clause rows (contract_name,
-    clause_type, clause_text, ord).  ``meta``: static per-contract metadata
-    with ``metadata_context`` (``metadata.with_metadata_context``)."""
+    clause_type, clause_text, ord).  ``meta_path``: a written table of contract
+    metadata with ``metadata_context`` (``metadata.with_metadata_context``), read
+    anew for every micro-batch.  A clause whose contract is not there yet goes to
+    ``<out_path>-waiting`` and is tried again by ``retry_waiting``.  Each
+    micro-batch writes its own folders, so one that is run again replaces them."""
     c = metadata.canonicalize_clauses(extract.clean_clauses(clauses), aliases)
-    j = c.join(meta.select("contract_name", "metadata_context"), "contract_name", "inner")
-    out = j.select(
+    spark = clauses.sparkSession
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        name = f"batch_id={batch_id}"
+        meta = spark.read.parquet(meta_path)
+        _enriched(batch, meta, indent).write.mode("overwrite").parquet(f"{out_path}/{name}")
+        late = batch.where(F.col("contract_name").isNotNull()).join(meta, "contract_name", "left_anti")
+        late.write.mode("overwrite").parquet(f"{out_path}-waiting/{name}")
+
+    w = c.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
+def _enriched(clean: DataFrame, meta: DataFrame, indent: str) -> DataFrame:
+    j = clean.join(meta.select("contract_name", "metadata_context"), "contract_name", "inner")
+    return j.select(
         "ord", "contract_name", "clause_type",
         F.col("clause_text_cleaned").alias("clause_text"),
         tpl.enriched_context(F.col("metadata_context"), F.col("clause_type"),
                              F.col("clause_text_cleaned"), indent).alias("enriched_context"))
-    w = (out.writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", checkpoint).outputMode("append"))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+
+
+def retry_waiting(spark: SparkSession, meta_path: str, out_path: str, indent: str = "    ") -> DataFrame:
+    """Enriched rows of the waiting clauses whose contract has arrived since: the
+    reader's view of a sink is its folder united with this, so nothing is moved
+    and nothing can be applied twice."""
+    schema = ("ord bigint, contract_name string, clause_type string, clause_text_cleaned string, batch_id bigint")
+    waiting = read_or_empty(spark, f"{out_path}-waiting", schema).drop("batch_id")
+    return _enriched(waiting, spark.read.parquet(meta_path), indent)
 
 
 def _committed(spark: SparkSession, path: str) -> bool:
@@ -98,8 +121,9 @@ def enrich_documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = metadata.with_metadata_context(
         metadata.contract_metadata(E.canonical_clauses(spark, sf_dir), E.master_dedup(spark, sf_dir)))
     base = _scratch(spark, "enrich")
-    q = enrich_stream(clauses, meta, f"{base}/out", f"{base}/chk")
+    meta.write.parquet(f"{base}/meta")
+    q = enrich_stream(clauses, f"{base}/meta", f"{base}/out", f"{base}/chk")
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").drop("batch_id")

@@ -32,3 +32,21 @@ def test_stream_enrich_equals_batch(spark):
     s = E.queries()["stream_enrich_clauses"](spark, SF001)
     b = E.queries()["enrich_clauses"](spark, SF001)
     assert rows(s) == rows(b)
+
+
+def test_late_contracts_wait_and_are_retried(spark, tmp_path):
+    src, meta, out, chk = (str(tmp_path / d) for d in ("src", "meta", "out", "chk"))
+    rows = [("A", "Parties", "x y", 1), ("B", "Parties", "late", 2), (None, "Parties", "none", 3)]
+    spark.createDataFrame(rows, "contract_name string, clause_type string, clause_text string, ord bigint").write.parquet(src)
+    schema = spark.read.parquet(src).schema
+
+    def known(*names):
+        spark.createDataFrame([(n, f"ctx {n}") for n in names], "contract_name string, metadata_context string") \
+            .write.mode("overwrite").parquet(meta)
+
+    known("A")
+    S.enrich_stream(spark.readStream.schema(schema).parquet(src), meta, out, chk).awaitTermination()
+    assert [r.ord for r in spark.read.parquet(out).collect()] == [1]
+    known("A", "B")
+    got = S.retry_waiting(spark, meta, out).collect()
+    assert [(r.ord, "ctx B" in r.enriched_context) for r in got] == [(2, True)]
