@@ -33,7 +33,7 @@ from clausekit.llm.quality_crf import labelled_sample
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PER_CLASS = 4000
+PER_CLASS = 3000
 BUCKET_BITS, DIM = 18, 8
 SIZES = (3, 4, 5)
 HALF = 8                 # a window is two halves of this many words
@@ -113,7 +113,7 @@ class SubwordSoftmax:
             return self
         hashes, first, grams = [], [0], {}
         at_word = 0
-        for _, _, data, off in W.chunks(pc.utf8_lower(pa.array(texts, pa.large_string()))):
+        for _, _, data, off in W.chunks(pc.utf8_lower(pa.array(texts, pa.large_string())), 1 << 19):
             w = W.split_words(data, off, _table())
             u, where = np.unique(w.hash, return_index=True)
             new = np.array([i for i, h in zip(where, u) if int(h) not in grams], np.int64)
