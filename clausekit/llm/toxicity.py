@@ -6,10 +6,11 @@ the rows, and a linear softmax over two classes reads it.  Table and softmax are
 trained jointly in numpy, so a misspelling that no training text holds still
 shares most of its vectors with the word it comes from.
 
-A text is toxic if one passage is, so it is read in half-overlapping windows over
-its whole length and scored by its strongest window.  Only documents are
-labelled: in every epoch each toxic text trains on its strongest windows so far,
-each clean one on its strongest (the likeliest mistakes) and some others.  A
+A text is toxic if one passage is, so it is read in half-overlapping windows (of
+words that differ) over its whole length and scored by its strongest window.  Only documents are
+labelled: in every epoch each toxic text trains on its strongest windows so far
+(at first also on others, so that no pattern is settled on too early), each clean
+one on its strongest (the likeliest mistakes) and some others.  A
 logistic scale fitted on documents left out of that training maps the strongest
 window's margin to a probability.
 
@@ -36,9 +37,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PER_CLASS = 3000
 BUCKET_BITS, DIM = 18, 8
 SIZES = (3, 4, 5)
-HALF = 8                 # a window is two halves of this many words
-EPOCHS, BATCH, RATE = 10, 2048, 0.02
-POSITIVE, NEGATIVE = 3, 12  # windows of a text that train in an epoch
+HALF = 8                 # a window is two halves of this many words, repeated ones counted once
+FLOOR = 2 * HALF * 12    # n-grams that a window counts as at least
+EPOCHS, EXPLORE, BATCH, RATE = 12, 8, 2048, 0.02
+POSITIVE, NEGATIVE = 4, 12  # windows of a text that train in an epoch
 _P = 0x9E3779B97F4A7C15 | 1
 
 
@@ -85,9 +87,20 @@ def _windows(first: np.ndarray):
     return start, text, more
 
 
+def _fresh(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a word is the first of its kind in its half of a window."""
+    start, _, _ = _windows(first)
+    block = np.searchsorted(start, np.arange(len(h)), "right")
+    fresh = np.ones(len(h), bool)
+    for j in range(1, HALF):
+        fresh[j:] &= (h[j:] != h[:-j]) | (block[j:] != block[:-j])
+    return fresh
+
+
 def _margins(value: np.ndarray, count: np.ndarray, first: np.ndarray):
     """Mean value of every window: (margin, block, text); the last half of a text
-    of several halves is covered by the window before it."""
+    of several halves is covered by the window before it.  A window counts as
+    FLOOR n-grams at least: a few words alone are weak evidence."""
     start, text, more = _windows(first)
     if not len(start):
         return np.zeros(0), start, text
@@ -97,7 +110,7 @@ def _margins(value: np.ndarray, count: np.ndarray, first: np.ndarray):
     prior = np.zeros(len(text), bool)
     prior[1:] = text[1:] == text[:-1]
     keep = more | ~prior
-    return (v / np.maximum(c, 1))[keep], start[keep], text[keep]
+    return (v / np.maximum(c, FLOOR))[keep], start[keep], text[keep]
 
 
 class SubwordSoftmax:
@@ -136,6 +149,7 @@ class SubwordSoftmax:
         lists = [grams[int(h)] for h in vocab]
         size = np.array([len(g) for g in lists])
         flat, begin = np.concatenate(lists), np.cumsum(size) - size
+        fresh = _fresh(vocab[ids], first)
         rng = np.random.default_rng(2)
         fold = rng.permutation(len(y)) % 5 == 0            # left out for the scale
         emb = np.zeros((1 << BUCKET_BITS, DIM), np.float32)   # an n-gram never seen says nothing
@@ -146,7 +160,7 @@ class SubwordSoftmax:
 
         def word_margin():
             g = emb @ (soft[:, 1] - soft[:, 0])
-            return np.add.reduceat(g[flat], begin)[ids], size[ids].astype(np.float64)
+            return np.add.reduceat(g[flat], begin)[ids] * fresh, size[ids].astype(np.float64) * fresh
 
         for epoch in range(EPOCHS):
             v, c = word_margin()
@@ -157,20 +171,22 @@ class SubwordSoftmax:
             rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
             toxic = y[text[order]] == 1
             other = np.lexsort((noise, text))
+            some = np.where(y[text[other]] == 0, NEGATIVE // 2, POSITIVE if epoch < EXPLORE else 0)
             pick = np.concatenate([order[toxic & (rank < POSITIVE)], order[~toxic & (rank < NEGATIVE // 2)],
-                                   other[(y[text[other]] == 0) & (rank < NEGATIVE // 2)]])
+                                   other[rank < some]])
             pick = rng.permutation(pick[~fold[text[pick]]])
             for lo in range(0, len(pick), BATCH):
                 p = pick[lo:lo + BATCH]
                 a = start[p]
                 z = np.minimum(a + 2 * HALF, first[text[p] + 1])
-                word = ids[np.repeat(a - np.cumsum(z - a) + (z - a), z - a) + np.arange((z - a).sum())]
-                owner = np.repeat(np.arange(len(p)), z - a)
+                at = np.repeat(a - np.cumsum(z - a) + (z - a), z - a) + np.arange((z - a).sum())
+                owner = np.repeat(np.arange(len(p)), z - a)[fresh[at]]
+                word = ids[at[fresh[at]]]
                 gs = size[word]
                 g = flat[np.repeat(begin[word] - np.cumsum(gs) + gs, gs) + np.arange(gs.sum())]
                 owner = np.repeat(owner, gs)
                 cut = np.searchsorted(owner, np.arange(len(p)))
-                n = np.bincount(owner, minlength=len(p))[:, None]
+                n = np.maximum(np.bincount(owner, minlength=len(p)), FLOOR)[:, None]
                 x = np.add.reduceat(emb[g], cut, axis=0) / n
                 logit = x @ soft + bias
                 prob = np.exp(logit - logit.max(1, keepdims=True))
@@ -225,7 +241,8 @@ class SubwordSoftmax:
                 count[pos] += 1
             v = np.add.reduceat(value, at - 1) + self.gram[self._word_bucket(w.hash)]
             c = np.add.reduceat(count, at - 1) + 1
-            margin, _, text = _margins(v, c.astype(np.float64), w.first)
+            fresh = _fresh(w.hash, w.first)
+            margin, _, text = _margins(v * fresh, c * fresh.astype(np.float64), w.first)
             top = np.full(hi - lo, -np.inf)
             np.maximum.at(top, text, margin)
             x = np.clip(self.scale * (top + self.bias) + self.shift, -40, 40)
