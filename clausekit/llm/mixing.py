@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clausekit.llm.stage import drop, staged
+from clausekit.llm.stage import drop, staged, unused
 
 DIMENSIONS = ("source", "lang", "topic")
 ROUNDS = 20
@@ -80,9 +80,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fractio
     cells = staged(d.where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "tokens")
     raked = rake(cells, powers or POWERS, rounds)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    rate = raked.select(*[F.col(c).alias(f"_{c}") for c in DIMENSIONS],
+    keys = [unused(d, f"_{c}") for c in DIMENSIONS]
+    rate = raked.select(*[F.col(c).alias(k) for c, k in zip(DIMENSIONS, keys)],
                         F.round(F.col("weight") * F.lit(float(fraction * total)) / F.col("tokens"), 6).alias("rate"))
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DIMENSIONS]
-    out = d.where("n_tokens > 0").join(rate, on[0] & on[1] & on[2]).drop(*[f"_{c}" for c in DIMENSIONS])
+    on = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(DIMENSIONS, keys)]
+    out = d.where("n_tokens > 0").join(rate, on[0] & on[1] & on[2]).drop(*keys)
     copies = F.floor("rate") + F.when(draw(id_col) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     return out.withColumn("n_copies", copies.cast("bigint")).where("n_copies > 0")

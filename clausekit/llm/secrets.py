@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausekit.llm.stage import staged
+from clausekit.llm.stage import staged, unused
 
 SCOPE = 200
 BIN = 512
@@ -134,16 +134,17 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with every found span replaced by ``[SECRET]`` (overlapping spans
     by one).  Rows, other columns and texts without spans stay as they are."""
     rows = parsed(docs, id_col, text_col)
+    own, got = unused(docs, "_key"), unused(docs, "_spans")
     found = (rows.dropDuplicates(["key"]).join(linked(rows, scope), "key", "left")
-             .select(F.col("key").alias("_key"), F.array_sort(F.concat("base", F.coalesce(
-                 "extra", F.expr(f"cast(array() as {SPAN})")))).alias("_spans")).where("size(_spans) > 0"))
+             .select(F.col("key").alias(own), F.array_sort(F.concat("base", F.coalesce(
+                 "extra", F.expr(f"cast(array() as {SPAN})")))).alias(got)).where(f"size({got}) > 0"))
     t = f"`{text_col}`"
-    clean = F.expr(f"""if(_spans is null, {t}, aggregate(_spans, struct('' as out, 0 as at),
+    clean = F.expr(f"""if({got} is null, {t}, aggregate({got}, struct('' as out, 0 as at),
         (a, x) -> struct(
             if(x.start >= a.at, concat(a.out, substring({t}, a.at + 1, x.start - a.at), '{MASK}'), a.out) as out,
             greatest(a.at, x.end) as at),
         a -> concat(a.out, substring({t}, a.at + 1))))""")
     key = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")),
                       F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    out = docs.withColumn("_key", key).join(found, "_key", "left")
+    out = docs.withColumn(own, key).join(found, own, "left")
     return out.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -10,6 +10,7 @@ from clausekit.llm.decontaminate import contaminated
 from clausekit.llm.mixing import mix
 from clausekit.llm.ngram_jaccard import jaccard_components
 from clausekit.llm.secrets import redact_secrets
+from clausekit.llm.stage import unused
 
 QUALITY = 0.3
 
@@ -18,7 +19,8 @@ def quality(spark, docs, sf_dir):
     """Documents that the line classifier, trained on this stage's labelled
     documents, scores below 0.3 go."""
     model = quality_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_crf.quality_scores(docs, model, out_col="_quality").where(F.col("_quality") >= QUALITY).drop("_quality")
+    score = unused(docs, "_quality")
+    return quality_crf.quality_scores(docs, model, out_col=score).where(F.col(score) >= QUALITY).drop(score)
 
 
 def near_duplicates(spark, docs, sf_dir):
@@ -28,8 +30,9 @@ def near_duplicates(spark, docs, sf_dir):
     keep = (jaccard_components(docs).where("doc_id is not null and doc_id = component_id")
             .select("doc_id").distinct())
     first = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    known = docs.join(keep, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first))
-    return known.where("_row = 1").drop("_row").unionByName(docs.where("doc_id is null"))
+    place = unused(docs, "_row")
+    known = docs.join(keep, "doc_id", "left_semi").withColumn(place, F.row_number().over(first))
+    return known.where(F.col(place) == 1).drop(place).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark, docs, sf_dir):
