@@ -53,6 +53,7 @@ SEEDS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 TOKEN_BITS, SALT_BITS, PLACE_BITS = 46, 6, 12   # a bucket key: shingle, part, place in the set
 SHARE = 20              # l is a SHARE-th of the set
+WIDE = 8                # components in a bucket that are still told apart
 
 
 def prefix_length(n, percent: int, least):
@@ -148,12 +149,13 @@ def _prefixes(n: int, percent: int, levels: np.ndarray):
 
 
 def _shared(shift: int, salt_bits: int):
-    """From rows (key, owner) sorted by key: (shingle, owner) of the buckets that
-    hold more than one owner, and of all parts of divided buckets.  ``shift`` low
-    bits do not count for the bucket, the next ``salt_bits`` are its part.  A bucket
-    may span batches: all that is kept of it is its first owner."""
+    """From rows (key, owner) sorted by both: (shingle, owner) of the buckets that
+    hold more than one owner, and of all parts of divided buckets; repeated rows
+    count once.  ``shift`` low bits do not count for the bucket, the next
+    ``salt_bits`` are its part.  A bucket may span batches: all that is kept of it
+    is its first owner."""
     def run(batches):
-        open_bucket, hub, held = None, None, False
+        open_bucket, hub, held, last = None, None, False, None
 
         def out(bucket, owner):
             return pa.RecordBatch.from_arrays([pa.array(bucket >> np.int64(salt_bits)), pa.array(owner)], ["tok", "d1"])
@@ -161,8 +163,15 @@ def _shared(shift: int, salt_bits: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            bucket = b.column(0).to_numpy(zero_copy_only=False) >> np.int64(shift)
-            owner = b.column(1).to_numpy(zero_copy_only=False)
+            key, owner = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            once = np.ones(len(key), bool)
+            once[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+            once[0] = last != (key[0], owner[0])
+            last = (key[-1], owner[-1])
+            key, owner = key[once], owner[once]
+            if not len(key):
+                continue
+            bucket = key >> np.int64(shift)
             new = np.ones(len(bucket), bool)
             new[1:] = bucket[1:] != bucket[:-1]
             first, which = np.flatnonzero(new), np.cumsum(new) - 1
@@ -227,9 +236,24 @@ def _levels(prof: DataFrame) -> np.ndarray:
     return out
 
 
+def _listed(ids: np.ndarray):
+    """Rows whose first column is in the bitmap."""
+    def run(batches):
+        for b in batches:
+            keep = np.flatnonzero(in_bitmap(ids, b.column(0).to_numpy(zero_copy_only=False)))
+            if len(keep):
+                yield b.take(pa.array(keep))
+    return run
+
+
 def _verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links among candidate pairs (a, b): first the prefix filters of the
-    further orders, intersected, then whole sets."""
+    further orders, intersected, then whole sets.  A bitmap keeps sets that no pair
+    names out of the shuffles."""
+    pairs = staged(pairs, "pairs")
+    ids = bitmap(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), "id", ID_BITS)
+    full = full.select("id", "p2", "p3", "toks")
+    full = full.mapInArrow(_listed(ids), full.schema)
     sig = full.select("id", "p2", "p3")
     for side in ("a", "b"):
         pairs = pairs.join(sig.select(F.col("id").alias(side), F.col("p2").alias(f"{side}2"),
@@ -246,10 +270,9 @@ def _as_links(comp: DataFrame) -> DataFrame:
     return comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
-def _mixed(member: DataFrame, comp: DataFrame | None) -> DataFrame:
+def _mixed(member: DataFrame, comp: DataFrame) -> DataFrame:
     """Members of the buckets that hold more than one component ``g``."""
-    m = member.withColumn("g", F.col("id")) if comp is None else (
-        member.join(comp, "id", "left").select(*member.columns, F.coalesce("component", "id").alias("g")))
+    m = member.join(comp, "id", "left").select(*member.columns, F.coalesce("component", "id").alias("g"))
     two = m.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("tok")
     return staged(m.join(two, "tok", "left_semi"), "mixed")
 
@@ -269,17 +292,25 @@ def _feasible(mixed: DataFrame, percent: int) -> DataFrame:
     link with a member of it takes.  Outside the prefixes two sets of n and m have at
     most ``rest`` = the larger of n - l-prefix and m - l-prefix shingles in common, so
     they need overlap - rest shared buckets; the need is least at the ends of the
-    sizes that the component offers."""
+    sizes that the component offers.  Buckets of more than WIDE components are not
+    told apart by component: each counts for every one of them."""
     met = mixed.select("tok", F.col("g").alias("h")).distinct()
+    wide = met.groupBy("tok").agg(F.count(F.lit(1)).alias("w")).where(F.col("w") > WIDE).select("tok")
+    extra = (mixed.join(wide, "tok", "left_semi").groupBy("id")
+             .agg(F.count(F.lit(1)).alias("w"), F.min("n").alias("n"), F.first("g").alias("g")))
+    surely = extra.where(F.expr(f"w >= ceil(ceil({percent} * n / 100D) / {SHARE}D)")).select("id", "g")
+    met = met.join(wide, "tok", "left_anti")
     of = mixed.groupBy(F.col("g").alias("h")).agg(F.min("n").alias("small"), F.max("n").alias("large"), F.max("c").alias("most"))
     m = (mixed.join(met, "tok").where("g != h").groupBy("id", "g", "h")
          .agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("c").alias("c")).join(of, "h"))
+    m = m.join(extra.select("id", "w"), "id", "left").withColumn("k", F.col("k") + F.coalesce("w", F.lit(0)))
     m = m.withColumn("lo", F.expr(f"greatest(small, ceil({percent} * n / 100D))")).withColumn(
         "hi", F.expr(f"least(large, floor(100 * n / {percent}D))"))
     part, rest = percent / (100 + percent), percent / 100 - 1 / SHARE
     need = " , ".join(f"{part} * (n + {v}) - {rest} * greatest(n, {v}) - 2" for v in ("lo", "hi"))
     return (m.where("lo <= hi").where(F.expr(f"k >= least({need})")).where(F.expr(f"k * {SHARE} >= least(n, lo)"))
-            .where(F.expr(f"{100 + percent} * least(c, most) >= {percent} * (n + lo)")).select("id", "g").distinct())
+            .where(F.expr(f"{100 + percent} * least(c, most) >= {percent} * (n + lo)")).select("id", "g")
+            .unionByName(surely).distinct())
 
 
 def _crossing(mixed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
@@ -327,11 +358,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.min("id").alias("rep"), F.first("n").alias("n"))
 
     pre = known.mapInArrow(_prefixes(n, percent, levels), "key bigint, d1 bigint")
-    pre = pre.repartition(F.shiftright("key", PLACE_BITS)).sortWithinPartitions("key")
+    pre = pre.repartition(F.shiftright("key", PLACE_BITS)).sortWithinPartitions("key", "d1")
     pre = staged(pre.mapInArrow(_shared(PLACE_BITS, SALT_BITS), "tok bigint, d1 bigint"), "prefix")
     # a set shares l prefix shingles with any partner, l that of the smaller set
     least = F.expr(f"ceil(ceil({percent} * n / 100D) / {SHARE}D)")
-    able = (pre.distinct().groupBy("d1").agg(F.count(F.lit(1)).alias("m"))
+    able = (pre.groupBy("d1").agg(F.count(F.lit(1)).alias("m"))
             .join(classes.select("d1", "rep", "n"), "d1").where(F.col("m") >= least))
     able = staged(able.select("d1", F.col("rep").alias("id")), "able")
     full = staged(known.mapInArrow(
@@ -339,19 +370,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "id bigint, k bigint, n bigint, heavy bigint, p2 array<int>, p3 array<int>, toks array<bigint>"), "sets")
     # ... and at most the shingles that occur in other such sets
     light = full.select("id", "toks").mapInArrow(_light(levels), "key bigint, d1 bigint")
-    light = light.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(0, 0), "tok bigint, d1 bigint")
+    light = light.repartition("key").sortWithinPartitions("key", "d1").mapInArrow(_shared(0, 0), "tok bigint, d1 bigint")
     light = light.groupBy(F.col("d1").alias("id")).agg(F.count(F.lit(1)).alias("c"))
     known_sets = (full.groupBy("id").agg(F.max("n").alias("n"), F.max("heavy").alias("heavy")).join(light, "id", "left")
                   .select("id", "n", (F.coalesce("c", F.lit(0)) + F.col("heavy")).alias("c")))
     strong = known_sets.where(f"100 * c >= {percent} * n").withColumn("share", F.expr("1000 * c div n"))
-    member = staged(pre.distinct().join(able, "d1").select("tok", "id").distinct().join(strong, "id"), "buckets")
+    member = staged(pre.join(able.join(strong, "id"), "d1").drop("d1"), "buckets")
 
-    mixed = _mixed(member, None)
+    mixed = member.withColumn("g", F.col("id"))
     links = staged(_verify(_with_hubs(mixed), full, percent), "links")
     while True:
-        drop(mixed)
         comp = staged(components(links), "components")
         mixed = _mixed(member, comp)
+        drop(member)
+        member = mixed.drop("g")    # a bucket of one component stays one
+        member._stage_path = mixed._stage_path
         more = staged(_verify(_with_hubs(mixed), full, percent), "links")
         if more.isEmpty():
             drop(more, links)
@@ -363,7 +396,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     final = components(_as_links(comp).unionByName(more)).withColumnRenamed("id", "rep")
     by_class = staged(classes.join(final, "rep", "left")
                       .select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "classes")
-    drop(pre, able, member, mixed, more, comp, full)
+    drop(pre, able, mixed, more, comp, full)
     out = rows.join(by_class, ["d1", "d2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
