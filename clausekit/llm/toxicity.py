@@ -34,12 +34,12 @@ from clausekit.llm.quality_crf import labelled_sample
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PER_CLASS = 3000
+PER_CLASS = 2500
 BUCKET_BITS, DIM = 18, 8
 SIZES = (3, 4, 5)
 HALF = 8                 # a window is two halves of this many words, repeated ones counted once
 FLOOR = 2 * HALF * 12    # n-grams that a window counts as at least
-EPOCHS, EXPLORE, BATCH, RATE = 12, 8, 2048, 0.02
+EPOCHS, EXPLORE, BATCH, RATE = 12, 8, 2048, 0.15
 POSITIVE, NEGATIVE = 4, 12  # windows of a text that train in an epoch
 _P = 0x9E3779B97F4A7C15 | 1
 
@@ -145,17 +145,20 @@ class SubwordSoftmax:
             first += (w.first[1:] + at_word).tolist()
             at_word += len(w.hash)
         first = np.array(first)
-        vocab, ids = np.unique(np.concatenate(hashes), return_inverse=True)
+        words = np.concatenate(hashes)
+        fresh = _fresh(words, first)
+        vocab, ids = np.unique(words, return_inverse=True)
+        ids = ids.astype(np.int32)
         lists = [grams[int(h)] for h in vocab]
         size = np.array([len(g) for g in lists])
-        flat, begin = np.concatenate(lists), np.cumsum(size) - size
-        fresh = _fresh(vocab[ids], first)
+        flat, begin = np.concatenate(lists).astype(np.int32), np.cumsum(size) - size
+        del words, hashes, vocab, lists, grams
         rng = np.random.default_rng(2)
         fold = rng.permutation(len(y)) % 5 == 0            # left out for the scale
         emb = np.zeros((1 << BUCKET_BITS, DIM), np.float32)   # an n-gram never seen says nothing
         soft, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
         soft[:, 1], soft[:, 0] = rng.normal(0, .3, DIM), rng.normal(0, .3, DIM)
-        state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, soft, bias)]
+        state = [[np.zeros_like(p), np.zeros(1)] for p in (emb, soft, bias)]
         step = 0
 
         def word_margin():
@@ -175,6 +178,8 @@ class SubwordSoftmax:
             pick = np.concatenate([order[toxic & (rank < POSITIVE)], order[~toxic & (rank < NEGATIVE // 2)],
                                    other[rank < some]])
             pick = rng.permutation(pick[~fold[text[pick]]])
+            share = np.bincount(y[text[pick]], minlength=2) / max(1, len(pick))
+            weight = 0.5 / np.maximum(share, 1e-3)          # both classes weigh alike
             for lo in range(0, len(pick), BATCH):
                 p = pick[lo:lo + BATCH]
                 a = start[p]
@@ -192,16 +197,18 @@ class SubwordSoftmax:
                 prob = np.exp(logit - logit.max(1, keepdims=True))
                 prob /= prob.sum(1, keepdims=True)
                 prob[np.arange(len(p)), y[text[p]]] -= 1
-                prob /= len(p)
+                prob *= weight[y[text[p]], None] / len(p)
                 dx = (prob @ soft.T) / n
                 ge = np.stack([np.bincount(g, dx[owner, k], minlength=len(emb)) for k in range(DIM)], 1)
                 step += 1
                 for param, grad, (m, s) in zip((emb, soft, bias), (ge, x.T @ prob, prob.sum(0)), state):
                     m *= .9
                     m += .1 * grad
-                    s *= .999
-                    s += .001 * grad * grad
-                    param -= RATE * (m / (1 - .9 ** step)) / (np.sqrt(s / (1 - .999 ** step)) + 1e-8)
+                    # one scale for a whole parameter: an n-gram of one text moves less than
+                    # one that many texts share, so texts are not learnt by heart
+                    s *= .99
+                    s += .01 * float((grad * grad).sum() / max(1, np.count_nonzero(grad)))
+                    param -= RATE * (m / (1 - .9 ** step)) / (np.sqrt(s / (1 - .99 ** step)) + 1e-12)
         self.gram = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
         self.bias = float(bias[1] - bias[0])
         v, c = word_margin()
@@ -256,7 +263,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Sub
     numpy trains).  Without both labels it scores every text alike."""
     rows = labelled_sample(docs, labels, "toxic", 3, 1, per_class).where("text is not null").collect()
     rows.sort(key=lambda r: (r["label"], r["text"]))
-    return SubwordSoftmax().fit([r["text"] for r in rows], [r["label"] for r in rows])
+    texts, marks = [r["text"] for r in rows], [r["label"] for r in rows]
+    del rows
+    return SubwordSoftmax().fit(texts, marks)
 
 
 def toxicity_scores(docs: DataFrame, model: SubwordSoftmax, text_col: str = "text",
