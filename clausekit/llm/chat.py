@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from clausekit.llm.stage import staged
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BUDGET, HISTORY, OVERHEAD = 2048, 256, 4
@@ -86,7 +88,8 @@ def format_chat(conversations: DataFrame, budget: int = BUDGET, history: int = H
     t = conversations.select(
         F.col("conv_id").alias("conv"), F.col("turn").cast("bigint").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = count_tokens(t, tokenizer).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK))
+    # tokens are counted once; several branches read them
+    t = staged(count_tokens(t, tokenizer).withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK)), "tokens")
     # places and prefix sums: blocks first, then turns inside blocks
     blocks = t.groupBy("conv", "block").agg(F.sum("n_tokens").alias("sum"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,6 +110,7 @@ def format_chat(conversations: DataFrame, budget: int = BUDGET, history: int = H
     t = t.join(whole, F.col("conv").eqNullSafe(F.col("c"))).drop("c")
     t = t.withColumn("start", F.col("upto") - F.col("n_tokens") - F.col("s"))
     t = t.withColumn("span", F.when(F.col("system"), 0).otherwise(F.floor(F.col("start") / F.col("room"))).cast("bigint"))
+    t = staged(t.select("conv", "span", "place", "role", "text", "n_tokens", "system", "start"), "spans")
     # context: the tail of the span before, and the system turn
     spans = t.where(~F.col("system")).groupBy("conv", "span").agg(F.min("start").alias("first"))
     in_order = Window.partitionBy("conv").orderBy("span")
