@@ -345,8 +345,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     documents link when 100 * intersection >= percent * union; component_id is
     the smallest id reachable by links.  Null and word-free texts have an empty
     set and link with nothing; rows with a null id take no part and get a null
-    component.  Repeated rows each get a row, and an id with several texts is one
-    document that links by any of them; other columns are ignored."""
+    component.  Repeated rows each get a row.  Ids are expected to name one text:
+    rows of one id with different texts share a component, and whether they are
+    worth comparing is judged by the id's largest text.  Other columns are ignored."""
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     prof = staged(d.mapInArrow(_profile(n), "kind int, id bigint, n bigint, d1 bigint, d2 bigint"), "profile")
     rows = prof.where("kind = 0").drop("kind")
