@@ -84,7 +84,14 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-_POWERS: dict[str, np.ndarray] = {}
+class _Cache(dict):
+    """Made again in every process: travels with a task's functions as empty."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_POWERS = _Cache()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
