@@ -7,10 +7,11 @@ few edits apart walk in step again after each edit, so their emitted sequences
 differ in few places (Hamming distance); a bit sample keeps a few steps of one
 walk as a key, and windows with equal keys are candidates.  Walks are repeated
 until simulated copies at the largest accepted distance are found with the
-target recall.  Every candidate is then verified by exact edit distance.
+target recall at every edit count of a class, on the shortest items that allow
+it.  Every candidate is then verified by exact edit distance.
 
-Windows are item-sized by class (lengths 4, 6, 12, 24, 48, ... words; an item
-belongs to the longest class that fits it with one stride to spare).  Documents
+Windows have a length by class (4, 6, 12 or 24 words; an item belongs to the
+longest class that fits it with one stride to spare).  Documents
 are windowed at a stride of a third of the length; the items, the small side,
 are windowed at every offset, so an unchanged occurrence always has a document
 window that starts in step with an item window.
@@ -36,7 +37,9 @@ MIN_ITEM_WORDS = 4
 ITEM_BLOCK = 2000       # items whose keys one pass over the documents carries
 BITS = 4                # steps of a walk that make one key
 SAMPLES = 3             # keys from each walk
-MAX_WALKS = 24
+MAX_WALKS = 64
+LONGEST_WINDOW = 24     # words; longer items have more windows instead
+COPIES = 1000           # simulated copies for each edit count
 BLOCK = 1 << 15         # windows walked at once
 
 OUT = "doc_id bigint, item_id bigint, distance int, n_item_words int, start_word bigint, end_word bigint"
@@ -55,7 +58,7 @@ def word_hashes(column: pa.Array):
 def class_of(n: int) -> tuple[int, int]:
     """(window length, stride) for an item of n words."""
     best, w = (4, 1), 6
-    while n >= w + w // 3 - 1:
+    while n >= w + w // 3 - 1 and w <= LONGEST_WINDOW:
         best, w = (w, w // 3), w * 2
     return best
 
@@ -119,22 +122,24 @@ class Index:
         self.parts = []
         for cls in sorted(by_class):
             mine = by_class[cls]
-            r = walks or self._calibrate(cls, mine, target)
-            self.parts.append([self._part(Walk.draw(*cls, k), mine) for k in range(r)])
+            need = dict.fromkeys(mine, walks) if walks else self._calibrate(cls, mine, target)
+            self.parts.append([self._part(Walk.draw(*cls, k), {i: self.items[i] for i in mine if need[i] > k})
+                               for k in range(max(need.values()))])
 
     def allowed(self, i: int) -> int:
         return int(self.ratio * len(self.items[i]))
 
-    def _part(self, walk: Walk, mine: list[int]):
+    @staticmethod
+    def _part(walk: Walk, mine: dict[int, np.ndarray]):
         pad = np.full(2 * walk.length, 1, np.uint64)
         flat, starts, item, off, at = [], [], [], [], 0
-        for i in mine:
-            m = max(1, len(self.items[i]) - walk.length + 1)
+        for i, words in mine.items():
+            m = max(1, len(words) - walk.length + 1)
             starts.append(at + np.arange(m))
             item.append(np.full(m, i))
             off.append(np.arange(m))
-            flat += [self.items[i], pad]
-            at += len(self.items[i]) + len(pad)
+            flat += [words, pad]
+            at += len(words) + len(pad)
         keys = walk.keys(np.concatenate(flat), np.concatenate(starts)).ravel()
         item, off = np.tile(np.concatenate(item), SAMPLES), np.tile(np.concatenate(off), SAMPLES)
         order = np.argsort(keys, kind="stable")
@@ -149,37 +154,54 @@ class Index:
         bits[(keys >> shift).astype(np.int64)] = True
         return bits, shift
 
-    def _calibrate(self, cls, mine, target: float) -> int:
-        """Walks needed so that a copy with the most accepted edits is found
-        with probability ``target``, from simulated copies."""
-        rng = np.random.default_rng([7, *cls])
-        docs, truth = [], []
-        for k in range(600):
-            i = mine[int(rng.integers(len(mine)))]
-            w = list(self.items[i])
-            for _ in range(self.allowed(i)):
-                at, kind = int(rng.integers(len(w))), int(rng.integers(3))
-                new = np.uint64(rng.integers(1, 1 << 62))
-                if kind == 0:
-                    w[at] = new
-                elif kind == 1:
-                    w.insert(at, new)
-                elif len(w) > 1:
-                    del w[at]
-            lead = rng.integers(1, 1 << 62, int(rng.integers(cls[1])), dtype=np.uint64)
-            tail = rng.integers(1, 1 << 62, 2 * cls[0], dtype=np.uint64)
-            docs.append(np.concatenate([lead, np.array(w, np.uint64), tail]))
-            truth.append(i)
-        first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
-        h, truth = np.concatenate(docs), np.array(truth)
-        found = np.zeros(len(docs), bool)
-        for r in range(1, MAX_WALKS + 1):
-            part = self._part(Walk.draw(*cls, r - 1), mine)
-            doc, item, _ = self._probe(part, h, first)
-            found[doc[truth[doc] == item]] = True
-            if found.mean() >= target:
-                return r
-        return MAX_WALKS
+    def _calibrate(self, cls, mine, target: float) -> dict[int, int]:
+        """Walks that every item needs so that copies with the most accepted edits
+        are found with probability ``target``, from simulated copies.  Of the items
+        with one edit count the shortest are the hardest (densest edits, fewest
+        windows), so for every edit count copies of its items, cut to the
+        shortest length, have to reach the target by one standard error."""
+        by_edits: dict[int, list[int]] = {}
+        for i in mine:
+            by_edits.setdefault(self.allowed(i), []).append(i)
+        need, walks = target + (target * (1 - target) / COPIES) ** 0.5, {}
+        for edits, group in sorted(by_edits.items()):
+            size = min(len(self.items[i]) for i in group)
+            rng = np.random.default_rng([7, *cls, edits])
+            truth = np.array(group)[rng.integers(len(group), size=COPIES)]
+            cut = {i: self.items[i][:size] for i in np.unique(truth).tolist()}
+            docs, lo, hi = zip(*(self._copy(cut[i], edits, cls, rng) for i in truth.tolist()))
+            first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+            h, lo, hi = np.concatenate(docs), first[:-1] + lo, first[:-1] + hi
+            found = np.zeros(len(docs), bool)
+            for r in range(1, MAX_WALKS + 1):
+                doc, item, pos = self._probe(self._part(Walk.draw(*cls, r - 1), cut), h, first)
+                found[doc[(truth[doc] == item) & (lo[doc] <= pos) & (pos <= hi[doc])]] = True
+                if found.mean() >= need:
+                    break
+            else:
+                raise ValueError(f"target_recall {target} is out of reach: {MAX_WALKS} walks find {found.mean():.3f} of the copies "
+                                 f"of {size} words with {edits} edits; ask for less recall or a smaller max_ratio")
+            walks |= dict.fromkeys(group, r)
+        return walks
+
+    @staticmethod
+    def _copy(words, edits: int, cls, rng):
+        """(an item after random edits, between unrelated words; the first and the
+        last word position from which ``verify`` still sees all of it)."""
+        w = list(words)
+        for place, kind, new in zip(rng.random(edits), rng.integers(3, size=edits), rng.integers(1, 1 << 62, edits, dtype=np.uint64)):
+            at = int(place * len(w))
+            if kind == 0:
+                w[at] = new
+            elif kind == 1:
+                w.insert(at, new)
+            elif len(w) > 1:
+                del w[at]
+        lead = rng.integers(1, 1 << 62, int(rng.integers(cls[1])), dtype=np.uint64)
+        tail = rng.integers(1, 1 << 62, 2 * cls[0], dtype=np.uint64)
+        slack = edits + 1
+        return (np.concatenate([lead, np.array(w, np.uint64), tail]),
+                len(lead) + len(w) - len(words) - slack, len(lead) + slack)
 
     @staticmethod
     def _probe(part, h, first):
@@ -288,7 +310,7 @@ def _scan(index: Index):
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", max_ratio: float = 0.15,
-                 target_recall: float = 0.95, item_block: int = ITEM_BLOCK) -> DataFrame:
+                 target_recall: float = 0.99, item_block: int = ITEM_BLOCK) -> DataFrame:
     """(doc_id, item_id, distance, n_item_words, start_word, end_word): every
     (document, item) where a piece of the document is within ``max_ratio`` times
     the item's words in word edits, with its nearest piece (ties: the first).
@@ -296,7 +318,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     ``items`` is the query set: it is taken in blocks of about ``item_block``
     items, one pass over the documents each, so memory is bounded however many
     there are.  Unchanged occurrences are always found; copies at the largest
-    distance with probability ``target_recall``.  Items of fewer than 4 words
+    distance with probability ``target_recall`` whatever the item's length (a
+    target out of reach of ``MAX_WALKS`` walks is an error).  Items of fewer than 4 words
     are no evidence and match nothing, as do null or empty texts and rows with
     a null id.  Repeated rows of an id give one row per item, its nearest."""
     d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(

@@ -98,6 +98,27 @@ def test_decontamination(spark):
     assert len(got) >= 0.93 * len(want)
 
 
+def test_decontamination_recall_at_every_length(spark):
+    """Copies with the most accepted edits, for the shortest items of a window length."""
+    rng = random.Random(15)
+    sizes = (7, 15, 31, 63, 127)
+    items = [prose(rng, n) for n in sizes + tuple(range(8, 60)) for _ in range(20)]
+    q = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    docs = [(k % (20 * len(sizes)), edited(rng, items[k % (20 * len(sizes))], int(0.15 * len(items[k % (20 * len(sizes))]))))
+            for k in range(600 * len(sizes) // 2)]
+    texts = [" ".join(prose(rng, rng.randrange(40)) + w + prose(rng, rng.randrange(40))) for _, w in docs]
+    got = {(r.doc_id, r.item_id) for r in contaminated(frame(spark, texts), q).collect()}
+    for n in sizes:
+        want = [(d, i) for d, (i, _) in enumerate(docs) if len(items[i]) == n]
+        assert sum(k in got for k in want) >= 0.975 * len(want), n
+
+
+def test_decontamination_recall_out_of_reach_is_an_error(spark):
+    q = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id bigint, text string")
+    with pytest.raises(ValueError, match="target_recall"):
+        contaminated(frame(spark, ["a b c"]), q, max_ratio=0.9)
+
+
 def test_repeats(spark):
     rng = random.Random(9)
     passages = [prose(rng, rng.randrange(50, 120)) for _ in range(6)]
