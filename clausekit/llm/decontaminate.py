@@ -14,7 +14,10 @@ Windows have a length by class (4, 6, 12 or 24 words; an item belongs to the
 longest class that fits it with one stride to spare).  Documents
 are windowed at a stride of a third of the length; the items, the small side,
 are windowed at every offset, so an unchanged occurrence always has a document
-window that starts in step with an item window.
+window that starts in step with an item window.  A walk of that window may still
+run past the item's end, where the document goes on with other words; one more
+key, a hash of all words of the window, is equal for unchanged copies whatever
+follows, so these are found always.
 """
 
 from __future__ import annotations
@@ -103,6 +106,21 @@ class Walk:
         return W.mix64(out.ravel() ^ (salt + np.repeat(np.arange(SAMPLES, dtype=np.uint64), len(starts)))).reshape(out.shape)
 
 
+@dataclass
+class Whole:
+    """The hash of all words of a window as its only key."""
+
+    length: int
+    stride: int
+
+    def keys(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        p, inv = W._powers(len(h) + 1)
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * p[:len(h)], out=sums[1:])
+        key = (sums[starts + self.length] - sums[starts]) * inv[starts]
+        return W.mix64(key + np.uint64(self.length))[None, :]
+
+
 def _starts(first: np.ndarray, length: int, stride: int) -> np.ndarray:
     """Word positions of the windows of every text, each text from its first word."""
     n = np.maximum(0, (np.diff(first) - length) // stride + 1)
@@ -111,7 +129,8 @@ def _starts(first: np.ndarray, length: int, stride: int) -> np.ndarray:
 
 
 class Index:
-    """Keys of one block of items, sorted, with a small bit filter in front."""
+    """Keys of one block of items, sorted, with a small bit filter in front: the
+    whole windows, then the walks."""
 
     def __init__(self, ids, hashes, ratio: float, target: float, walks: int | None = None):
         self.ids, self.items, self.ratio = ids, hashes, ratio
@@ -123,25 +142,29 @@ class Index:
         for cls in sorted(by_class):
             mine = by_class[cls]
             need = dict.fromkeys(mine, walks) if walks else self._calibrate(cls, mine, target)
-            self.parts.append([self._part(Walk.draw(*cls, k), {i: self.items[i] for i in mine if need[i] > k})
-                               for k in range(max(need.values()))])
+            self.parts.append([self._part(Whole(*cls), {i: self.items[i] for i in mine})]
+                              + [self._part(Walk.draw(*cls, k), {i: self.items[i] for i in mine if need[i] > k})
+                                 for k in range(max(need.values()))])
 
     def allowed(self, i: int) -> int:
         return int(self.ratio * len(self.items[i]))
 
     @staticmethod
-    def _part(walk: Walk, mine: dict[int, np.ndarray]):
+    def _part(walk: Walk | Whole, mine: dict[int, np.ndarray]):
         pad = np.full(2 * walk.length, 1, np.uint64)
         flat, starts, item, off, at = [], [], [], [], 0
         for i, words in mine.items():
             m = max(1, len(words) - walk.length + 1)
+            if isinstance(walk, Whole):
+                m = min(m, walk.stride)     # an unchanged copy has a window at one of these
             starts.append(at + np.arange(m))
             item.append(np.full(m, i))
             off.append(np.arange(m))
             flat += [words, pad]
             at += len(words) + len(pad)
-        keys = walk.keys(np.concatenate(flat), np.concatenate(starts)).ravel()
-        item, off = np.tile(np.concatenate(item), SAMPLES), np.tile(np.concatenate(off), SAMPLES)
+        keys = walk.keys(np.concatenate(flat), np.concatenate(starts))
+        item, off = np.tile(np.concatenate(item), len(keys)), np.tile(np.concatenate(off), len(keys))
+        keys = keys.ravel()
         order = np.argsort(keys, kind="stable")
         return walk, keys[order], item[order].astype(np.int32), off[order].astype(np.int32)
 
@@ -173,8 +196,9 @@ class Index:
             first = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
             h, lo, hi = np.concatenate(docs), first[:-1] + lo, first[:-1] + hi
             found = np.zeros(len(docs), bool)
-            for r in range(1, MAX_WALKS + 1):
-                doc, item, pos = self._probe(self._part(Walk.draw(*cls, r - 1), cut), h, first)
+            for r in range(MAX_WALKS + 1):
+                walk = Walk.draw(*cls, r - 1) if r else Whole(*cls)
+                doc, item, pos = self._probe(self._part(walk, cut), h, first)
                 found[doc[(truth[doc] == item) & (lo[doc] <= pos) & (pos <= hi[doc])]] = True
                 if found.mean() >= need:
                     break

@@ -4,11 +4,12 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from clausekit.llm import licenses
 from clausekit.llm.chat import escaped, format_chat, read_back, unescaped
-from clausekit.llm.decontaminate import contaminated
+from clausekit.llm.decontaminate import Index, contaminated, word_hashes
 from clausekit.llm.mixing import POWERS, mix, rake
 from clausekit.llm.ngram_jaccard import jaccard_components
 from clausekit.llm.repeats import repeated_passages
@@ -113,6 +114,20 @@ def test_decontamination_recall_at_every_length(spark):
         assert sum(k in got for k in want) >= 0.975 * len(want), n
 
 
+def test_decontamination_finds_every_unchanged_copy():
+    """Items of every length, before other words or at the end, however few the walks."""
+    rng = random.Random(4)
+    items = [prose(rng, n) for n in [4] * 300 + [5] * 100 + [6] * 100 + list(range(7, 60)) * 4]
+    docs = [prose(rng, rng.randrange(30)) + w + prose(rng, k * 8) for w in items for k in range(3)]
+    hashes = []
+    for texts in (items, docs):
+        _, _, w = next(word_hashes(pa.array([" ".join(t) for t in texts], pa.large_string())))
+        hashes.append(w)
+    q = [hashes[0].hash[a:b] for a, b in zip(hashes[0].first[:-1], hashes[0].first[1:])]
+    got = {(d, i): dist for d, i, dist, _, _ in Index(list(range(len(q))), q, 0.15, 0.99, walks=1).matches(hashes[1])}
+    assert [d for d in range(len(docs)) if got.get((d, d // 3)) != 0] == []
+
+
 def test_decontamination_recall_out_of_reach_is_an_error(spark):
     q = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id bigint, text string")
     with pytest.raises(ValueError, match="target_recall"):
