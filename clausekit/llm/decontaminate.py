@@ -1,6 +1,7 @@
 """Benchmark decontamination by CGK embeddings and bit-sampling LSH.
 
-Edit distance is over words (lower-cased, ASCII punctuation dropped).  The CGK
+Edit distance is over words (lower-cased, punctuation dropped; every character of
+a script written without spaces is a word).  The CGK
 random walk reads a window of words: at step j it emits the word under the
 pointer and advances by a random bit that depends on (j, word).  Two windows a
 few edits apart walk in step again after each edit, so their emitted sequences
@@ -17,12 +18,14 @@ are windowed at every offset, so an unchanged occurrence always has a document
 window that starts in step with an item window.  A walk of that window may still
 run past the item's end, where the document goes on with other words; one more
 key, a hash of all words of the window, is equal for unchanged copies whatever
-follows, so these are found always.
+follows, so these are found always.  Items of one to three words are
+their own window and match by that key alone.
 """
 
 from __future__ import annotations
 
 import sys
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +39,7 @@ from clausekit.llm import words as W
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MIN_ITEM_WORDS = 4
+MIN_EDITED_WORDS = 4    # shorter items match unchanged only
 ITEM_BLOCK = 2000       # items whose keys one pass over the documents carries
 BITS = 4                # steps of a walk that make one key
 SAMPLES = 3             # keys from each walk
@@ -53,14 +56,43 @@ def _table() -> np.ndarray:
     return W.byte_table(separators=bytes(b for b in range(128) if b not in keep))
 
 
+def _marks() -> str:
+    """Character class of all punctuation, symbols and spaces beyond ASCII."""
+    out, lo = [], None
+    for c in range(0x80, 0x110000):
+        mark = unicodedata.category(chr(c))[0] in "PSZ" or c < 0xA0 or c in (0x200B, 0x2060, 0xFEFF)
+        if mark and lo is None:
+            lo = c
+        elif not mark and lo is not None:
+            out.append(f"\\x{{{lo:X}}}-\\x{{{c - 1:X}}}")
+            lo = None
+    return "[" + "".join(out) + "]+"
+
+
+#: Scripts written without spaces; 30FC and FF70 are the length mark of both kana.
+UNSPACED = (r"[\p{Han}\p{Hiragana}\p{Katakana}\x{30FC}\x{FF70}\p{Bopomofo}\p{Yi}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+            r"\p{Tai_Le}\p{New_Tai_Lue}\p{Tai_Tham}\p{Balinese}\p{Javanese}]")
+MARKS = _marks()
+
+
+def spaced(column: pa.Array) -> pa.Array:
+    """The texts with a space for every run of punctuation beyond ASCII and around
+    every character of an unspaced script."""
+    column = column.cast(pa.large_string())
+    if pc.all(pc.string_is_ascii(column)).as_py() is not False:
+        return column
+    column = pc.replace_substring_regex(column, MARKS, " ")
+    return pc.replace_substring_regex(column, f"({UNSPACED})", r" \1 ")
+
+
 def word_hashes(column: pa.Array):
-    for lo, hi, data, off in W.chunks(pc.utf8_lower(column.cast(pa.large_string()))):
+    for lo, hi, data, off in W.chunks(pc.utf8_lower(spaced(column))):
         yield lo, hi, W.split_words(data, off, _table())
 
 
 def class_of(n: int) -> tuple[int, int]:
     """(window length, stride) for an item of n words."""
-    best, w = (4, 1), 6
+    best, w = (min(n, 4), 1), 6
     while n >= w + w // 3 - 1 and w <= LONGEST_WINDOW:
         best, w = (w, w // 3), w * 2
     return best
@@ -136,18 +168,22 @@ class Index:
         self.ids, self.items, self.ratio = ids, hashes, ratio
         by_class: dict[tuple[int, int], list[int]] = {}
         for i, h in enumerate(hashes):
-            if len(h) >= MIN_ITEM_WORDS:
+            if len(h):
                 by_class.setdefault(class_of(len(h)), []).append(i)
         self.parts = []
         for cls in sorted(by_class):
             mine = by_class[cls]
-            need = dict.fromkeys(mine, walks) if walks else self._calibrate(cls, mine, target)
+            if cls[0] < MIN_EDITED_WORDS:
+                need = dict.fromkeys(mine, 0)
+            else:
+                need = dict.fromkeys(mine, walks) if walks else self._calibrate(cls, mine, target)
             self.parts.append([self._part(Whole(*cls), {i: self.items[i] for i in mine})]
                               + [self._part(Walk.draw(*cls, k), {i: self.items[i] for i in mine if need[i] > k})
                                  for k in range(max(need.values()))])
 
     def allowed(self, i: int) -> int:
-        return int(self.ratio * len(self.items[i]))
+        n = len(self.items[i])
+        return int(self.ratio * n) if n >= MIN_EDITED_WORDS else 0
 
     @staticmethod
     def _part(walk: Walk | Whole, mine: dict[int, np.ndarray]):
@@ -257,7 +293,10 @@ class Index:
         order = np.lexsort((pos, doc, item))
         doc, item, pos = doc[order], item[order], pos[order]
         new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (pos[1:] != pos[:-1])
+        same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1])
+        size = np.array([len(q) for q in self.items])
+        # a window of a short item is all of it: its first place is its best
+        new[1:] = ~same | ((pos[1:] != pos[:-1]) & (size[item[1:]] >= MIN_EDITED_WORDS))
         doc, item, pos = doc[new], item[new], pos[new]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         edges = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
@@ -343,9 +382,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     items, one pass over the documents each, so memory is bounded however many
     there are.  Unchanged occurrences are always found; copies at the largest
     distance with probability ``target_recall`` whatever the item's length (a
-    target out of reach of ``MAX_WALKS`` walks is an error).  Items of fewer than 4 words
-    are no evidence and match nothing, as do null or empty texts and rows with
-    a null id.  Repeated rows of an id give one row per item, its nearest."""
+    target out of reach of ``MAX_WALKS`` walks is an error).  Items of one to three
+    words match unchanged only; null or empty texts and rows with
+    a null id match nothing.  Repeated rows of an id give one row per item, its nearest."""
     d = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     q = items.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(

@@ -128,6 +128,17 @@ def test_decontamination_finds_every_unchanged_copy():
     assert [d for d in range(len(docs)) if got.get((d, d // 3)) != 0] == []
 
 
+def test_decontamination_without_spaces_and_short_items(spark):
+    items = {1: "敏捷的棕色狐狸跳过了懒惰的狗", 2: "すばやい茶色のキツネは、のろまな犬を飛び越えた。", 3: "สุนัขจิ้งจอกสีน้ำตาลกระโดดข้ามสุนัขขี้เกียจ",
+             4: "blue whale", 5: "“naïve” — café… über", 6: "狐狸", 7: "!!", 8: "quartz"}
+    docs = ["他说：敏捷的棕色狐狸跳过了懒惰的狗。真的吗？", "昔々、すばやい茶色のキツネは のろまな犬を飛び越えた！と言う", "ว่า" + items[3] + "แล้ว",
+            "a Blue, whale; a blue whale", "a naïve–café über b", "他说敏捷的灰色狐狸跳过了懒惰的狗", "whale blue quart", "quartz"]
+    q = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.start_word) for r in contaminated(frame(spark, docs), q).collect()}
+    assert got == {(0, 1): (0, 2), (0, 6): (0, 7), (1, 2): (0, 2), (2, 3): (0, 3), (3, 4): (0, 1), (4, 5): (0, 1), (5, 1): (1, 2),
+                   (5, 6): (0, 7), (7, 8): (0, 0)}
+
+
 def test_decontamination_recall_out_of_reach_is_an_error(spark):
     q = spark.createDataFrame([(1, "one two three four five six seven eight")], "item_id bigint, text string")
     with pytest.raises(ValueError, match="target_recall"):
