@@ -263,6 +263,58 @@ def test_rake_meets_marginals(spark):
             assert abs(sum(r.weight for r in got if r[dim] == key) - v / sum(p.values())) < 1e-6
 
 
+def sparse_cells(rng):
+    """Sources mostly in one language each: raking takes far more than 20 rounds."""
+    cells = {}
+    for s in range(60):
+        for l in {s % 8, (s + 1) % 8 if s % 5 == 0 else s % 8}:
+            cells[f"s{s}", f"l{l}", "x"] = int(10 ** rng.uniform(1, 5 if l == s % 8 else 3))
+    return cells
+
+
+def marginals(got, k):
+    out = {}
+    for r in got:
+        out[r[k]] = out.get(r[k], 0) + r.weight
+    return out
+
+
+def test_rake_goes_on_until_sparse_marginals_are_met(spark):
+    cells = sparse_cells(random.Random(3))
+    df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens bigint")
+    # targets that some weights meet: the marginals of other weights on the same cells
+    rng = random.Random(4)
+    other = {c: n * 4 ** rng.uniform(-1, 1) for c, n in cells.items()}
+    targets, want = {}, {}
+    for k, dim in enumerate(("source", "lang")):
+        want[dim] = {}
+        for c, v in other.items():
+            want[dim][c[k]] = want[dim].get(c[k], 0) + v / sum(other.values())
+        targets[dim] = spark.createDataFrame(list(want[dim].items()), f"{dim} string, weight double")
+    got = rake(df, POWERS, rounds=5, targets=targets, strict=True).collect()
+    for k, dim in enumerate(("source", "lang")):
+        have = marginals(got, k)
+        assert max(abs(have[v] / p - 1) for v, p in want[dim].items()) <= 1e-4
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    df = spark.createDataFrame([("a", "en", "x", 900), ("b", "de", "x", 100)], "source string, lang string, topic string, tokens bigint")
+    with pytest.warns(UserWarning, match="targets not met"):
+        rake(df, POWERS, rounds=5)
+    with pytest.raises(ValueError, match="targets not met"):
+        rake(df, POWERS, rounds=5, strict=True)
+
+
+def test_mix_takes_target_tables(spark):
+    rows = [(i, "w " * 50, "en", "ab"[i % 4 == 0]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    target = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("gone", 4.0)], "source string, weight double")
+    with pytest.warns(UserWarning, match="0.5000 of the target weight of source"):
+        got = mix(df, fraction=0.4, rounds=5, targets={"source": target}).collect()
+    n = {s: sum(r.n_copies for r in got if r.source == s) for s in "ab"}
+    assert abs(n["b"] / n["a"] - 3) < 0.4
+
+
 def test_mix_expectation(spark):
     rng = random.Random(11)
     rows = [(i, " ".join(prose(rng, rng.randrange(1, 300))), rng.choice(["en", "de"]), rng.choice("abc")) for i in range(3000)]
