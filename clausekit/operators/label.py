@@ -143,6 +143,24 @@ def one_per_key(todo: DataFrame, key: str = "enriched_context") -> DataFrame:
     return rows.join(first, ["_k", "_h"], "left_semi").dropDuplicates(["_k"]).select(*todo.columns)
 
 
+def unlabelled(todo: DataFrame, done: DataFrame, key: str = "enriched_context") -> DataFrame:
+    """One row for every key, null too, that ``done`` does not hold."""
+    taken = done.select(content_key(key).alias("_k")).distinct()
+    rows = todo.withColumn("_k", content_key(key)).join(taken, "_k", "left_anti").select(*todo.columns)
+    return one_per_key(rows, key)
+
+
+LABEL_COLUMNS = ["risk_level", "risk_reason", "plain_summary", "parse_status", "attempts"]
+
+
+def with_labels(rows: DataFrame, done: DataFrame, key: str = "enriched_context") -> DataFrame:
+    """Every row of ``rows`` whose key (null too) ``done`` holds, with that key's
+    label: the labelled table has one row a key, this gives back all of them."""
+    one = done.groupBy(content_key(key).alias("_k")).agg(F.min(F.struct(*LABEL_COLUMNS)).alias("_l"))
+    joined = rows.withColumn("_k", content_key(key)).join(one, "_k")
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"_l.{c}").alias(c) for c in LABEL_COLUMNS])
+
+
 Labeller = Callable[[str, str], str]
 
 
@@ -203,9 +221,10 @@ def label_batch(df: DataFrame, make_labeller: Callable[[], Labeller],
 
 
 def label_incremental(todo: DataFrame, done_path: str, make_labeller: Callable[[], Labeller],
-                      key: str = "enriched_context", commits: int = 8, **kw) -> DataFrame:
+                      key: str = "enriched_context", commits: int = 8, every_row: bool = False, **kw) -> DataFrame:
     """Label the keys that ``done_path`` does not hold yet, one row each, and
-    return the whole labelled table read back from storage.
+    return the whole labelled table read back from storage, or with ``every_row``
+    every row of ``todo`` with the label of its key.
 
     The work is cut into ``commits`` slices by key digest, and each slice is
     appended when it is done: a failure loses the labels of one slice at most,
@@ -215,6 +234,7 @@ def label_incremental(todo: DataFrame, done_path: str, make_labeller: Callable[[
     schema = label_batch(todo.limit(0), make_labeller, **kw).schema
     for k in range(commits):
         part = todo.where(F.pmod(F.conv(F.substring(content_key(key), 1, 8), 16, 10).cast("bigint"), F.lit(commits)) == k)
-        part = one_per_key(incremental_todo(part, read_or_empty(spark, done_path, schema), key), key)
+        part = unlabelled(part, read_or_empty(spark, done_path, schema), key)
         label_batch(part, make_labeller, **kw).write.mode("append").parquet(done_path)
-    return spark.read.schema(schema).parquet(done_path)
+    done = spark.read.schema(schema).parquet(done_path)
+    return with_labels(todo, done, key) if every_row else done

@@ -472,7 +472,7 @@ def q_stream_label_sampled(spark, d):
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(f"{base}/done").select(
+    return label.with_labels(spark.read.parquet(f"{base}/todo"), spark.read.parquet(f"{base}/done")).select(
         "ord", "risk_level", "risk_reason", "plain_summary", "parse_status", "attempts")
 
 

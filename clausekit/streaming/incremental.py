@@ -86,7 +86,8 @@ def _committed(spark: SparkSession, path: str) -> bool:
 def label_stream(todo: DataFrame, done_path: str, checkpoint: str,
                  make_labeller: Callable[[], label.Labeller], key: str = "enriched_context",
                  available_now: bool = True, **label_kw) -> StreamingQuery:
-    """Start incremental labelling of a streaming ``todo`` DataFrame."""
+    """Start incremental labelling of a streaming ``todo`` DataFrame.  The labelled
+    table has one row a key; ``label.with_labels`` joins it to all rows."""
     spark = todo.sparkSession
 
     def process(batch: DataFrame, batch_id: int) -> None:
@@ -96,7 +97,7 @@ def label_stream(todo: DataFrame, done_path: str, checkpoint: str,
         schema = label.label_batch(batch.limit(0), make_labeller, **label_kw).schema
         done = read_or_empty(spark, done_path, T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]))
         done = done.where(F.col("batch_id") != batch_id)
-        part = label.one_per_key(label.incremental_todo(batch, done, key), key)
+        part = label.unlabelled(batch, done, key)
         label.label_batch(part, make_labeller, **label_kw).write.mode("overwrite").parquet(out)
 
     w = todo.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)

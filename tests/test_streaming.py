@@ -26,6 +26,21 @@ def test_label_stream_resumes_by_key(spark, tmp_path):
     assert {r["parse_status"] for r in out.collect()} == {L.STATUS_OK}
 
 
+def test_repeated_and_null_keys_keep_every_row(spark, tmp_path, monkeypatch):
+    from clausekit.plans import catalog
+    sampled = [(1, "T", "a"), (2, "T", "a"), (3, "U", "a"), (4, "T", None), (5, "T", None), (6, "T", ""), (6, "T", "")]
+    df = spark.createDataFrame(sampled, "ord bigint, clause_type string, enriched_context string")
+    monkeypatch.setattr(catalog.D, "sampled", lambda spark, d: df)
+    want = sorted(map(tuple, catalog.q_label_batch_stub(spark, "").collect()))
+    assert len(want) == 7
+    assert sorted(map(tuple, catalog.q_stream_label_sampled(spark, "").collect())) == want
+    done = str(tmp_path / "done")
+    for _ in range(2):
+        out = L.label_incremental(df, done, catalog.make_stub_labeller, commits=2, every_row=True, pause_s=0.0)
+        assert sorted((r.ord, *r[3:]) for r in out.collect()) == want
+    assert spark.read.parquet(done).count() == 3         # one call a key, null too
+
+
 def test_stream_enrich_equals_batch(spark):
     import __spark_entry__ as E
     from conftest import SF001, rows
