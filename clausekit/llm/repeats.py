@@ -1,4 +1,5 @@
-"""Passages that repeat across documents, by sparse suffix sorting.
+"""Passages that repeat across documents, by hashes of minimiser grams and of whole
+windows; no suffixes are sorted.
 
 Only suffixes at minimiser positions are kept: a position is kept if its k-word
 gram has the smallest hash of all grams of some window of ``min_words`` words
@@ -6,11 +7,10 @@ gram has the smallest hash of all grams of some window of ``min_words`` words
 anywhere keep a suffix at the same place inside them, and about one position in
 twenty is kept.
 
-1. The kept suffixes are sorted by their first k words and neighbours compared:
-   a gram that no other document has cannot start a shared window.
+1. The kept suffixes are grouped by the hash of their first k words: a gram that no other document has cannot start a shared window.
 2. A surviving suffix is extended to both sides: for every window of
-   ``min_words`` words that it is the minimiser of, the words left and right of it
-   are compared (as one hash) with the neighbours in sorted order.
+   ``min_words`` words that it is the minimiser of, one hash of all its words is
+   grouped with those of other documents.
 3. Windows that another document holds too are joined into maximal spans.
 
 Step 2 goes through two passes: the first counts documents per window,
