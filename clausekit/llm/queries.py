@@ -16,6 +16,7 @@ from clausekit.llm.ngram_jaccard import jaccard_components
 from clausekit.llm.quality_rules import quality_rules
 from clausekit.llm.repeats import repeated_passages
 from clausekit.llm.secrets import find_secrets
+from clausekit.llm.winnowing import compare_neighbours
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,3 +98,8 @@ def op7(spark, d):
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
                                   "conv_id bigint, turn bigint, role string, text string")
     return read_back(format_chat(turns.unionByName(extra)))
+
+
+@register("op11_document_fingerprints")
+def op11(spark, d):
+    return compare_neighbours(table(spark, d, "documents"))
