@@ -175,3 +175,23 @@ SELECT * FROM o WHERE n_copies > 0
 
 
 ORACLE["op10_source_mixing"] = _mixing()
+
+
+def _terms(table: str, key: str) -> str:
+    return rf"""SELECT {key}, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM {table} WHERE text IS NOT NULL"""
+
+
+ORACLE["op13_ranked_search"] = f"""
+WITH dt AS MATERIALIZED ({_terms("documents", "doc_id")}),
+q AS (SELECT DISTINCT * FROM ({_terms("benchmark", "item_id")})),
+tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY ALL),
+len AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM len),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM tf, c GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term) JOIN len USING (doc_id), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""

@@ -15,6 +15,7 @@ from clausekit.llm.mixing import mix
 from clausekit.llm.ngram_jaccard import jaccard_components
 from clausekit.llm.quality_rules import quality_rules
 from clausekit.llm.repeats import repeated_passages
+from clausekit.llm.search import ranked_search
 from clausekit.llm.secrets import find_secrets
 from clausekit.llm.winnowing import compare_neighbours
 
@@ -103,3 +104,8 @@ def op7(spark, d):
 @register("op11_document_fingerprints")
 def op11(spark, d):
     return compare_neighbours(table(spark, d, "documents"))
+
+
+@register("op13_ranked_search")
+def op13(spark, d):
+    return ranked_search(table(spark, d, "documents"), table(spark, d, "benchmark"))
