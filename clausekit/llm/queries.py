@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausekit.llm import quality_crf, toxicity
+from clausekit.llm.alignment import align_tokens
 from clausekit.llm.chat import format_chat, read_back
 from clausekit.llm.decontaminate import contaminated
 from clausekit.llm.licenses import find_licenses
@@ -109,3 +110,8 @@ def op11(spark, d):
 @register("op13_ranked_search")
 def op13(spark, d):
     return ranked_search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@register("op12_token_alignment")
+def op12(spark, d):
+    return align_tokens(table(spark, d, "documents"))
