@@ -71,7 +71,8 @@ def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
 
 
 def hashes(entries: Column) -> Column:
-    return F.transform(entries, lambda v: F.shiftright(v, 31))
+    """The upper 32 bits of the hash of every entry."""
+    return F.transform(entries, lambda v: F.shiftright(v, 32).cast("int"))
 
 
 def as_text(entries: Column) -> Column:
