@@ -47,8 +47,8 @@ def q_extract_clauses(spark, d):
 
 @register("clause_ordinals")
 def q_clause_ordinals(spark, d):
-    rows = extract.with_clause_ordinal(D.corpus_rows(spark, d, with_context=False))
-    return rows.select("file_ord", "a_pos", "ord")
+    places = D.corpus_rows(spark, d, with_context=False).select("file_ord", "c_pos", "p_pos", "q_pos", "a_pos")
+    return extract.with_clause_ordinal(places).select("file_ord", "a_pos", "ord")
 
 
 def _scratch(spark, name):
@@ -72,19 +72,19 @@ def q_master_csv_roundtrip(spark, d):
     out = m.select(*[F.col(c).alias(back[c]) for c in _MASTER_FIELDS],
                    F.col("file_ord").alias("Category"))
     path = _scratch(spark, "master-csv")
-    src.write_stage(out, path, fmt="csv", encoding="windows-1252")
-    return src.read_master(spark, path).select(*_MASTER_FIELDS)
+    src.write_stage(out.orderBy("Category"), path, fmt="csv", encoding="windows-1252")
+    return src.read_master(spark, path).select(*_MASTER_FIELDS, "file_ord")
 
 
 @register("corpus_json_roundtrip")
 def q_corpus_json_roundtrip(spark, d):
     """The nested corpus written as JSON lines (one contract per line), read
-    back with ``read_corpus`` and flattened."""
+    back as numbered clause rows."""
     from clausekit.sources import corpus as src
     path = _scratch(spark, "corpus-jsonl")
-    src.write_stage(X.corpus(spark, d).select(F.explode("data").alias("c")).select("c.*"), path, fmt="json")
-    rows = extract.flatten_corpus(src.read_corpus(spark, path, json_lines=True), with_context=False)
-    return rows.drop("file_ord")
+    lines = X.corpus(spark, d).orderBy("file_ord").select(F.explode("data").alias("c")).select("c.*")
+    src.write_stage(lines, path, fmt="json")
+    return src.read_clauses(spark, path, json_lines=True, with_context=False)
 
 
 @register("answerable_filter")
@@ -623,3 +623,6 @@ def q_strip_prompt(spark, d):
 def q_out_of_domain(spark, d):
     r = scoring.out_of_domain(scoring.with_defaults(D.requests(spark, d)))
     return r.select(*_REQ_KEY, F.array_join("out_of_domain", ",").alias("out_of_domain"))
+
+
+from clausekit.plans import file_queries  # noqa: E402,F401  registers its queries

@@ -248,11 +248,14 @@ FROM crows""")
 
 oracle("master_csv_roundtrip", W(B.MASTER) + """
 SELECT filename, document_name_answer, agreement_date_answer, effective_date_answer,
-       expiration_date_answer, renewal_term_answer, notice_period_answer, governing_law_answer
+       expiration_date_answer, renewal_term_answer, notice_period_answer, governing_law_answer,
+       row_number() OVER (ORDER BY file_ord) - 1 AS file_ord
 FROM master""")
 
 oracle("corpus_json_roundtrip", W(CORPUS, CROWS) + """
-SELECT contract_name, clause_type, question, q_id, clause_text, c_pos, p_pos, q_pos, a_pos FROM crows""")
+SELECT contract_name, clause_type, question, q_id, clause_text, c_pos, p_pos, q_pos, a_pos,
+       row_number() OVER (ORDER BY file_ord, a_pos) - 1 AS ord, place AS file_ord
+FROM crows JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents) ON doc_id = file_ord""")
 
 oracle("answerable_filter", W(CORPUS) + """
 SELECT file_ord, 0::INTEGER AS c_pos, 0::INTEGER AS p_pos, 0::INTEGER AS q_pos,
@@ -639,3 +642,5 @@ WHERE len(f) > 0""")
 # stripped-prompt response
 oracle("score_batch_stub", ORACLE["strip_prompt"])
 oracle("stream_label_sampled", ORACLE["label_batch_stub"])
+
+from clausekit.plans import file_oracle  # noqa: E402,F401  adds its SQL

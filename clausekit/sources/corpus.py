@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from clausekit import schemas
+from clausekit.operators import file_order
 
 # pandas' default NA strings; Spark CSV only nulls the empty cell, so these are
 # mapped to null explicitly to read the master file the way the reference did.
@@ -39,32 +40,51 @@ def spread_scan(df: DataFrame, min_files: int | None = None) -> DataFrame:
     return df.repartition(target) if len(df.inputFiles()) < target else df
 
 
-def with_file_order(df: DataFrame, out: str = "file_ord") -> DataFrame:
-    """Add ``out``, the 0-based place of every row in file order: by path, then
-    block, then position inside the block.  The numbers are the same however
-    the input is split or the cluster sized (``operators.ordinal``)."""
-    from clausekit.operators.ordinal import dense_ordinal
-    tagged = df.select("*", F.col("_metadata.file_path").alias("_path"),
-                       F.col("_metadata.file_block_start").alias("_block"),
-                       F.monotonically_increasing_id().alias("_row"))
-    return dense_ordinal(tagged, ["_path", "_block", "_row"], out).drop("_path", "_block", "_row")
+def with_file_order(scan: DataFrame, out: str = "file_ord") -> DataFrame:
+    """Add ``out``, the 0-based place of every row of a file scan in file order: by
+    path, then block, then position inside the block.  The numbers are the same
+    however the input is split or the cluster sized; no row moves
+    (``operators.file_order``)."""
+    at = file_order.place(scan)
+    return file_order.number(at, file_order.block_offsets(at), out).drop(file_order.PLACE)
+
+
+def _scan_corpus(spark: SparkSession, path: str, json_lines: bool, extra=()) -> DataFrame:
+    """The corpus as (data, *extra) rows at their places; ``extra`` are more schema fields."""
+    if json_lines:
+        rows = spark.read.schema(schemas.T.StructType([*schemas.CONTRACT.fields, *extra])).json(path)
+        data = F.array(F.struct(*[F.col(f.name) for f in schemas.CONTRACT.fields]))
+        rows = rows.withColumn("data", data).select("data", *[f.name for f in extra], "_metadata")
+    else:
+        rows = (spark.read.schema(schemas.T.StructType([*schemas.CORPUS.fields, *extra]))
+                .option("multiLine", True).json(path).select("data", *[f.name for f in extra], "_metadata"))
+    return file_order.place(rows).drop("_metadata")
 
 
 def read_corpus(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
-    """Annotated corpus with a declared schema.
+    """Annotated corpus with a declared schema: (data, file_ord).
 
     ``json_lines=False``: each file is one JSON object ``{"data": [...]}``
     (not splittable: one task per file).  ``json_lines=True``: each line is
     one contract object ``{"title":..., "paragraphs": [...]}``; the result is
-    wrapped to the same ``data`` shape so the flattener is shared.  A
-    ``file_ord`` column (``with_file_order``) is added for the implicit-order
-    rules; it is numbered when the reader is called.
+    wrapped to the same ``data`` shape so the flattener is shared.
+    ``file_ord`` is the record's place in file order.  Records that cannot be
+    parsed are empty here; ``sources.rejects`` tells them apart.
     """
-    if json_lines:
-        df = spark.read.schema(schemas.CONTRACT).json(path)
-        rows = with_file_order(df)
-        return rows.select(F.array(F.struct(*[F.col(f.name) for f in schemas.CONTRACT.fields])).alias("data"), "file_ord")
-    return with_file_order(spark.read.schema(schemas.CORPUS).option("multiLine", True).json(path))
+    rows = _scan_corpus(spark, path, json_lines)
+    return file_order.number(rows, file_order.block_offsets(rows), "file_ord").drop(file_order.PLACE)
+
+
+def read_clauses(spark: SparkSession, path: str, json_lines: bool = False, with_context: bool = True) -> DataFrame:
+    """Clause rows of a corpus, one for each answer, with ``file_ord`` (place of the
+    record) and ``ord`` (place of the answer, 0, 1, ... in document order).  Two
+    counts for each block of the files give both; contracts are not moved."""
+    from clausekit.operators.extract import flatten_corpus
+    records = _scan_corpus(spark, path, json_lines)
+    rows = file_order.here(flatten_corpus(records, (file_order.PLACE,), with_context))
+    rows = file_order.number(rows, file_order.block_offsets(rows, file_order.HERE), "ord", file_order.HERE)
+    rows = file_order.number(rows, file_order.block_offsets(records), "file_ord")
+    return rows.drop(file_order.PLACE, file_order.HERE)
 
 
 # charsets Spark 4 accepts without the legacy flag
