@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from clausekit.functions import templates as tpl
 from clausekit.functions import text as tx
+from clausekit.operators import lists
 
 # ---------------------------------------------------------------------------
 # Fixed values (must match the reference)
@@ -46,9 +47,6 @@ DEFAULT_NONE = "None"
 PROVISION_YES = "Yes"
 # ---------------------------------------------------------------------------
 
-# a contract longer than this many ordinals is listed in several chunks
-DEFAULT_CHUNK = 4096
-
 
 def apply_aliases(name: Column, aliases: Mapping[str, str] | None = None) -> Column:
     """Exact whole-value replacement.  A literal map lookup: no join."""
@@ -85,20 +83,27 @@ def dedupe_master(master: DataFrame) -> DataFrame:
             .groupBy("contract_name").agg(first).select("contract_name", "m.*"))
 
 
-def clauses_by_contract(clean: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """Per-contract ordered (ord, clause_type, clause_text) lists.
+def clauses_by_contract(clean: DataFrame, chunk: int = lists.MAX_ITEMS,
+                        max_bytes: int = lists.MAX_BYTES) -> DataFrame:
+    """Per-contract ordered (ord, clause_type, clause_text) lists: (contract_name, chunk,
+    clauses).
 
-    One list per contract, from its first ordinal on; a contract whose ordinals
-    span more than ``chunk`` goes on in chunk 1, 2, ..., so no row holds more
-    than ``chunk`` clauses (ordinals are unique).  Null contract names are
+    One list (chunk 0) for every contract of at most ``chunk`` clauses and ``max_bytes``
+    bytes of text, whatever its ordinals; a larger one goes on in further chunks (``operators.lists``).  Null contract names are
     dropped (as a pandas group-by does)."""
-    known = clean.where(F.col("contract_name").isNotNull())
-    first = known.groupBy("contract_name").agg(F.min("ord").alias("_first"))
-    return (known.join(first, "contract_name")
-            .groupBy("contract_name", F.floor((F.col("ord") - F.col("_first")) / chunk).alias("chunk"))
-            .agg(F.array_sort(F.collect_list(F.struct(
-                F.col("ord"), F.col("clause_type"),
-                F.col("clause_text_cleaned").alias("clause_text")))).alias("clauses")))
+    item = F.struct(F.col("ord"), F.col("clause_type"), F.col("clause_text_cleaned").alias("clause_text"))
+    return lists.ordered_lists(clean, "contract_name", "ord", item,
+                               F.octet_length(F.coalesce("clause_text_cleaned", F.lit(""))), chunk, max_bytes, "clauses")
+
+
+def contract_parties(clean: DataFrame, max_parties: int = lists.MAX_ITEMS, max_bytes: int = lists.MAX_BYTES) -> DataFrame:
+    """(contract_name, chunk, parties): the texts of the parties clauses in order, as
+    lists within the bounds."""
+    rows = clean.where(F.lower("clause_type") == T_PARTIES).select("contract_name", "ord", "clause_text_cleaned")
+    item = F.struct(F.col("ord"), F.col("clause_text_cleaned").alias("text"))
+    out = lists.ordered_lists(rows, "contract_name", "ord", item, F.octet_length(F.coalesce("clause_text_cleaned", F.lit(""))),
+                              max_parties, max_bytes, "parties")
+    return out.withColumn("parties", F.transform("parties", lambda p: p["text"]))
 
 
 def join_master(contracts: DataFrame, master: DataFrame) -> DataFrame:
@@ -126,8 +131,7 @@ def _has_text(t: str) -> Column:
 
 
 def contract_flags(clean: DataFrame, extended: bool = False) -> DataFrame:
-    """Per-contract presence flags: one partial aggregation, no lists (except
-    the ordered parties list of the extended variant).
+    """Per-contract presence flags: one partial aggregation, no lists.
 
     When ``clean`` carries a boolean ``has_text`` column (a materialized
     clean table, see ``plans.enrichment.write_clean``), the provision flags
@@ -140,8 +144,7 @@ def contract_flags(clean: DataFrame, extended: bool = False) -> DataFrame:
         filled = F.when(kind.isin(T_TERMINATION, T_CHANGE, T_CAP, T_MINIMUM),
                         F.coalesce(F.col("clause_text_cleaned"), F.lit("")) != "").otherwise(F.lit(False))
     rows = clean.where(F.col("contract_name").isNotNull()).select(
-        "contract_name", kind.alias("_type"), filled.alias("_filled"),
-        *([F.col("ord"), F.when(kind == T_PARTIES, F.col("clause_text_cleaned")).alias("_party")] if extended else []))
+        "contract_name", kind.alias("_type"), filled.alias("_filled"))
     aggs = [
         _has(T_DOCUMENT_NAME).alias("has_document_name"),
         _has(T_GOVERNING_LAW).alias("has_governing_law"),
@@ -157,8 +160,6 @@ def contract_flags(clean: DataFrame, extended: bool = False) -> DataFrame:
             _has(T_AGREEMENT_DATE).alias("has_agreement_date"),
             _has(T_EFFECTIVE_DATE).alias("has_effective_date"),
             _has(T_EXPIRATION_DATE).alias("has_expiration_date"),
-            F.array_sort(F.collect_list(F.when(
-                F.col("_type") == T_PARTIES, F.struct(F.col("ord"), F.col("_party").alias("text"))))).alias("_parties"),
         ]
     return rows.groupBy("contract_name").agg(*aggs)
 
@@ -172,8 +173,14 @@ def contract_metadata(clean: DataFrame, master: DataFrame, extended: bool = Fals
 
     A present clause type copies the master answer (null stays null and is
     rendered later as ``null_text``); an absent one keeps the default.
-    ``master`` must already be canonical and de-duplicated."""
+    ``master`` must already be canonical and de-duplicated.  The extended row names
+    all parties: their chunks (``contract_parties``) meet in it, since one text shows
+    them all."""
     flags = contract_flags(clean, extended)
+    if extended:
+        parties = contract_parties(clean).groupBy("contract_name").agg(
+            F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "parties"))), lambda c: c["parties"])).alias("_parties"))
+        flags = flags.join(parties, "contract_name", "left")
     j = flags.join(master, "contract_name", "inner")
     cols = [
         "contract_name",
@@ -181,7 +188,7 @@ def contract_metadata(clean: DataFrame, master: DataFrame, extended: bool = Fals
          .otherwise(F.lit(DEFAULT_DOCUMENT_NAME)).alias("document_name"),
     ]
     if extended:
-        cols.append(F.transform(F.col("_parties"), lambda s: s["text"]).alias("parties"))
+        cols.append(F.coalesce("_parties", F.array().cast("array<string>")).alias("parties"))
     cols += [
         F.when(F.col("has_governing_law"), F.col("governing_law_answer"))
          .otherwise(F.lit(DEFAULT_GOVERNING_LAW)).alias("governing_law"),

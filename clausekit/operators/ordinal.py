@@ -22,18 +22,24 @@ from clausekit.session import ensure_checkpoint_dir
 _LOW_BITS = 33
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: later steps see one
+    version of it and do not depend on the executors that made it."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def dense_ordinal(df: DataFrame, order_cols: Sequence[str], out: str = "row_idx") -> DataFrame:
     """Add ``out`` = 0-based rank of each row in ``order_cols`` order (ties broken
     arbitrarily; pass a unique key for a total order).  Rows are never lost or
     numbered twice.  Runs the plan of ``df`` once, when called."""
-    spark = df.sparkSession
     tagged = (df.orderBy(*order_cols)
               .withColumn("_mid", F.monotonically_increasing_id())
               .withColumn("_pid", F.shiftright(F.col("_mid"), _LOW_BITS))
               .withColumn("_pos", F.col("_mid").bitwiseAND((1 << _LOW_BITS) - 1)).drop("_mid"))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ordinal-{uuid.uuid4().hex}"
-    tagged.write.parquet(path)
-    tagged = spark.read.schema(tagged.schema).parquet(path)
+    tagged = staged(tagged, "ordinal")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

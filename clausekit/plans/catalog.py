@@ -234,15 +234,31 @@ def q_training_schedule(spark, d):
 
 # ---- grouping, joins, metadata ------------------------------------------
 
-@register("clauses_by_contract")
-def q_clauses_by_contract(spark, d):
-    g = metadata.clauses_by_contract(E.canonical_clauses(spark, d))
+def _lists(g):
     return g.select("contract_name", F.col("chunk").cast("bigint").alias("chunk"),
                     F.size("clauses").alias("n_clauses"),
                     F.array_join(F.transform("clauses", lambda s: s["clause_type"]), "|").alias("clause_types"),
                     _ints(F.transform("clauses", lambda s: s["ord"])).alias("ords"))
 
 
+@register("clauses_by_contract")
+def q_clauses_by_contract(spark, d):
+    return _lists(metadata.clauses_by_contract(E.canonical_clauses(spark, d)))
+
+
+@register("clauses_by_contract_bounded")
+def q_clauses_by_contract_bounded(spark, d):
+    """The same lists cut at 5 clauses or 8,000 bytes of text."""
+    return _lists(metadata.clauses_by_contract(E.canonical_clauses(spark, d), chunk=5, max_bytes=8000))
+
+
+@register("contract_parties_bounded")
+def q_contract_parties_bounded(spark, d):
+    """Parties of every contract, cut at 2 or 2,000 bytes."""
+    p = metadata.contract_parties(E.canonical_clauses(spark, d), max_parties=2, max_bytes=2000)
+    return p.select("contract_name", "chunk", F.size("parties").alias("n_parties"), F.md5(F.array_join("parties", "; ")).alias("parties_md5"))
+
+
 @register("join_master")
 def q_join_master(spark, d):
     contracts = E.canonical_clauses(spark, d).select("contract_name").distinct()

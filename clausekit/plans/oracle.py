@@ -385,6 +385,33 @@ SELECT contract_name, CAST(0 AS BIGINT) AS chunk, CAST(count(*) AS INTEGER) AS n
        string_agg(CAST(ord AS VARCHAR), ' ' ORDER BY ord) AS ords
 FROM cclean WHERE contract_name IS NOT NULL GROUP BY contract_name""")
 
+
+
+def _chunked(items: int, size: int, rows: str = "cclean") -> str:
+    """Rows with their list: items and bytes before them, each cut at its bound."""
+    return f"""sized AS (
+  SELECT *, strlen(coalesce(clause_text_cleaned, '')) AS bytes FROM {rows} WHERE contract_name IS NOT NULL),
+chunked AS (
+  SELECT *, (row_number() OVER p - 1) // {items} + CAST(sum(bytes) OVER p - bytes AS BIGINT) // {size} AS cut,
+         count(*) OVER (PARTITION BY contract_name) <= {items} AND sum(bytes) OVER (PARTITION BY contract_name) <= {size} AS whole
+  FROM sized WINDOW p AS (PARTITION BY contract_name ORDER BY ord))"""
+
+
+_CHUNK = "CAST(CASE WHEN whole THEN 0 ELSE cut END AS BIGINT)"
+
+oracle("clauses_by_contract_bounded", W(B.CLAUSES, B.CLEAN, B.CCLEAN, _chunked(5, 8000)) + f"""
+SELECT contract_name, {_CHUNK} AS chunk, CAST(count(*) AS INTEGER) AS n_clauses,
+       string_agg(clause_type, '|' ORDER BY ord) AS clause_types,
+       string_agg(CAST(ord AS VARCHAR), ' ' ORDER BY ord) AS ords
+FROM chunked GROUP BY ALL""")
+
+oracle("contract_parties_bounded", W(B.CLAUSES, B.CLEAN, B.CCLEAN,
+                                     "parties AS (SELECT * FROM cclean WHERE lower(clause_type) = 'parties')",
+                                     _chunked(2, 2000, "parties")) + f"""
+SELECT contract_name, {_CHUNK} AS chunk, CAST(count(*) AS INTEGER) AS n_parties,
+       md5(string_agg(clause_text_cleaned, '; ' ORDER BY ord)) AS parties_md5
+FROM chunked GROUP BY ALL""")
+
 oracle("join_master", W(B.CLAUSES, B.CLEAN, B.CCLEAN, B.MASTER, B.MCANON) + """
 SELECT c.contract_name, m.file_ord, m.document_name_answer, m.governing_law_answer
 FROM (SELECT DISTINCT contract_name FROM cclean) c JOIN mcanon m ON c.contract_name = m.contract_name""")

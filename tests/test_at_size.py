@@ -56,12 +56,34 @@ def test_sample_is_the_same_for_small_and_large_caps(spark):
     assert len(small) == 30 and len(large) == 6000 and small < large
 
 
-def test_contract_list_spans_ordinal_boundaries(spark):
-    df = spark.range(4090, 4102).select(F.col("id").alias("ord"), F.lit("C").alias("contract_name"),
-                                        F.lit("t").alias("clause_type"), F.lit("x").alias("clause_text_cleaned"))
-    got = metadata.clauses_by_contract(df).collect()
-    assert [(r.chunk, len(r.clauses)) for r in got] == [(0, 12)]
-    assert sorted((r.chunk, len(r.clauses)) for r in metadata.clauses_by_contract(df, chunk=5).collect()) == [(0, 5), (1, 5), (2, 2)]
+def clause_rows(spark, ords, text="x"):
+    return spark.createDataFrame([(o, "C", "t", text) for o in ords], "ord bigint, contract_name string, clause_type string, clause_text_cleaned string")
+
+
+def test_contract_within_the_bounds_is_one_list(spark):
+    """Whatever its ordinals: 4 clauses 5000 apart, or 12 across a multiple of 4096."""
+    for ords in (range(0, 20_000, 5000), range(4090, 4102)):
+        got = metadata.clauses_by_contract(clause_rows(spark, ords)).collect()
+        assert [(r.chunk, [c.ord for c in r.clauses]) for r in got] == [(0, list(ords))]
+
+
+def test_large_contract_is_cut_by_count_and_bytes(spark):
+    got = metadata.clauses_by_contract(clause_rows(spark, range(0, 1200, 100)), chunk=5)
+    assert sorted((r.chunk, len(r.clauses)) for r in got.collect()) == [(0, 5), (1, 5), (2, 2)]
+    got = metadata.clauses_by_contract(clause_rows(spark, range(10), "x" * 40), max_bytes=100).orderBy("chunk").collect()
+    assert [[c.ord for c in r.clauses] for r in got] == [[0, 1, 2], [3, 4], [5, 6, 7], [8, 9]]
+
+
+def test_hot_contract_is_measured_in_ranges(spark):
+    """One contract with nearly all clauses: no clause is lost, order and bounds hold."""
+    n = 50_000
+    df = spark.range(n).select((F.col("id") * 7919 % 1_000_003).alias("ord"), F.when(F.col("id") % 50 == 0, F.concat(F.lit("c"), F.col("id"))).otherwise(F.lit("hot")).alias("contract_name"),
+                               F.lit("t").alias("clause_type"), F.repeat(F.lit("y"), (F.col("id") % 60).cast("int")).alias("clause_text_cleaned"))
+    got = metadata.clauses_by_contract(df, chunk=1000, max_bytes=20_000).where("contract_name = 'hot'").orderBy("chunk").collect()
+    flat = [c.ord for r in got for c in r.clauses]
+    assert len(flat) == n * 49 // 50 and flat == sorted(flat)
+    assert all(len(r.clauses) <= 1000 and sum(len(c.clause_text) for c in r.clauses[:-1]) < 20_000 for r in got)
+    assert metadata.clauses_by_contract(df).where("contract_name != 'hot'").count() == n // 50
 
 
 def test_file_order_follows_paths_and_lines(spark, tmp_path):
