@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 # executors need no copy of this package: its functions travel with the task
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
