@@ -150,6 +150,11 @@ def unlabelled(todo: DataFrame, done: DataFrame, key: str = "enriched_context")
     return one_per_key(rows, key)
 
 
+def label_fields() -> list[T.StructField]:
+    """The columns that labelling adds."""
+    return [T.StructField(c, T.IntegerType() if c == "attempts" else T.StringType()) for c in LABEL_COLUMNS]
+
+
 LABEL_COLUMNS = ["risk_level", "risk_reason", "plain_summary", "parse_status", "attempts"]
 
 
@@ -179,13 +184,7 @@ def label_batch(df: DataFrame, make_labeller: Callable[[], Labeller],
     spaces the calls of one client.  Output adds ``risk_level, risk_reason,
     plain_summary, parse_status, attempts``."""
     ensure_shipped(df.sparkSession)
-    out_schema = T.StructType(df.schema.fields + [
-        T.StructField("risk_level", T.StringType()),
-        T.StructField("risk_reason", T.StringType()),
-        T.StructField("plain_summary", T.StringType()),
-        T.StructField("parse_status", T.StringType()),
-        T.StructField("attempts", T.IntegerType()),
-    ])
+    out_schema = T.StructType([*df.schema.fields, *label_fields()])
     system = system_prompt
     head, tail = tpl.LABEL_USER_HEAD, tpl.LABEL_USER_TAIL
 
@@ -222,19 +221,6 @@ def label_batch(df: DataFrame, make_labeller: Callable[[], Labeller],
 
 def label_incremental(todo: DataFrame, done_path: str, make_labeller: Callable[[], Labeller],
                       key: str = "enriched_context", commits: int = 8, every_row: bool = False, **kw) -> DataFrame:
-    """Label the keys that ``done_path`` does not hold yet, one row each, and
-    return the whole labelled table read back from storage, or with ``every_row``
-    every row of ``todo`` with the label of its key.
-
-    The work is cut into ``commits`` slices by key digest, and each slice is
-    appended when it is done: a failure loses the labels of one slice at most,
-    and the next call goes on from there."""
-    from clausekit.sources.corpus import read_or_empty
-    spark = todo.sparkSession
-    schema = label_batch(todo.limit(0), make_labeller, **kw).schema
-    for k in range(commits):
-        part = todo.where(F.pmod(F.conv(F.substring(content_key(key), 1, 8), 16, 10).cast("bigint"), F.lit(commits)) == k)
-        part = unlabelled(part, read_or_empty(spark, done_path, schema), key)
-        label_batch(part, make_labeller, **kw).write.mode("append").parquet(done_path)
-    done = spark.read.schema(schema).parquet(done_path)
-    return with_labels(todo, done, key) if every_row else done
+    """``operators.label_runs.label_incremental``."""
+    from clausekit.operators import label_runs
+    return label_runs.label_incremental(todo, done_path, make_labeller, key, commits, every_row, **kw)

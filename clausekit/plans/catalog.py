@@ -475,6 +475,36 @@ def q_label_batch_stub(spark, d):
         "ord", "risk_level", "risk_reason", "plain_summary", "parse_status", "attempts")
 
 
+def _label_sampled(spark, d):
+    rows = D.sampled(spark, d).select("ord", "clause_type", "enriched_context")
+    return rows, ("ord", "risk_level", "risk_reason", "plain_summary", "parse_status", "attempts")
+
+
+@register("label_incremental_stub")
+def q_label_incremental_stub(spark, d):
+    """Labelling in committed slices, in two calls: the second adds the rows that the
+    first did not have."""
+    rows, cols = _label_sampled(spark, d)
+    done = _scratch(spark, "label-runs")
+    label.label_incremental(rows.where(F.col("ord") % 3 != 0), done, make_stub_labeller, commits=4, pause_s=0.0)
+    return label.label_incremental(rows, done, make_stub_labeller, commits=4, every_row=True, pause_s=0.0).select(*cols)
+
+
+@register("label_within_budget_stub")
+def q_label_within_budget_stub(spark, d):
+    """Labelling under a limit of calls a minute and a day, day after day until no row
+    is left."""
+    from clausekit.operators import label_runs
+    rows, cols = _label_sampled(spark, d)
+    done, day, state = _scratch(spark, "label-budget"), 0, ""
+    total = rows.count()
+    while state != "done":
+        day += 1
+        out, state = label_runs.label_within_budget(rows, done, make_stub_labeller, calls_per_minute=60_000_000,
+                                                    calls_per_day=total // 2 + 1, slice_rows=total + 1, today=lambda: f"day {day}")
+    return label.with_labels(rows, out).select(*cols)
+
+
 @register("stream_label_sampled")
 def q_stream_label_sampled(spark, d):
     """The sampled rows arrive as files; ``label_stream`` labels them

@@ -669,5 +669,17 @@ WHERE len(f) > 0""")
 # stripped-prompt response
 oracle("score_batch_stub", ORACLE["strip_prompt"])
 oracle("stream_label_sampled", ORACLE["label_batch_stub"])
+oracle("label_incremental_stub", ORACLE["label_batch_stub"])
+
+# a client for each call: the prompts whose first reply is broken never get another
+oracle("label_within_budget_stub", W(*SAMPLE_BLOCKS) + f"""
+SELECT ord, CASE WHEN h % 5 = 0 THEN 'MEDIUM' ELSE (['HIGH', 'MEDIUM', 'LOW'])[h % 3 + 1] END AS risk_level,
+       CASE WHEN h % 5 = 0 THEN 'Could not generate label after retries'
+            ELSE 'Stub reason ' || CAST(h % 97 AS VARCHAR) || '.' END AS risk_reason,
+       CASE WHEN h % 5 = 0 THEN 'Could not generate summary after retries'
+            ELSE 'Stub summary ' || CAST(h % 89 AS VARCHAR) || '.' END AS plain_summary,
+       CASE WHEN h % 5 = 0 THEN 'json_error' ELSE 'ok' END AS parse_status,
+       CAST(CASE WHEN h % 5 = 0 THEN 3 ELSE 1 END AS INTEGER) AS attempts
+FROM (SELECT ord, {_H} AS h FROM sampled)""")
 
 from clausekit.plans import file_oracle  # noqa: E402,F401  adds its SQL

@@ -160,3 +160,20 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a Parquet folder was written to its end."""
+    fs, p = _folder(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right under ``path``; none if it is absent."""
+    fs, p = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []

@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 from clausekit.functions import templates as tpl
 from clausekit.operators import extract, label, metadata
 from clausekit.session import ensure_checkpoint_dir
-from clausekit.sources.corpus import read_or_empty
+from clausekit.sources.corpus import committed, read_or_empty
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -77,12 +77,6 @@ def retry_waiting(spark: SparkSession, meta_path: str, out_path: str, indent: st
     return _enriched(waiting, spark.read.parquet(meta_path), indent)
 
 
-def _committed(spark: SparkSession, path: str) -> bool:
-    """Whether a Parquet folder was written to its end."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def label_stream(todo: DataFrame, done_path: str, checkpoint: str,
                  make_labeller: Callable[[], label.Labeller], key: str = "enriched_context",
                  available_now: bool = True, **label_kw) -> StreamingQuery:
@@ -92,7 +86,7 @@ def label_stream(todo: DataFrame, done_path: str, checkpoint: str,
 
     def process(batch: DataFrame, batch_id: int) -> None:
         out = f"{done_path.rstrip('/')}/batch_id={batch_id}"
-        if _committed(spark, out):
+        if committed(spark, out):
             return
         schema = label.label_batch(batch.limit(0), make_labeller, **label_kw).schema
         done = read_or_empty(spark, done_path, T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())]))
