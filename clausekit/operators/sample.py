@@ -19,6 +19,10 @@ SEED = 42
 TEST_SIZE = 0.2       # validation share of the stratified split
 # ---------------------------------------------------------------------------
 
+# strata are cut in one pass up to this cap (the group limit's own bound), in so many parts
+ONE_PASS_CAP = 1000
+SAMPLE_PARTS = 64
+
 # the split ranks rows inside (stratum, hash bucket); 16 bits of the md5
 SPLIT_BUCKET_HEX = 4
 
@@ -41,13 +45,33 @@ def stratified_sample(df: DataFrame, strata: str = "clause_type", key: str = "or
     """Up to ``cap`` rows per stratum without replacement, deterministic.
 
     Rows with a null stratum are dropped (as a pandas group-by).  The rows taken
-    are the first of their stratum by seeded hash and key; the cut is found from
-    keys alone (``_mark_first``), so a stratum holding a third of the data costs
-    no task more than a small one, whatever the cap."""
+    are the first of their stratum by seeded hash and key.  Up to ``ONE_PASS_CAP`` rows
+    a stratum the input is read once (``_first_rows``); for a larger cap the cut is
+    found from keys alone (``_mark_first``).  Either way a stratum holding a third of
+    the data costs no task more than a small one."""
     df = df.where(F.col(strata).isNotNull())
-    counts = df.groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
+    if cap <= ONE_PASS_CAP:
+        return _first_rows(df, strata, key, cap, seed)
+    keys = _keys(df, strata, key, seed)
+    counts = keys.groupBy(F.col("_s").alias(strata)).agg(F.count(F.lit(1)).alias("n"))
     quotas = counts.select(strata, F.least(F.col("n"), F.lit(cap)).cast("bigint").alias("_q"))
-    return _mark_first(df, strata, key, quotas, seed).where("_first").drop("_first")
+    return _mark_first(df, strata, key, quotas, seed, keys).where("_first").drop("_first")
+
+
+def _first_rows(df: DataFrame, strata: str, key: str, cap: int, seed: int) -> DataFrame:
+    """The first ``cap`` rows of every stratum in (seeded hash, key) order, in one pass.
+
+    Smallest-k of parts merge into the smallest k of all: every task keeps ``cap`` rows
+    of a stratum at most before anything is sent (Spark's group limit below the
+    window), 64 parts of a stratum are cut in parallel, and what is left of them,
+    64 * ``cap`` rows a stratum at most, is cut again."""
+    h = sort_key(key, seed)
+    part = F.conv(F.substring(h, -2, 2), 16, 10).cast("int") % SAMPLE_PARTS
+    rows = df.withColumns({"_h": h, "_part": part})
+    for by in (("_part",), ()):
+        place = Window.partitionBy(strata, *by).orderBy("_h", key)
+        rows = rows.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= cap)
+    return rows.select(*df.columns)
 
 
 def remaining(base: DataFrame, sampled: DataFrame, key: str = "enriched_context",
@@ -69,9 +93,10 @@ def remaining(base: DataFrame, sampled: DataFrame, key: str = "enriched_context"
 
 
 def _exactly_once(u: DataFrame, key: Column) -> DataFrame:
-    u = u.withColumn("_k", key)
-    once = u.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("_k")
-    return u.join(once, "_k", "left_semi")
+    """Rows whose key occurs once.  One pass: a key's rows are counted and one of them is
+    kept, map-side first, so that a key with a third of all rows is no hot group."""
+    one = u.groupBy(key.alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*u.columns)).alias("_r"))
+    return one.where("_n = 1").select("_r.*")
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -129,25 +154,34 @@ def stratified_split(df: DataFrame, strata: str = "clause_type", key: str = "ord
     ``split_quotas``), rows ranked by the seeded hash.
 
     No stratum is ever ranked in one task (``_mark_first``).  The input is read
-    four times (counts, histogram, edge keys, rows), the rows once.
-    ``materialize=True`` first writes it to the reliable checkpoint folder
-    (``spark.checkpoint.dir``), so an expensive or non-deterministic
-    upstream plan is computed once and every pass sees the same rows."""
+    twice: for its keys, which are written once and give counts, histogram and edge
+    keys, and for the rows.  ``materialize=True`` first writes the input itself to
+    the reliable checkpoint folder (``spark.checkpoint.dir``), so an expensive or
+    non-deterministic upstream plan is computed once and both see the same rows."""
     if materialize:
         from clausekit.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
-    counts = df.groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
+    keys = _keys(df, strata, key, seed)
+    counts = keys.groupBy(F.col("_s").alias(strata)).agg(F.count(F.lit(1)).alias("n"))
     quotas = split_quotas(counts, strata, test_size).select(strata, F.col("n_train").alias("_q"))
-    marked = _mark_first(df, strata, key, quotas, seed)
+    marked = _mark_first(df, strata, key, quotas, seed, keys)
     return marked.withColumn("split", F.when(F.col("_first"), F.lit("train")).otherwise(F.lit("val"))) \
         .drop("_first")
 
 
-def _mark_first(df: DataFrame, strata: str, key: str, quotas: DataFrame, seed: int) -> DataFrame:
+def _keys(df: DataFrame, strata: str, key: str, seed: int) -> DataFrame:
+    """(_s, _h, _key, _b): stratum, hash, key and hash bucket of every row, written once."""
+    from clausekit.operators.ordinal import staged
+    h = sort_key(key, seed)
+    return staged(df.select(F.col(strata).alias("_s"), h.alias("_h"), F.col(key).alias("_key"),
+                            F.conv(F.substring(h, 1, SPLIT_BUCKET_HEX), 16, 10).cast("int").alias("_b")), "keys")
+
+
+def _mark_first(df: DataFrame, strata: str, key: str, quotas: DataFrame, seed: int, keys: DataFrame) -> DataFrame:
     """Add ``_first``: whether the row is among the first ``_q`` rows of its
     stratum in (seeded hash, key) order, for per-stratum quotas ``quotas``
-    (stratum, _q).  ``key`` should be unique: rows that share hash and key fall
+    (stratum, _q); ``keys`` are those of ``df`` (``_keys``).  ``key`` should be unique: rows that share hash and key fall
     on one side together.  A null stratum is a stratum like any other.
 
     Three narrow passes find each stratum's cut: keys are bucketed by the first
@@ -156,8 +190,6 @@ def _mark_first(df: DataFrame, strata: str, key: str, quotas: DataFrame, seed: i
     (hash, key) that is in.  The rows themselves are then compared with the cut
     in one pass; the cuts, one row per stratum, are joined in."""
     h = sort_key(key, seed)
-    keys = df.select(F.col(strata).alias("_s"), h.alias("_h"), F.col(key).alias("_key"),
-                     F.conv(F.substring(h, 1, SPLIT_BUCKET_HEX), 16, 10).cast("int").alias("_b"))
     hist = keys.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     cw = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(cw), F.lit(0)))
