@@ -39,7 +39,9 @@ BUCKET_BITS, DIM = 18, 8
 SIZES = (3, 4, 5)
 HALF = 8                 # a window is two halves of this many words, repeated ones counted once
 FLOOR = 2 * HALF * 12    # n-grams that a window counts as at least
-EPOCHS, EXPLORE, BATCH, RATE = 12, 8, 2048, 0.15
+ODDS = 1.0               # weight of all toxic texts against all clean ones in the scale
+SUPPORT = 3              # toxic texts that an n-gram must occur in
+EPOCHS, EXPLORE, BATCH, RATE = 12, 8, 2048, 0.05
 POSITIVE, NEGATIVE = 4, 12  # windows of a text that train in an epoch
 _P = 0x9E3779B97F4A7C15 | 1
 
@@ -153,6 +155,7 @@ class SubwordSoftmax:
         size = np.array([len(g) for g in lists])
         flat, begin = np.concatenate(lists).astype(np.int32), np.cumsum(size) - size
         del words, hashes, vocab, lists, grams
+        known = self._shared_grams(ids, first, y == 1, flat, begin, size)
         rng = np.random.default_rng(2)
         fold = rng.permutation(len(y)) % 5 == 0            # left out for the scale
         emb = np.zeros((1 << BUCKET_BITS, DIM), np.float32)   # an n-gram never seen says nothing
@@ -200,6 +203,7 @@ class SubwordSoftmax:
                 prob *= weight[y[text[p]], None] / len(p)
                 dx = (prob @ soft.T) / n
                 ge = np.stack([np.bincount(g, dx[owner, k], minlength=len(emb)) for k in range(DIM)], 1)
+                ge[~known] = 0
                 step += 1
                 for param, grad, (m, s) in zip((emb, soft, bias), (ge, x.T @ prob, prob.sum(0)), state):
                     m *= .9
@@ -219,14 +223,40 @@ class SubwordSoftmax:
         self._calibrate(top[held] + self.bias, y[held])
         return self
 
+    @staticmethod
+    def _shared_grams(ids, first, toxic, flat, begin, size) -> np.ndarray:
+        """Whether an n-gram occurs in SUPPORT toxic texts at least: what marks one text
+        alone is no pattern, and stays without a say."""
+        text = np.repeat(np.arange(len(toxic)), np.diff(first))
+        pair = np.unique(text[toxic[text]] * len(size) + ids[toxic[text]])
+        word, n = pair % len(size), size[pair % len(size)]
+        gram = flat[np.repeat(begin[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        both = np.unique(np.repeat(pair // len(size), n) << BUCKET_BITS | gram)
+        least = min(SUPPORT, max(1, int(toxic.sum()) // 20))
+        return np.bincount(both & ((1 << BUCKET_BITS) - 1), minlength=1 << BUCKET_BITS) >= least
+
     def _calibrate(self, x: np.ndarray, y: np.ndarray):
-        """Logistic scale by Newton steps with a small ridge."""
-        w, ridge = np.array([1.0, 0.0]), np.diag([1e-2, 1e-2])
-        f = np.stack([x, np.ones_like(x)], 1)
-        for _ in range(50):
+        """Logistic scale by Newton steps with a small ridge; a step that does not lower
+        the loss is halved (far margins make the curvature vanish).  Toxic texts count
+        as much as ODDS for each clean one: they are rare, and missing one costs more."""
+        f, ridge, w = np.stack([x, np.ones_like(x)], 1), 1e-2, np.array([1.0, 0.0])
+        counts = np.bincount(y, minlength=2)
+        each = np.where(y == 1, ODDS * counts[0] / max(1, counts[1]), 1.0)
+
+        def loss(w):
+            z = f @ w
+            return float(np.sum(each * (np.logaddexp(0, z) - y * z)) + ridge / 2 * np.sum((w - [1, 0]) ** 2))
+
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
-            grad = f.T @ (p - y) + ridge @ (w - [1, 0])
-            w = w - np.clip(np.linalg.solve(f.T @ (f * (p * (1 - p))[:, None]) + ridge, grad), -2, 2)
+            grad = f.T @ (each * (p - y)) + ridge * (w - [1, 0])
+            step = np.linalg.solve(f.T @ (f * (each * p * (1 - p))[:, None]) + ridge * np.eye(2), grad)
+            size, now = 1.0, loss(w)
+            while size > 1e-6 and loss(w - size * step) > now:
+                size /= 2
+            w = w - size * step
+            if size * np.abs(step).max() < 1e-6:
+                break
         self.scale, self.shift = float(max(w[0], 1e-3)), float(w[1])
 
     @staticmethod

@@ -35,3 +35,25 @@ def test_every_row_is_scored(spark):
     for name in ("op2_toxicity", "op6_quality_classifier"):
         out = QUERIES[name](spark, SF01)
         assert out.count() == n and out.where(F.col("score").isNull()).count() == 0
+
+
+def test_toxic_texts_are_found_and_clean_ones_left_alone(spark):
+    """Held-out recall and precision, not accuracy alone (never saying toxic has 0.89)."""
+    labels = spark.read.parquet(f"{SF1}/labels.parquet")
+    got = [r for r in QUERIES["op2_toxicity"](spark, SF1).join(labels, "doc_id").collect() if r.held_out]
+    hit = sum(r.predicted == r.toxic == 1 for r in got)
+    assert hit >= 0.87 * sum(r.toxic for r in got)
+    assert hit >= 0.92 * sum(r.predicted for r in got)
+
+
+def test_scale_settles_on_far_margins():
+    """Margins so far apart that the curvature vanishes: the scale still goes to the loss's foot."""
+    import numpy as np
+    from clausekit.llm.toxicity import SubwordSoftmax
+    rng = np.random.default_rng(1)
+    y = (rng.random(600) < 0.1).astype(int)
+    x = np.where(y == 1, 9.0, 2.0) + rng.normal(0, 2.5, 600)
+    m = SubwordSoftmax()
+    m._calibrate(x, y)
+    p = 1 / (1 + np.exp(-(m.scale * x + m.shift)))
+    assert abs(m.shift) > 1 and 0.95 > ((p > 0.5) == y).mean() - 0.03 > 0.85
