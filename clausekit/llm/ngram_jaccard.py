@@ -7,9 +7,9 @@ shingles in the prefixes under the first order, with l a twentieth of the set, s
 that a common passage alone makes no candidate; they must also share a prefix
 shingle under each further order, and are then verified on the whole sets.
 
-The orders put frequent shingles last.  Frequency comes from a mergeable
-sketch of the whole input (slots that are heavy within a task, summed over
-tasks); any order is valid, so the sketch affects cost only, never results.
+The orders put frequent shingles last.  Frequency is that in a fixed share of the
+distinct sets (chosen by digest) over the whole input, however many tasks it is
+spread over; any order is valid, so it affects cost only, never results.
 
 Groups of copies are never expanded into pairs:
 
@@ -46,7 +46,9 @@ from clausekit.llm.stage import bitmap, drop, in_bitmap, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLOT_BITS = 21          # frequency sketch: 2**21 slots per task
+SAMPLE = 32             # one set in so many counts for the frequencies
+SLOT_BITS = 22          # table of frequency levels: 4 MB
+FREQUENT = 1 << 18      # shingles that it holds at most, so that few others share their slots
 ID_BITS = 23            # bitmap of candidate documents: 1 MB
 SEEDS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
@@ -90,30 +92,35 @@ def _digests(h: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profile(n: int):
-    """Rows (kind 0: id, size, digests) and heavy slots (kind 1: slot, count)."""
+    """Rows (kind 0: id, size, digests) of all texts, and (kind 1: shingle, digest) of the
+    sets whose shingles are counted."""
     def run(batches):
-        slots, total = np.zeros(1 << SLOT_BITS, np.int64), 0
+        names = ["kind", "id", "n", "d1", "d2"]
         for b in batches:
             for lo, hi, h, cut in _sets(b.column(1), n):
                 d1, d2 = _digests(h, cut)
                 m = hi - lo
-                slots += np.bincount((h >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-                total += len(h)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(m, np.int32)), b.column(0).slice(lo, m), pa.array(np.diff(cut).astype(np.int64)),
-                     pa.array(d1), pa.array(d2)], ["kind", "id", "n", "d1", "d2"])
-        heavy = np.flatnonzero(slots >= 8 + 4 * total / len(slots))
-        z = pa.array(np.zeros(len(heavy), np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(heavy), np.int32)), pa.array(heavy.astype(np.int64)),
-             pa.array(slots[heavy]), z, z], ["kind", "id", "n", "d1", "d2"])
+                     pa.array(d1), pa.array(d2)], names)
+                of = np.repeat(d1, np.diff(cut))
+                counts = (of >> np.int64(40)) % SAMPLE == 0
+                k = int(counts.sum())
+                if k:
+                    z = np.zeros(k, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(h[counts].view(np.int64)),
+                                                      pa.array(z), pa.array(of[counts]), pa.array(z)], names)
     return run
 
 
+def _level(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Frequency level of shingles (0: not frequent)."""
+    return levels[(h & np.uint64(len(levels) - 1)).astype(np.int64)]
+
+
 def _ranked(h: np.ndarray, cut: np.ndarray, levels: np.ndarray, seed: int) -> np.ndarray:
     """Index that sorts every set by (frequency level, seeded hash)."""
-    level = levels[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
-    key = (level << np.uint64(58)) | ((W.mix64(h ^ np.uint64(seed)) if seed else h) >> np.uint64(6))
+    key = (_level(h, levels).astype(np.uint64) << np.uint64(58)) | ((W.mix64(h ^ np.uint64(seed)) if seed else h) >> np.uint64(6))
     out = np.empty(len(h), np.int64)
     for a, b in zip(cut[:-1], cut[1:]):
         out[a:b] = a + np.argsort(key[a:b], kind="stable")
@@ -139,7 +146,7 @@ def _prefixes(n: int, percent: int, levels: np.ndarray):
                 d1, _ = _digests(h, cut)
                 owner, place = _prefix_index(cut, percent, SHARE)
                 tok = h[_ranked(h, cut, levels, SEEDS[0])][cut[owner] + place]
-                level = levels[(tok >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                level = _level(tok, levels)
                 d = d1[owner]
                 part = np.where(level > 0, 1 + (d & 31), 0).astype(np.uint64)
                 at = ((place << PLACE_BITS) // np.diff(cut)[owner]).astype(np.uint64)
@@ -198,7 +205,7 @@ def _light(levels: np.ndarray):
             toks = b.column(1)
             h = toks.flatten().to_numpy(zero_copy_only=False)
             own = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(toks.offsets.to_numpy()))
-            ok = levels[(h.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] == 0
+            ok = _level(h.view(np.uint64), levels) == 0
             yield pa.RecordBatch.from_arrays([pa.array(h[ok]), pa.array(own[ok])], ["key", "d1"])
     return run
 
@@ -220,7 +227,7 @@ def _full(n: int, percent: int, levels: np.ndarray, ids: np.ndarray):
                     for s in SEEDS[1:]]
                 toks = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(h.view(np.int64)))
                 heavy = np.zeros(len(h) + 1, np.int64)
-                np.cumsum(levels[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] > 0, out=heavy[1:])
+                np.cumsum(_level(h, levels) > 0, out=heavy[1:])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array(d1), pa.array(np.diff(cut).astype(np.int64)),
                      pa.array(heavy[cut[1:]] - heavy[cut[:-1]]), *sig, toks], ["id", "k", "n", "heavy", "p2", "p3", "toks"])
@@ -228,11 +235,22 @@ def _full(n: int, percent: int, levels: np.ndarray, ids: np.ndarray):
 
 
 def _levels(prof: DataFrame) -> np.ndarray:
-    """log2 frequency of the heavy slots (0: not heavy); at most 2**SLOT_BITS rows."""
-    rows = (prof.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n"))
-            .select("id", F.floor(F.log2("n")).cast("int").alias("level")).toArrow())
+    """Table of log2 frequencies by the low bits of a shingle; 0: found in one counted set
+    at most.  The most frequent FREQUENT shingles, by whole levels, so the driver
+    gets that many rows at most."""
+    seen = prof.where("kind = 1").select("id", "d1").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    seen = staged(seen.where("n > 1").select("id", F.least(F.floor(F.log2("n")), F.lit(62)).cast("int").alias("level")), "frequent")
+    least, total = 63, 0
+    for r in sorted(seen.groupBy("level").count().collect(), reverse=True):
+        total += r["count"]
+        if total > FREQUENT:
+            break
+        least = r.level
+    rows = (seen.where(F.col("level") >= least).groupBy(F.col("id").bitwiseAND((1 << SLOT_BITS) - 1).alias("slot"))
+            .agg(F.max("level").alias("level")).toArrow())
+    drop(seen)
     out = np.zeros(1 << SLOT_BITS, np.uint8)
-    out[rows["id"].to_numpy()] = np.clip(rows["level"].to_numpy(), 1, 63)
+    out[rows["slot"].to_numpy()] = rows["level"].to_numpy()
     return out
 
 
