@@ -75,13 +75,29 @@ def pad_batches(df: DataFrame, batch_size: int = 1, order_cols=("ord",), pad_id:
                 multiple: int = tk.PAD_MULTIPLE) -> DataFrame:
     """Dynamic right padding per batch: ids padded with ``pad_id``, labels
     with ``-100``, attention with 0, to the batch's longest row rounded up to
-    ``multiple``.  Batches are consecutive rows in ``order_cols`` order,
-    numbered (``batch_id``) without a single-partition window."""
-    b = dense_ordinal(df, list(order_cols), "_idx").withColumn(
-        "batch_id", F.floor(F.col("_idx") / batch_size)).drop("_idx")
-    w = Window.partitionBy("batch_id")   # at most batch_size rows each
-    b = b.withColumn("_len", tk.padded_length(F.max(F.size("input_ids")).over(w), multiple))
-    return b.withColumns({
+    ``multiple``.  Batches are consecutive rows in ``order_cols`` order, numbered
+    ``batch_id``; rows that share all of them stand in any order.
+
+    Only (order, length) is put in order (``dense_ordinal``); token arrays pass one
+    exchange, by hash of the order columns, and are padded where they meet their
+    batch."""
+    order = list(order_cols)
+    rows = df.withColumn("_size", F.coalesce(F.size("input_ids"), F.lit(0)))
+    places = dense_ordinal(rows.select(*order, "_size"), order, "_idx")
+    whole = Window.partitionBy("batch_id")   # at most batch_size rows each
+    places = places.withColumn("batch_id", F.floor(F.col("_idx") / batch_size))
+    places = places.withColumn("_len", tk.padded_length(F.max("_size").over(whole), multiple))
+    on = [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(order)]
+    cells = [F.col(c).alias(f"_o{i}") for i, c in enumerate(order)]
+    if places.groupBy(*order).count().where("count > 1").isEmpty():
+        b = rows.join(places.select(*cells, "batch_id", "_len"), on, "inner")
+    else:   # rows that share their place are told apart by length, then by number: one exchange more
+        same = Window.partitionBy(*order, "_size")
+        places = places.withColumn("_onth", F.row_number().over(same.orderBy("_idx")))
+        rows = rows.withColumn("_nth", F.row_number().over(same.orderBy(F.lit(1))))
+        on += [F.col("_size") == F.col("_osize"), F.col("_nth") == F.col("_onth")]
+        b = rows.join(places.select(*cells, F.col("_size").alias("_osize"), "_onth", "batch_id", "_len"), on, "inner")
+    return b.select(*[F.col(f"`{c}`") for c in df.columns], "batch_id", "_len").withColumns({
         "input_ids": tk.pad_right("input_ids", F.col("_len"), pad_id),
         "attention_mask": tk.pad_right("attention_mask", F.col("_len"), 0),
         "labels": tk.pad_right("labels", F.col("_len"), tk.IGNORE_INDEX),

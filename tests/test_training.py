@@ -91,3 +91,25 @@ def test_dense_ordinal_reliable_checkpoint(spark):
     df = spark.range(0, 3000, 7).repartition(5).withColumnRenamed("id", "k")
     got = sorted((r["row_idx"], r["k"]) for r in dense_ordinal(df, ["k"]).collect())
     assert got == [(i, k) for i, k in enumerate(range(0, 3000, 7))]
+
+
+def test_pad_batches_keeps_all_rows_and_moves_tokens_once(spark):
+    from pyspark.sql import functions as F
+    n = 200_000
+    ids = F.array_repeat(F.col("id").cast("int"), (F.col("id") % 11).cast("int"))
+    df = spark.range(n).select((F.lit(n) - F.col("id")).alias("ord"), ids.alias("input_ids"),
+                               F.transform(ids, lambda x: F.lit(1)).alias("attention_mask"), ids.alias("labels"))
+    out = T.pad_batches(df.repartition(5), batch_size=16)
+    assert "rangepartitioning" not in out._jdf.queryExecution().toString()
+    got = out.groupBy("batch_id").agg(F.count("*").alias("n"), F.min("ord").alias("lo"), F.max("ord").alias("hi"),
+                                      F.max(F.size("input_ids")).alias("a"), F.min(F.size("labels")).alias("b")).collect()
+    assert sum(r.n for r in got) == n and {r.n for r in got} == {16}
+    assert all(r.hi - r.lo == 15 and r.a == r.b and r.a % 8 == 0 for r in got)
+
+
+def test_pad_batches_with_equal_and_null_places(spark):
+    df = spark.createDataFrame([(1, [1]), (1, [2]), (None, [3, 3]), (None, [3, 3]), (1, [4] * 9), (2, [])], "ord int, input_ids array<int>")
+    df = df.selectExpr("ord", "input_ids", "input_ids AS attention_mask", "input_ids AS labels")
+    out = T.pad_batches(df, batch_size=2).collect()
+    assert sorted(str([x for x in r.input_ids if x]) for r in out) == sorted(["[1]", "[2]", "[3, 3]", "[3, 3]", "[4, 4, 4, 4, 4, 4, 4, 4, 4]", "[]"])
+    assert sorted(r.batch_id for r in out) == [0, 0, 1, 1, 2, 2]
