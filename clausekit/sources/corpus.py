@@ -177,3 +177,14 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders right under ``path``; none if it is absent."""
     fs, p = _folder(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str, keep: str | None = None) -> None:
+    """Delete a folder, or all in it but the file ``keep``."""
+    fs, p = _folder(spark, path)
+    if keep is None:
+        fs.delete(p, True)
+    elif fs.exists(p):
+        for s in fs.listStatus(p):
+            if s.getPath().getName() != keep:
+                fs.delete(s.getPath(), True)

@@ -2,7 +2,8 @@
 
 * ``enrich_stream``: new clause rows (a file stream) meet the written contract
   metadata table, as it is at that time, and are written enriched, one folder per
-  micro-batch; clauses of contracts that are not there yet wait in a quarantine.
+  micro-batch; clauses of contracts that are not there yet wait in a quarantine,
+  which ``retry_waiting`` empties as their contracts arrive.
 * ``label_stream``: new rows to label are anti-joined against what the
   labelled table already holds, labelled with ``label_batch`` (one call per
   distinct key) and written per micro-batch to ``<done>/batch_id=<n>``.  A
@@ -26,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 from clausekit.functions import templates as tpl
 from clausekit.operators import extract, label, metadata
 from clausekit.session import ensure_checkpoint_dir
-from clausekit.sources.corpus import committed, read_or_empty
+from clausekit.sources.corpus import committed, read_or_empty, remove, subfolders
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -42,13 +43,16 @@ def enrich_stream(clauses: DataFrame, meta_path: str, out_path: str, checkpoint:
     clause_type, clause_text, ord).  ``meta_path``: a written table of contract
     metadata with ``metadata_context`` (``metadata.with_metadata_context``), read
     anew for every micro-batch.  A clause whose contract is not there yet goes to
-    ``<out_path>-waiting`` and is tried again by ``retry_waiting``.  Each
-    micro-batch writes its own folders, so one that is run again replaces them."""
+    ``<out_path>-waiting`` and is tried again by ``retry_waiting``.  Each micro-batch
+    writes folders of its own, the waiting one last: one that was cut short is written
+    again, one whose waiting folder is complete is done and is skipped."""
     c = metadata.canonicalize_clauses(extract.clean_clauses(clauses), aliases)
     spark = clauses.sparkSession
 
     def process(batch: DataFrame, batch_id: int) -> None:
         name = f"batch_id={batch_id}"
+        if committed(spark, f"{out_path}-waiting/{name}"):
+            return
         meta = spark.read.parquet(meta_path)
         _enriched(batch, meta, indent).write.mode("overwrite").parquet(f"{out_path}/{name}")
         late = batch.where(F.col("contract_name").isNotNull()).join(meta, "contract_name", "left_anti")
@@ -68,13 +72,67 @@ def _enriched(clean: DataFrame, meta: DataFrame, indent: str) -> DataFrame:
                              F.col("clause_text_cleaned"), indent).alias("enriched_context"))
 
 
+_WAITING = "ord bigint, contract_name string, clause_type string, clause_text_cleaned string"
+_ARRIVED = f"{_WAITING}, metadata_context string, arrived boolean"
+
+
+def _versions(spark: SparkSession, state: str) -> list[int]:
+    """Complete versions of the waiting table, oldest first: those whose list of
+    batches, written last, is complete."""
+    found = [int(x.split("=")[1]) for x in subfolders(spark, state) if x.startswith("version=")]
+    return sorted(v for v in found if committed(spark, f"{state}/version={v}/batches"))
+
+
+def _still_waiting(spark: SparkSession, out_path: str) -> tuple[DataFrame, set[str], list[str], int]:
+    """(rows that wait, batches counted in the last version, newer batches, last version)."""
+    state = f"{out_path}-waiting-state"
+    known = _versions(spark, state)
+    last = known[-1] if known else 0
+    seen = {r.name for r in spark.read.parquet(f"{state}/version={last}/batches").collect()} if known else set()
+    new = [x for x in subfolders(spark, f"{out_path}-waiting")
+           if x.startswith("batch_id=") and x not in seen and committed(spark, f"{out_path}-waiting/{x}")]
+    rows = read_or_empty(spark, f"{state}/version={last}/rows", _ARRIVED).where("not arrived").select(*T.StructType.fromDDL(_WAITING).names)
+    if new:
+        rows = rows.unionByName(spark.read.schema(_WAITING).parquet(*[f"{out_path}-waiting/{x}" for x in new]))
+    return rows, seen, new, last
+
+
+def waiting(spark: SparkSession, out_path: str) -> DataFrame:
+    """Clauses whose contract has not arrived yet."""
+    return _still_waiting(spark, out_path)[0]
+
+
 def retry_waiting(spark: SparkSession, meta_path: str, out_path: str, indent: str = "    ") -> DataFrame:
-    """Enriched rows of the waiting clauses whose contract has arrived since: the
-    reader's view of a sink is its folder united with this, so nothing is moved
-    and nothing can be applied twice."""
-    schema = ("ord bigint, contract_name string, clause_type string, clause_text_cleaned string, batch_id bigint")
-    waiting = read_or_empty(spark, f"{out_path}-waiting", schema).drop("batch_id")
-    return _enriched(waiting, spark.read.parquet(meta_path), indent)
+    """Move the waiting clauses whose contract has arrived since out of the waiting
+    table, and return all that were ever moved, enriched with the metadata they met:
+    the reader's view of a sink is its folder united with this.
+
+    A call makes one new version of the waiting table from the last one and the
+    batches that came after it.  One write decides for every row whether it has arrived,
+    and the version counts from its last folder on: a call that is cut short leaves the
+    old version, and a clause is moved once.  What the new version holds is then
+    deleted elsewhere, so the next call reads only what still waits.  One caller at a
+    time."""
+    state = f"{out_path}-waiting-state"
+    rows, seen, new, last = _still_waiting(spark, out_path)
+    meta = spark.read.parquet(meta_path).select("contract_name", "metadata_context", F.lit(True).alias("_there"))
+    if new or not rows.isEmpty():
+        version = f"{state}/version={last + 1}"
+        split = rows.join(meta, "contract_name", "left").select(
+            *rows.columns, "metadata_context", F.coalesce("_there", F.lit(False)).alias("arrived"))
+        split.write.mode("overwrite").partitionBy("arrived").parquet(f"{version}/rows")
+        batches = spark.createDataFrame([(x,) for x in sorted(seen | set(new))], "name string")
+        batches.coalesce(1).write.mode("overwrite").parquet(f"{version}/batches")
+        remove(spark, f"{state}/version={last}/rows/arrived=false")
+        for x in new:   # the mark stays: it tells a repeated micro-batch that it is done
+            remove(spark, f"{out_path}-waiting/{x}", keep="_SUCCESS")
+    moved = [f"{state}/version={v}/rows/arrived=true" for v in _versions(spark, state)
+             if "arrived=true" in subfolders(spark, f"{state}/version={v}/rows")]
+    late = spark.read.schema(f"{_WAITING}, metadata_context string").parquet(*moved) if moved else \
+        spark.createDataFrame([], f"{_WAITING}, metadata_context string")
+    return late.select(
+        "ord", "contract_name", "clause_type", F.col("clause_text_cleaned").alias("clause_text"),
+        tpl.enriched_context(F.col("metadata_context"), F.col("clause_type"), F.col("clause_text_cleaned"), indent).alias("enriched_context"))
 
 
 def label_stream(todo: DataFrame, done_path: str, checkpoint: str,

@@ -1,4 +1,7 @@
 import json
+import os
+
+import pytest
 
 from clausekit.operators import label as L
 from clausekit.streaming import incremental as S
@@ -65,3 +68,75 @@ def test_late_contracts_wait_and_are_retried(spark, tmp_path):
     known("A", "B")
     got = S.retry_waiting(spark, meta, out).collect()
     assert [(r.ord, "ctx B" in r.enriched_context) for r in got] == [(2, True)]
+
+
+@pytest.fixture
+def late(spark, tmp_path):
+    """A running sink whose contracts arrive one after the other."""
+    class Late:
+        src, meta, out, chk = (str(tmp_path / d) for d in ("src", "meta", "out", "chk"))
+        schema = "contract_name string, clause_type string, clause_text string, ord bigint"
+
+        def clauses(self, rows):
+            spark.createDataFrame(rows, self.schema).coalesce(1).write.mode("append").parquet(self.src)
+
+        def known(self, *names):
+            spark.createDataFrame([(n, f"ctx {n}") for n in names], "contract_name string, metadata_context string") \
+                .coalesce(1).write.mode("overwrite").parquet(self.meta)
+
+        def run(self):
+            S.enrich_stream(spark.readStream.schema(self.schema).parquet(self.src), self.meta, self.out, self.chk).awaitTermination()
+
+        def seen(self):
+            """What a reader sees: (sink, moved, still waiting)."""
+            moved = S.retry_waiting(spark, self.meta, self.out)
+            return [sorted(r.ord for r in x.collect()) for x in (spark.read.parquet(self.out), moved, S.waiting(spark, self.out))]
+    return Late()
+
+
+def test_waiting_table_shrinks(spark, late):
+    late.clauses([("A", "T", "x", 1), ("B", "T", "x", 2), ("C", "T", "x", 3), ("C", "T", "x", 3)])
+    late.known("A")
+    late.run()
+    assert late.seen() == [[1], [], [2, 3, 3]]
+    late.known("A", "B")
+    assert late.seen() == [[1], [2], [3, 3]]
+    late.clauses([("B", "T", "x", 4), ("C", "T", "x", 5)])
+    late.run()
+    assert late.seen() == [[1, 4], [2], [3, 3, 5]]
+    assert late.seen() == [[1, 4], [2], [3, 3, 5]]          # nothing moves twice
+    late.known("A", "B", "C")
+    assert late.seen() == [[1, 4], [2, 3, 3, 5], []]
+    state = f"{late.out}-waiting-state"
+    files = [f for d, _, fs in os.walk(state) for f in fs if f.startswith("part-") and "arrived=false" in d]
+    raw = [f for d, _, fs in os.walk(f"{late.out}-waiting") for f in fs if f.startswith("part-")]
+    assert not files and not raw                            # nothing is left to read again
+
+
+def test_replayed_batch_does_not_come_twice(spark, late):
+    """The driver is lost after a batch was written and moved, before the stream's commit."""
+    late.clauses([("A", "T", "x", 1), ("B", "T", "x", 2)])
+    late.known("A")
+    late.run()
+    late.known("A", "B")
+    assert late.seen() == [[1], [2], []]
+    for f in os.listdir(f"{late.chk}/commits"):
+        os.remove(f"{late.chk}/commits/{f}")
+    late.run()
+    assert late.seen() == [[1], [2], []]
+
+
+def test_a_move_that_is_cut_short_changes_nothing(spark, late, monkeypatch):
+    late.clauses([("A", "T", "x", 1), ("B", "T", "x", 2), ("C", "T", "x", 3)])
+    late.known("A")
+    late.run()
+    late.known("A", "B")
+    real = S.committed
+    # the version's rows are written, its list of batches is not
+    monkeypatch.setattr(S, "remove", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        S.retry_waiting(spark, late.meta, late.out)
+    os.remove(f"{late.out}-waiting-state/version=1/batches/_SUCCESS")
+    monkeypatch.undo()
+    assert S.committed is real and sorted(r.ord for r in S.waiting(spark, late.out).collect()) == [2, 3]
+    assert late.seen() == [[1], [2], [3]]
