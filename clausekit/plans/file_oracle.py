@@ -67,3 +67,10 @@ SELECT c.ord, c.contract_name, c.clause_type, c.clause_text_cleaned AS clause_te
        {_json("contract_name", "document_name", "governing_law", "renewal_term", "notice_period", "termination_for_convenience",
               "change_of_control", "cap_on_liability", "minimum_commitment").replace('contract_name IS', 'x.contract_name IS').replace('|| contract_name', '|| x.contract_name')} AS metadata
 FROM cclean c JOIN ctx x ON c.contract_name = x.contract_name""")
+
+oracle("profile_from_slices", W(B.CLAUSES) + f"""
+SELECT count(*) AS n_rows, CAST(count(*) - count(clause_type) AS BIGINT) AS null_clause_type,
+       CAST(count(*) - count(clause_text) AS BIGINT) AS null_clause_text,
+       CAST(min({B.word_count('clause_text')}) AS BIGINT) AS min_length, CAST(max({B.word_count('clause_text')}) AS BIGINT) AS max_length,
+       round(avg({B.word_count('clause_text')}), 6) AS mean_length, true AS contracts_close, true AS types_close
+FROM clauses""")

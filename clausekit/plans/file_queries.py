@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausekit import schemas
-from clausekit.operators import extract, metadata
+from clausekit.functions import subword
+from clausekit.functions import text as tx
+from clausekit.functions import tokens as tk
+from clausekit.operators import extract, metadata, profile_store, training
+from clausekit.plans import datasets as D
 from clausekit.plans.catalog import _MASTER_FIELDS, register
 from clausekit.sources import adapters as X
 from clausekit.sources import corpus as src
@@ -153,3 +157,32 @@ def q_files_to_enriched(spark, d):
     back = src.read_stage(spark, out, "ord bigint, contract_name string, clause_type string, clause_text string, "
                                       "enriched_context string, metadata string", "csv")
     return back.withColumn("clause_text", F.coalesce("clause_text", F.lit("")))
+
+
+@register("profile_from_slices")
+def q_profile_from_slices(spark, d):
+    """Clauses arrive in slices by contract number; each is profiled when it comes, and
+    the corpus profile is merged from the kept rows.  The estimates are compared with
+    exact aggregates over all clauses (``*_close``)."""
+    rows = X.clauses(spark, d).withColumn("n_words", tx.word_count(F.col("clause_text")))
+    store = _scratch(spark, "profiles")
+    for k in range(3):
+        part = rows.where((F.col("ord") / X.CLAUSES_PER_CONTRACT).cast("bigint") % 3 == k)
+        store_row = profile_store.slice_profile(part, F.col("n_words"), ("clause_type", "clause_text"), ("contract_name", "clause_type"))
+        profile_store.add_slice(store_row, store, str(k))
+    m = profile_store.merged(profile_store.slices(spark, store))
+    exact = rows.agg(F.count_distinct("contract_name").alias("contracts"), F.count_distinct("clause_type").alias("types"), F.count(F.lit(1)).alias("n"))
+    return m.join(exact, m.n_rows == exact.n).select(
+        "n_rows", "null_clause_type", "null_clause_text", "min_length", "max_length", F.round("mean_length", 6).alias("mean_length"),
+        (F.abs(F.col("approx_contract_name") - F.col("contracts")) <= 0.03 * F.col("contracts")).alias("contracts_close"),
+        (F.col("approx_clause_type") == F.col("types")).alias("types_close"))
+
+
+@register("subword_mask")
+def q_subword_mask(spark, d):
+    """Chat pairs tokenized by a subword vocabulary, the instruction masked."""
+    p = D.chat_pairs(spark, d).drop("messages")
+    t = training.format_for_training(p, "chat_text", "response", subword.subword_tokenizer())
+    ids = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), " "))
+    return t.select("conv_id", "turn", F.size("input_ids").alias("n_tokens"), tk.learnable_count("labels").alias("n_learnable"),
+                    ids("input_ids").alias("input_md5"), ids("labels").alias("labels_md5"))
