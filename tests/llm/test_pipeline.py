@@ -7,7 +7,7 @@ import re
 import pyarrow as pa
 
 import corpus_pipeline
-from clausekit.llm import quality_crf
+from clausekit.llm import quality_crf, stages
 from clausekit.llm.mixing import POWERS, ROUNDS
 from clausekit.llm.secrets import ASSIGN, HEX
 from conftest import SF001
@@ -111,3 +111,18 @@ def test_pipeline_equals_plain_python(spark):
 
 def test_stage_contract():
     assert len(corpus_pipeline.STAGES) == 5 and all(callable(f) for _, f in corpus_pipeline.STAGES)
+
+
+def test_near_duplicates_keeps_other_texts_of_an_id(spark):
+    """An id with two unrelated texts keeps both; equal rows, near copies and copies
+    under another id go; rows without an id stay."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = (" ".join(f"{p}{x}" for x in words) for p in "abc")
+    near = a + " more"
+    rows = [(1, a, "x"), (1, b, "x"), (2, c, "x"), (3, near, "x"), (1, a, "y"), (4, b, "x"), (5, None, "x"), (5, "", "x"), (None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame([(i, t, "en", s, 1, "extra") for i, t, s in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint, _key string")
+    got = stages.near_duplicates(spark, docs, None)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0, (r.text or "")[:2], r.source) for r in got.collect())) == sorted(
+        [(1, "aw", "x"), (1, "bw", "x"), (2, "cw", "x"), (5, "", "x"), (0, "aw", "x"), (0, "aw", "x")])
