@@ -57,3 +57,28 @@ def test_scale_settles_on_far_margins():
     m._calibrate(x, y)
     p = 1 / (1 + np.exp(-(m.scale * x + m.shift)))
     assert abs(m.shift) > 1 and 0.95 > ((p > 0.5) == y).mean() - 0.03 > 0.85
+
+
+def test_marginals_against_enumeration():
+    """Forward-backward over several texts at once = sums over all labellings of each."""
+    import itertools
+    import numpy as np
+    from clausekit.llm.quality_crf import _marginals
+    rng = np.random.default_rng(4)
+    sizes = [3, 0, 1, 7, 2, 5]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    score, trans = rng.normal(0, 2, first[-1]), rng.normal(0, 1, (2, 2))
+    got, pairs = _marginals(score, first, trans, pairs=True)
+    want, joint = np.zeros(first[-1]), np.zeros((2, 2))
+    for lo, n in zip(first, sizes):
+        total, mine, steps = 0.0, np.zeros(n), np.zeros((2, 2))
+        for y in itertools.product((0, 1), repeat=n):
+            w = np.prod([1 / (1 + np.exp(-score[lo + i] if y[i] else score[lo + i])) for i in range(n)])
+            w *= np.exp(sum(trans[a, b] for a, b in zip(y, y[1:])))
+            total += w
+            mine += w * np.array(y)
+            for a, b in zip(y, y[1:]):
+                steps[a, b] += w
+        want[lo:lo + n] = mine / total
+        joint += steps / total
+    assert np.allclose(got, want) and np.allclose(pairs, joint)
