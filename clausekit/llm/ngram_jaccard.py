@@ -288,11 +288,18 @@ def _as_links(comp: DataFrame) -> DataFrame:
     return comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
-def _mixed(member: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component ``g``."""
+def _mixed(member: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Members of the buckets that hold more than one component ``g``, without the
+    documents that have too few of them: a link with another component takes
+    as many shared buckets as one with another set, and all of them are mixed."""
     m = member.join(comp, "id", "left").select(*member.columns, F.coalesce("component", "id").alias("g"))
     two = m.groupBy("tok").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("tok")
-    return staged(m.join(two, "tok", "left_semi"), "mixed")
+    mixed = staged(m.join(two, "tok", "left_semi"), "mixed")
+    enough = (mixed.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+              .where(F.expr(f"k >= ceil(ceil({percent} * n / 100D) / {SHARE}D)")).select("id"))
+    out = staged(mixed.join(enough, "id", "left_semi"), "mixed")
+    drop(mixed)
+    return out
 
 
 def _with_hubs(mixed: DataFrame) -> DataFrame:
@@ -400,7 +407,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = staged(_verify(_with_hubs(mixed), full, percent), "links")
     while True:
         comp = staged(components(links), "components")
-        mixed = _mixed(member, comp)
+        mixed = _mixed(member, comp, percent)
         drop(member)
         member = mixed.drop("g")    # a bucket of one component stays one
         member._stage_path = mixed._stage_path
