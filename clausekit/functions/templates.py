@@ -64,27 +64,17 @@ INFER_TAIL = "\n\nProvide your analysis:\n"
 INFER_PROVISIONS_SEP = ", "
 # ---------------------------------------------------------------------------
 
-# Our own wording of the labelling instructions; it keeps the reference's
-# fields (risk_level / risk_reason / plain_summary) and rules (JSON only,
-# exact HIGH/MEDIUM/LOW, use the contract context).
+# The fields of a label and what each holds; the reply is checked by these names
+# (``operators.label``), so the instructions are made from them.
+LABEL_FIELDS = {
+    "risk_level": "HIGH if the clause can cost its party rights or much money, MEDIUM if it should be negotiated, "
+                  "LOW if it is customary for such a contract",
+    "risk_reason": "which words of the clause, and which facts of its contract, decide the level",
+    "plain_summary": "what the clause says, for a reader without legal training",
+}
 LABEL_SYSTEM_PROMPT = (
-    "You review commercial contracts as a senior legal analyst.\n\n"
-    "For the clause you are given, return:\n"
-    "1. a risk level: HIGH, MEDIUM or LOW\n"
-    "2. a short reason for that risk level\n"
-    "3. a plain-language summary\n\n"
-    "Rules:\n"
-    "- Answer with one JSON object and nothing else, before or after it\n"
-    "- risk_level must be exactly HIGH, MEDIUM or LOW\n"
-    "- Take the contract context into account: jurisdiction, renewal terms, "
-    "contract type and above all the clause text\n\n"
-    "Format:\n"
-    "{\n"
-    '    "risk_level": "HIGH/MEDIUM/LOW",\n'
-    '    "risk_reason": "two or three sentences on the risk in this contract",\n'
-    '    "plain_summary": "one or two sentences in everyday words"\n'
-    "}"
-)
+    "You get one clause, after what is known of its contract. Reply with a JSON object of these text fields "
+    "and with nothing else:\n" + "\n".join(f"{name}: {what}" for name, what in LABEL_FIELDS.items()))
 
 
 def _c(c) -> Column:
