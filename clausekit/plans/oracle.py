@@ -1,15 +1,15 @@
 """DuckDB oracle SQL for every registered query that SQL can express.
 
 Written independently of the Spark plans from the operator semantics; the
-two only share the adapter rules and the fixed template text.
+two only share the adapter rules, the longer templates, the relationship map and
+the choice lists; defaults, messages and skip lists are spelled out here.
 """
 
 from __future__ import annotations
 
 from clausekit.functions import templates as tpl
 from clausekit.functions.text import WS_CLASS
-from clausekit.operators import extract, label, related, scoring
-from clausekit.plans import datasets as D
+from clausekit.operators import related, scoring
 from clausekit.plans import sql_blocks as B
 from clausekit.plans.sql_blocks import q
 
@@ -96,9 +96,9 @@ parsed AS (
   FROM parsed0),
 ldef AS (
   SELECT doc_id, parse_status,
-         CASE WHEN parse_status = 'ok' THEN risk_level ELSE {q(label.DEFAULT_RISK)} END AS risk_level,
-         CASE WHEN parse_status = 'ok' THEN risk_reason ELSE {q(label.DEFAULT_REASON)} END AS risk_reason,
-         CASE WHEN parse_status = 'ok' THEN plain_summary ELSE {q(label.DEFAULT_SUMMARY)} END AS plain_summary
+         CASE WHEN parse_status = 'ok' THEN risk_level ELSE 'MEDIUM' END AS risk_level,
+         CASE WHEN parse_status = 'ok' THEN risk_reason ELSE 'Could not generate label after retries' END AS risk_reason,
+         CASE WHEN parse_status = 'ok' THEN plain_summary ELSE 'Could not generate summary after retries' END AS plain_summary
   FROM parsed)"""
 
 LABELLED = """labelled AS (
@@ -106,7 +106,7 @@ LABELLED = """labelled AS (
          l.risk_level, l.risk_reason, l.plain_summary
   FROM enriched e JOIN ldef l ON e.ord = l.doc_id)"""
 
-_FAILED = q(label.FAILED_MARK)
+_FAILED = "'could not generate'"
 
 CLEANLAB = f"""cleanlab AS (
   SELECT * FROM labelled
@@ -115,7 +115,7 @@ CLEANLAB = f"""cleanlab AS (
 
 HAND = f"""hand AS (
   SELECT e.ord, e.contract_name, e.clause_type, e.clause_text, e.enriched_context,
-         {_RISK} AS risk_level, {q(D.HAND_REASON)} AS risk_reason, {q(D.HAND_SUMMARY)} AS plain_summary
+         {_RISK} AS risk_level, 'Reviewed and corrected by hand.' AS risk_reason, 'A hand-checked label.' AS plain_summary
   FROM enriched e JOIN labels l ON e.ord = l.doc_id)"""
 
 
@@ -127,12 +127,12 @@ TRAIN = f"""train AS (
   SELECT *, instruction || {q(tpl.FULL_TEXT_SEP)} || response AS full_text
   FROM (SELECT *,
                {q(tpl.INSTRUCTION_HEAD)} || enriched_context || {q(tpl.INSTRUCTION_TAIL)} AS instruction,
-               {q(tpl.RESPONSE_TYPE)} || {_nan('clause_type')} || {q(tpl.RESPONSE_RISK)} || {_nan('risk_level')}
+               '**Clause Type:** ' || {_nan('clause_type')} || {q(tpl.RESPONSE_RISK)} || {_nan('risk_level')}
                  || {q(tpl.RESPONSE_REASON)} || {_nan('risk_reason')} || {q(tpl.RESPONSE_SUMMARY)}
                  || {_nan('plain_summary')} AS response
         FROM cleanlab))"""
 
-_SKIP = ", ".join(q(t) for t in extract.SKIP_CLAUSE_TYPES)
+_SKIP = "'Document Name', 'Parties', 'Agreement Date', 'Effective Date', 'Expiration Date'"
 TO_LABEL = f"""to_label AS (
   SELECT * FROM enriched WHERE clause_type IS NULL OR clause_type NOT IN ({_SKIP}))"""
 
@@ -195,7 +195,7 @@ REQUESTS = f"""rrows AS (
   SELECT file_ord, a_pos, clause_text, clause_type, {B.canon('contract_name')} AS contract_name FROM crows),
 requests AS (
   SELECT r.file_ord, r.a_pos, r.clause_text,
-         CASE WHEN r.clause_type = 'Unknown' THEN {q(scoring.TYPE_SENTINEL)} ELSE r.clause_type END AS target_clause,
+         CASE WHEN r.clause_type = 'Unknown' THEN 'Select clause type...' ELSE r.clause_type END AS target_clause,
          m.document_name AS contract_type, m.governing_law AS jurisdiction,
          m.renewal_term, m.notice_period,
          m.cap_on_liability = 'Yes' AS has_liability_cap,
@@ -205,30 +205,30 @@ requests AS (
   FROM rrows r LEFT JOIN meta m ON r.contract_name = m.contract_name),
 rdef AS (
   SELECT file_ord, a_pos, clause_text,
-         coalesce(contract_type, {q(scoring.DEFAULT_CONTRACT_TYPE)}) AS contract_type,
-         coalesce(jurisdiction, {q(scoring.DEFAULT_JURISDICTION)}) AS jurisdiction,
-         coalesce(renewal_term, {q(scoring.DEFAULT_RENEWAL_TERM)}) AS renewal_term,
-         coalesce(notice_period, {q(scoring.DEFAULT_NOTICE_PERIOD)}) AS notice_period,
-         coalesce(target_clause, {q(scoring.DEFAULT_TARGET_CLAUSE)}) AS target_clause,
+         coalesce(contract_type, 'Service Agreement') AS contract_type,
+         coalesce(jurisdiction, 'Delaware') AS jurisdiction,
+         coalesce(renewal_term, 'Not Applicable') AS renewal_term,
+         coalesce(notice_period, 'none') AS notice_period,
+         coalesce(target_clause, '') AS target_clause,
          coalesce(has_liability_cap, false) AS has_liability_cap,
          coalesce(has_termination, false) AS has_termination,
          coalesce(has_change_control, false) AS has_change_control,
          coalesce(has_minimum_commitment, false) AS has_minimum_commitment
   FROM requests),
 rprov AS (
-  SELECT *, list_filter([CASE WHEN has_liability_cap THEN {q(tpl.PROV_CAP)} END,
-                         CASE WHEN has_termination THEN {q(tpl.PROV_TERMINATION)} END,
-                         CASE WHEN has_change_control THEN {q(tpl.PROV_CHANGE)} END,
-                         CASE WHEN has_minimum_commitment THEN {q(tpl.PROV_MINIMUM)} END],
+  SELECT *, list_filter([CASE WHEN has_liability_cap THEN 'Cap on Liability' END,
+                         CASE WHEN has_termination THEN 'Termination for Convenience' END,
+                         CASE WHEN has_change_control THEN 'Change of Control' END,
+                         CASE WHEN has_minimum_commitment THEN 'Minimum Commitment' END],
                         lambda x: x IS NOT NULL) AS provs,
-         CASE WHEN coalesce({B.utrim('clause_text')}, '') = '' THEN {q(scoring.MSG_EMPTY_TEXT)}
-              WHEN target_clause = {q(scoring.TYPE_SENTINEL)} THEN {q(scoring.MSG_NO_TYPE)} END AS message
+         CASE WHEN coalesce({B.utrim('clause_text')}, '') = '' THEN '⚠️ Please enter clause text'
+              WHEN target_clause = 'Select clause type...' THEN '⚠️ Please select clause type' END AS message
   FROM rdef),
 prompts AS (
   SELECT *, CASE WHEN message IS NULL THEN
            {q(tpl.INFER_HEAD)} || contract_type || {q(tpl.INFER_JURISDICTION)} || jurisdiction
            || {q(tpl.INFER_RENEWAL)} || renewal_term || {q(tpl.INFER_NOTICE)} || notice_period
-           || {q(tpl.INFER_PROVISIONS)} || array_to_string(provs, {q(tpl.INFER_PROVISIONS_SEP)})
+           || {q(tpl.INFER_PROVISIONS)} || array_to_string(provs, ', ')
            || {q(tpl.INFER_TARGET)} || target_clause || {q(tpl.INFER_TEXT)} || clause_text
            || {q(tpl.INFER_TAIL)} END AS prompt
   FROM rprov)"""
@@ -636,8 +636,8 @@ FROM p""")
 
 oracle("validate_requests", W(*REQ_BLOCKS) + f"""
 SELECT file_ord, a_pos,
-       CASE WHEN coalesce({B.utrim('clause_text')}, '') = '' THEN {q(scoring.MSG_EMPTY_TEXT)}
-            WHEN target_clause = {q(scoring.TYPE_SENTINEL)} THEN {q(scoring.MSG_NO_TYPE)} END AS message
+       CASE WHEN coalesce({B.utrim('clause_text')}, '') = '' THEN '⚠️ Please enter clause text'
+            WHEN target_clause = 'Select clause type...' THEN '⚠️ Please select clause type' END AS message
 FROM requests""")
 
 oracle("provisions_from_flags", W(*REQ_BLOCKS) + """
