@@ -227,13 +227,12 @@ class SubwordSoftmax:
     def _shared_grams(ids, first, toxic, flat, begin, size) -> np.ndarray:
         """Whether an n-gram occurs in SUPPORT toxic texts at least: what marks one text
         alone is no pattern, and stays without a say."""
-        text = np.repeat(np.arange(len(toxic)), np.diff(first))
-        pair = np.unique(text[toxic[text]] * len(size) + ids[toxic[text]])
-        word, n = pair % len(size), size[pair % len(size)]
-        gram = flat[np.repeat(begin[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        both = np.unique(np.repeat(pair // len(size), n) << BUCKET_BITS | gram)
-        least = min(SUPPORT, max(1, int(toxic.sum()) // 20))
-        return np.bincount(both & ((1 << BUCKET_BITS) - 1), minlength=1 << BUCKET_BITS) >= least
+        found = np.zeros(1 << BUCKET_BITS, np.int32)
+        for t in np.flatnonzero(toxic):     # text by text: what is held is one text's n-grams
+            word = np.unique(ids[first[t]:first[t + 1]])
+            n = size[word]
+            found[flat[np.repeat(begin[word] - np.cumsum(n) + n, n) + np.arange(n.sum())]] += 1
+        return found >= min(SUPPORT, max(1, int(toxic.sum()) // 20))
 
     def _calibrate(self, x: np.ndarray, y: np.ndarray):
         """Logistic scale by Newton steps with a small ridge; a step that does not lower
