@@ -52,6 +52,21 @@ def test_stream_enrich_equals_batch(spark):
     assert rows(s) == rows(b)
 
 
+@pytest.mark.parametrize("batch_bytes", [S.BATCH_BYTES, 1])     # all files in a micro-batch, one in each
+def test_stream_of_tables_that_are_folders(spark, tmp_path, monkeypatch, batch_bytes):
+    from clausekit.plans import catalog
+    from conftest import rows
+    monkeypatch.setattr(S, "BATCH_BYTES", batch_bytes)
+    docs = [(k, f"Text {k}", "en", "web", 6) for k in range(60)] + [(3, "again", "en", "web", 5), (None, "x", "en", "web", 1)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint") \
+        .repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 0, "BUILDING") for k in range(4)], "c_custkey bigint, c_nationkey bigint, c_mktsegment string") \
+        .repartition(2).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "PERU")], "n_nationkey bigint, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    got = rows(catalog.q_stream_enrich_clauses(spark, str(tmp_path)))
+    assert len(got) == 49 and got == rows(catalog.q_enrich_clauses(spark, str(tmp_path)))
+
+
 def test_late_contracts_wait_and_are_retried(spark, tmp_path):
     src, meta, out, chk = (str(tmp_path / d) for d in ("src", "meta", "out", "chk"))
     rows = [("A", "Parties", "x y", 1), ("B", "Parties", "late", 2), (None, "Parties", "none", 3)]
