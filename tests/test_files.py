@@ -123,3 +123,27 @@ def test_another_split_is_an_error_not_a_wrong_number(spark, lines):
         file_order.number(at, offsets, "n").collect()
     assert sorted(r.n for r in file_order.number(at, file_order.block_offsets(at), "n").collect()) == list(range(1153))
     assert file_order.number(at.where(F.lit(False)), offsets, "n").collect() == []
+
+
+def test_texts_of_contracts_move_once_and_are_written_small(spark, tmp_path):
+    """Whole texts pass one exchange on their way into contracts, once a row, and the
+    stages between the files are compressed."""
+    from clausekit.plans import file_queries as Q
+    docs = [(k, f"{k} " + "some words of a long text\n" * 200) for k in range(120, -1, -1)]
+    docs += [(5, "again"), (7, None), (None, "no id"), (None, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    c = Q.contracts(spark, str(tmp_path))
+    moved = [x for x in c._jdf.queryExecution().executedPlan().toString().splitlines()
+             if "Exchange" in x and "RoundRobin" not in x]
+    assert len(moved) == 1 and "rangepartitioning" in moved[0], moved
+    path = Q.write_contract_lines(spark, str(tmp_path))
+    back = [r.data[0] for r in corpus.read_corpus(spark, path, json_lines=True).orderBy("file_ord").collect()]
+    assert [c.title for c in back] == [None, *[f"Contract {k}" for k in range(11)]]     # in order of their number
+    texts = {k: t for k, t in docs[:121]}
+    first = [(p.qas[0].id, p.context) for p in back[1].paragraphs]
+    want = [(k, texts[k]) for k in range(6)] + [(5, "again"), (6, texts[6]), (7, None)] + [(k, texts[k]) for k in range(7, 12)]
+    assert first == [(f"q{k}", t) for k, t in want]
+    assert sorted(p.context or "" for p in back[0].paragraphs) == ["", "no id"]
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = fs.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(fs).getLength()
+    assert size < sum(len(t or "") for _, t in docs)                        # of twice the texts
