@@ -50,6 +50,7 @@ SAMPLE = 32             # one set in so many counts for the frequencies
 SLOT_BITS = 22          # table of frequency levels: 4 MB
 FREQUENT = 1 << 18      # shingles that it holds at most, so that few others share their slots
 ID_BITS = 23            # bitmap of candidate documents: 1 MB
+FEW = 1000              # ids of candidates that a filter names one by one
 SEEDS = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
@@ -264,15 +265,22 @@ def _listed(ids: np.ndarray):
     return run
 
 
+def _named(sets: DataFrame, ids: np.ndarray) -> DataFrame:
+    """Sets whose id is in the bitmap; few bits are spelled out in the filter, so that a
+    round with few pairs need not bring all sets to Python."""
+    at = np.flatnonzero(np.unpackbits(ids.view(np.uint8), bitorder="little"))
+    if len(at) > FEW:
+        return sets.mapInArrow(_listed(ids), sets.schema)
+    return sets.where(f"pmod(id, {1 << ID_BITS}L) in ({', '.join(map(str, at))})" if len(at) else "false")
+
+
 def _verify(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links among candidate pairs (a, b): first the prefix filters of the
+    """Links among staged candidate pairs (a, b): first the prefix filters of the
     further orders, intersected, then whole sets.  A bitmap keeps sets that no pair
     names out of the shuffles."""
-    pairs = staged(pairs, "pairs")
     ids = bitmap(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), "id", ID_BITS)
-    full = full.select("id", "p2", "p3", "toks")
-    full = full.mapInArrow(_listed(ids), full.schema)
-    sig = full.select("id", "p2", "p3")
+    sig, full = full.select("id", "p2", "p3"), full.select("id", "toks")
+    sig, full = _named(sig, ids), _named(full, ids)
     for side in ("a", "b"):
         pairs = pairs.join(sig.select(F.col("id").alias(side), F.col("p2").alias(f"{side}2"),
                                       F.col("p3").alias(f"{side}3")), side)
@@ -338,6 +346,16 @@ def _feasible(mixed: DataFrame, percent: int) -> DataFrame:
             .unionByName(surely).distinct())
 
 
+def _untried(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    """Candidate pairs, staged, that no earlier round has verified: one that was no link
+    then is none now, and one that was is within a component."""
+    if tried:
+        before = pairs.sparkSession.read.schema(pairs.schema).parquet(*[t._stage_path for t in tried])
+        pairs = pairs.join(before.hint("merge"), ["a", "b"], "left_anti")
+    tried.append(staged(pairs, "pairs"))
+    return tried[-1]
+
+
 def _crossing(mixed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """What is left: pairs (a, b) of different components.  For the few documents
     concerned the shingles are ordered by their exact frequency among them, rarest
@@ -404,25 +422,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = staged(pre.join(able.join(strong, "id"), "d1").drop("d1"), "buckets")
 
     mixed = member.withColumn("g", F.col("id"))
-    links = staged(_verify(_with_hubs(mixed), full, percent), "links")
+    tried: list[DataFrame] = []
+    links = staged(_verify(_untried(_with_hubs(mixed), tried), full, percent), "links")
     while True:
         comp = staged(components(links), "components")
         mixed = _mixed(member, comp, percent)
         drop(member)
         member = mixed.drop("g")    # a bucket of one component stays one
         member._stage_path = mixed._stage_path
-        more = staged(_verify(_with_hubs(mixed), full, percent), "links")
+        more = staged(_verify(_untried(_with_hubs(mixed), tried), full, percent), "links")
         if more.isEmpty():
             drop(more, links)
             break
         links, old = staged(_as_links(comp).unionByName(more), "links"), links
         drop(comp, more, old)
     cross = _crossing(mixed, full, percent)
-    more = staged(_verify(cross, full, percent), "links")
+    more = staged(_verify(_untried(cross, tried), full, percent), "links")
     final = components(_as_links(comp).unionByName(more)).withColumnRenamed("id", "rep")
     by_class = staged(classes.join(final, "rep", "left")
                       .select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "classes")
-    drop(pre, able, mixed, more, comp, full)
+    drop(pre, able, mixed, more, comp, full, *tried)
     out = rows.join(by_class, ["d1", "d2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
                       F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))

@@ -322,3 +322,28 @@ def test_mix_expectation(spark):
     got = mix(df, fraction=0.5).collect()
     total = sum(len(r[1].split()) for r in rows)
     assert abs(sum(r.n_tokens * r.n_copies for r in got) / total - 0.5) < 0.04
+
+
+def test_no_pair_is_verified_twice(spark, monkeypatch):
+    """A candidate pair that turned out to be no link is a candidate again in every later
+    round: it must not be verified again."""
+    from clausekit.llm import ngram_jaccard
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join(base)]
+    for k in range(24):
+        words = list(base)
+        for at in rng.sample(range(200), 5 + k % 3):
+            words[at] = f"x{k}_{at}"
+        texts.append(" ".join(words))
+    seen, verify = [], ngram_jaccard._verify
+
+    def recorded(pairs, full, percent):
+        pairs = pairs.localCheckpoint()
+        seen.append([tuple(r) for r in pairs.collect()])
+        return verify(pairs, full, percent)
+    monkeypatch.setattr(ngram_jaccard, "_verify", recorded)
+    got = {r.doc_id: r.component_id for r in jaccard_components(frame(spark, texts)).collect()}
+    assert len(set(got.values())) > 1 and len(seen) > 2         # some pairs are no links, and there are rounds
+    flat = [p for part in seen for p in part]
+    assert len(flat) == len(set(flat)) > 0
